@@ -31,7 +31,7 @@ def left_enrich(df: DataFrame, per_key: DataFrame, key: str, count_col: str | No
     others = [c for c in df.columns if c != key]
     left = df.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*others), F.lit(salts))).otherwise(F.lit(0)))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = per_key.withColumn("_salt", F.explode(copies).cast("bigint"))
+    right = per_key.withColumn("_salt", F.explode(copies.cast("array<bigint>")))
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 

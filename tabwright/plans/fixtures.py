@@ -28,7 +28,7 @@ DERIVED = {
     # text columns that hold numbers, times and flags
     "str_events": """
         select event_id, cast(event_id as string) as num_s, cast(value as string) as value_s,
-               cast(ts as string) as event_ts_s,
+               cast(ts as string) as event_time_s,
                case when event_id % 2 = 0 then 'Yes' else ' no' end as flag_s,
                case when event_id % 50 = 0 then 'n/a' else cast(event_id as string) end as mixed_s, event_type
         from {events}""",
