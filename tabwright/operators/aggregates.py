@@ -193,12 +193,12 @@ def value_counts(df: DataFrame, name: str, top_n: int | None = 20) -> DataFrame:
 
 
 def value_shares(df: DataFrame, name: str) -> DataFrame:
-    """Share of the non-missing rows per value; two aggregates, no window over the data."""
+    """Share of the non-missing rows per value; the total is the sum of the counts."""
     counts = (
         df.filter(col(name).isNotNull())
         .groupBy(col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     )
-    total = df.agg(F.count(col(name)).alias("total"))
+    total = counts.agg(F.sum("n").alias("total"))
     return counts.select("value", "n", (F.col("n") / total.scalar()).alias("share"))
 
 

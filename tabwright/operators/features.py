@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.scalar import col
+from ..session import cut_lineage
 from .aggregates import corr_with_target, correlations, numeric_columns, pairs, quantile_values, wide_agg
 from .joins import left_enrich
 from .quality import skew_report
@@ -44,7 +45,7 @@ def qcut(df: DataFrame, name: str, q: int = 5) -> Column:
 
 def rfm(df: DataFrame, key: str, value: str, date: str, reference=None, recency_inverted: bool = True) -> DataFrame:
     """One row per key with lifetime value, three quintile scores and their sum (3-15)."""
-    base = rfm_base(df, key, value, date, reference)
+    base = cut_lineage(rfm_base(df, key, value, date, reference), "per-key")
     edges = quantile_values(base, ["recency", "purchase_frequency", "avg_order_value"], QUINTILES)
     recency = S.edge_rank("recency", edges["recency"])
     if recency_inverted:

@@ -301,7 +301,7 @@ def importance_runs(df: DataFrame, features: Sequence[str], label: str, runs: in
 
 def boosting_curve(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Rows (round, loss) of a boosted model on one table."""
-    rows = assembler(features).transform(prepare(df, features, label, weighted=False))
+    rows = assembler(features).transform(prepare(df, features, label))
     losses = model.stages[-1].evaluateEachIteration(rows) if hasattr(model.stages[-1], "evaluateEachIteration") else []
     return df.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "round int, loss double")
 

@@ -68,7 +68,7 @@ def prefix_scan(
     if not edges:
         return scanned.drop("_bucket")
 
-    totals = keyed.groupBy(*by, "_bucket").agg(*[fn(c).alias(f"_t_{n}") for n, c in values.items()])
+    totals = cells.groupBy(*by, "_bucket").agg(*[fn(n).alias(f"_t_{n}") for n in values])
     earlier = Window.partitionBy(*by).orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_bucket", *[fn(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in values])
     # one row per range and group; Spark's own size threshold decides on broadcasting

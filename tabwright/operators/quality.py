@@ -55,9 +55,21 @@ def check_sparse_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def check_unparsed_dates(df: DataFrame) -> DataFrame:
-    """Date-named columns and whether they are still text; decided from the schema alone."""
-    rows = [(f.name, isinstance(f.dataType, T.StringType)) for f in df.schema if DATE_NAME.search(f.name)]
-    return df.sparkSession.createDataFrame(rows, "column string, unparsed boolean")
+    """Rows (column, unparsed, values, parseable) per date-named column.
+
+    Whether a column is still text is in the schema; how many of its values would
+    parse comes from one aggregate.
+    """
+    named = [f for f in df.schema if DATE_NAME.search(f.name)]
+    aggs, records = [F.count(F.lit(1)).alias("rows")], []
+    for i, f in enumerate(named):
+        text = isinstance(f.dataType, T.StringType)
+        value = F.try_to_timestamp(F.trim(col(f.name))) if text else col(f.name)
+        aggs += [F.count(col(f.name)).alias(f"v{i}"), F.count(value).alias(f"p{i}")]
+        records.append({"column": F.lit(f.name), "unparsed": F.lit(text), "values": F.col(f"v{i}"), "parseable": F.col(f"p{i}")})
+    if not records:
+        return df.sparkSession.createDataFrame([], "column string, unparsed boolean, values bigint, parseable bigint")
+    return to_rows(df.agg(*aggs), records)
 
 
 def id_columns(df: DataFrame) -> list[str]:
@@ -144,7 +156,7 @@ def class_balance(df: DataFrame, target: str, limit: float = 0.2) -> DataFrame:
         df.filter(col(target).isNotNull())
         .groupBy(col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     )
-    total = df.agg(F.count(col(target)).alias("t"))
+    total = counts.agg(F.sum("n").alias("t"))
     shares = counts.select("class", "n", (F.col("n") / total.scalar()).alias("share"))
     return shares.withColumn("imbalanced", F.col("share") < F.lit(limit))
 

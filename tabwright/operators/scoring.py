@@ -12,11 +12,16 @@ from pyspark.sql import types as T
 from ..functions.scalar import clean_double, col, decide, is_missing, risk_tier
 
 
+def as_number(name: str) -> Column:
+    """Double value; NaN and text that is no number count as missing."""
+    return F.nanvl(col(name).try_cast("double"), F.lit(None).cast("double"))
+
+
 def fill_missing_features(df: DataFrame, features: Sequence[str], value: float = 0.0) -> DataFrame:
     """Every feature present and not missing: absent columns are added with the default."""
     made = {}
     for f in features:
-        made[f] = F.coalesce(clean_double(f), F.lit(value)) if f in df.columns else F.lit(value)
+        made[f] = F.coalesce(as_number(f), F.lit(value)) if f in df.columns else F.lit(value)
     return df.withColumns(made)
 
 

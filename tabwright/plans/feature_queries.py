@@ -120,11 +120,11 @@ def f6(spark, sf):
 
 
 @query("f7_utilisation", with_tables("""
-    select c_custkey, round(greatest(least(c_acctbal / nullif(cast(trans_amt as double), 0), 1), 0), 6) as used,
-           case when greatest(least(c_acctbal / nullif(cast(trans_amt as double), 0), 1), 0) > 0.8 then 1 else 0 end as high
-    from {cust_ft} where trans_amt <> 0"""))
+    select c_custkey, case when trans_amt <> 0 then round(greatest(least(c_acctbal / nullif(cast(trans_amt as double), 0), 1), 0), 6) end as used,
+           case when trans_amt <> 0 and greatest(least(c_acctbal / nullif(cast(trans_amt as double), 0), 1), 0) > 0.8 then 1 else 0 end as high
+    from {cust_ft}"""))
 def f7(spark, sf):
-    df = table(spark, sf, "cust_ft").filter("trans_amt <> 0")
+    df = table(spark, sf, "cust_ft")
     used = S.utilisation("c_acctbal", "trans_amt")
     return df.select("c_custkey", F.round(used, 6).alias("used"), S.as_flag(used > 0.80).alias("high"))
 
@@ -379,10 +379,10 @@ def f_hr(spark, sf):
 @query("f_financial_features", with_tables("""
     select c_custkey, round(trans_ct / nullif(c_nationkey, 0), 6) as transaction_velocity,
            date_diff('day', cast(last_order as date), date '2001-09-01') as days_since_last_complaint,
-           round(greatest(least(c_acctbal / nullif(cast(trans_amt as double), 0), 1), 0), 6) as credit_utilization
-    from {cust_ft} where trans_amt <> 0"""))
+           case when trans_amt <> 0 then round(greatest(least(c_acctbal / nullif(cast(trans_amt as double), 0), 1), 0), 6) end as credit_utilization
+    from {cust_ft}"""))
 def f_financial(spark, sf):
-    out = features.financial_features(table(spark, sf, "cust_ft").filter("trans_amt <> 0"), {
+    out = features.financial_features(table(spark, sf, "cust_ft"), {
         "transactions_30d": "trans_ct", "tenure_months": "c_nationkey", "last_complaint_date": "last_order",
         "reference_date": "2001-09-01", "current_balance": "c_acctbal", "credit_limit": "trans_amt"})
     return out.select("c_custkey", F.round("transaction_velocity", 6).alias("transaction_velocity"), "days_since_last_complaint",

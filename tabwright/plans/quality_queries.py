@@ -43,9 +43,10 @@ def q3(spark, sf):
 
 
 @query("q4_unparsed_dates", with_tables("""
-    select 'event_time_s' as "column", typeof(any_value(event_time_s)) = 'VARCHAR' as unparsed from {str_events}
-    union all select 'o_orderdate', typeof(any_value(o_orderdate)) = 'VARCHAR' from orders
-    union all select 'l_shipdate', typeof(any_value(l_shipdate)) = 'VARCHAR' from lineitem"""))
+    select 'event_time_s' as "column", typeof(any_value(event_time_s)) = 'VARCHAR' as unparsed, count(event_time_s) as values,
+           count(try_cast(event_time_s as timestamp)) as parseable from {str_events}
+    union all select 'o_orderdate', typeof(any_value(o_orderdate)) = 'VARCHAR', count(o_orderdate), count(o_orderdate) from orders
+    union all select 'l_shipdate', typeof(any_value(l_shipdate)) = 'VARCHAR', count(l_shipdate), count(l_shipdate) from lineitem"""))
 def q4(spark, sf):
     parts = [quality.check_unparsed_dates(table(spark, sf, t)) for t in ("str_events", "orders", "lineitem")]
     return reduce(DataFrame.unionByName, parts)
