@@ -53,24 +53,60 @@ def _same_group(by: Sequence[str], values: Sequence) -> Column:
 
 
 class _Slot:
-    """One wanted quantile and the value interval known to hold it."""
+    """One wanted quantile and the closed value interval known to hold it.
+
+    Each end carries two exact ranks: how many values are below it, and how many
+    are not above it.
+    """
 
     def __init__(self, group, column, prob, n, x):
         self.group, self.column, self.prob, self.n, self.x = group, column, prob, n, x
         self.rank = (n - 1) * prob
-        self.lo = self.hi = None
-        self.below, self.inside, self.between = 0, n, n
+        self.lo, self.below_lo, self.upto_lo = None, 0, 0
+        self.hi, self.below_hi, self.upto_hi = None, n, n
+        self.margin = 0.0
         self.value = None
 
-    def within(self) -> Column:
-        c = self.x
-        if self.lo is not None:
-            c = F.when((self.x >= self.lo) & (self.x <= self.hi), self.x)
-        return c
+    @property
+    def between(self) -> int:
+        return self.below_hi - self.upto_lo
 
     @property
-    def inner_prob(self) -> float:
-        return min(max((self.rank - self.below) / max(self.inside - 1, 1), 0.0), 1.0)
+    def inside(self) -> int:
+        return self.upto_hi - self.below_lo
+
+    def strictly_inside(self) -> Column:
+        above = F.lit(True) if self.lo is None else self.x > F.lit(self.lo)
+        under = F.lit(True) if self.hi is None else self.x < F.lit(self.hi)
+        return F.when(above & under, self.x)
+
+    def within(self) -> Column:
+        above = F.lit(True) if self.lo is None else self.x >= F.lit(self.lo)
+        under = F.lit(True) if self.hi is None else self.x <= F.lit(self.hi)
+        return F.when(above & under, self.x)
+
+    def sketch_probs(self) -> list[float]:
+        at = (self.rank - self.upto_lo) / max(self.between - 1, 1)
+        return [min(max(at - self.margin, 0.0), 1.0), min(max(at + self.margin, 0.0), 1.0)]
+
+    def final_prob(self) -> float:
+        return min(max((self.rank - self.below_lo) / max(self.inside - 1, 1), 0.0), 1.0)
+
+    def take(self, a: float, b: float, c: dict) -> None:
+        """Move the ends to a and b where the exact ranks show that nothing wanted is cut off."""
+        moved = False
+        if c["below_a"] <= math.floor(self.rank):
+            self.lo, self.below_lo, self.upto_lo, moved = a, c["below_a"], c["upto_a"], True
+        if math.ceil(self.rank) < c["upto_b"]:
+            self.hi, self.below_hi, self.upto_hi, moved = b, c["below_b"], c["upto_b"], True
+        if self.lo is not None and math.ceil(self.rank) < self.upto_lo:
+            self.hi, self.below_hi, self.upto_hi = self.lo, self.below_lo, self.upto_lo
+        elif self.hi is not None and math.floor(self.rank) >= self.below_hi:
+            self.lo, self.below_lo, self.upto_lo = self.hi, self.below_hi, self.upto_hi
+        if not moved:
+            self.margin *= 2
+            if self.margin > 4:
+                raise ArithmeticError(f"quantile {self.prob} of {self.column} could not be enclosed")
 
 
 def _agg_slots(df, slots, make) -> list[dict]:
@@ -87,35 +123,29 @@ def _agg_slots(df, slots, make) -> list[dict]:
 def _narrow(df: DataFrame, slots: list[_Slot], exact_rows: int, accuracy: int) -> None:
     """Shrink each slot's interval until few values lie strictly inside it.
 
-    A round is two scans with bounded state: a rank sketch proposes an interval
-    around the wanted rank, and exact counts confirm it. Repeated values cost
-    nothing, because only distinct values strictly inside the interval matter.
+    A round is two scans with bounded state: a rank sketch over the open interval
+    proposes new ends near the wanted rank, and exact counts decide on them. Each
+    end taken over leaves the open interval, so every round makes it smaller, and a
+    value repeated in many rows goes with one step.
     """
-    margin = 2.0 / accuracy
+    for s in slots:
+        s.margin = 2.0 / accuracy
     while True:
         wide = [s for s in slots if s.between > exact_rows]
         if not wide:
             return
         proposals = _agg_slots(df, wide, lambda s: {
-            "q": F.percentile_approx(
-                s.within(),
-                [max(s.inner_prob - margin, 0.0), min(s.inner_prob + margin, 1.0)],
-                accuracy,
-            )
-        })
-        for s, p in zip(wide, proposals):
-            s.lo, s.hi = p["q"]
-        counts = _agg_slots(df, wide, lambda s: {
-            "below": F.count(F.when(s.x < s.lo, 1)),
-            "inside": F.count(F.when((s.x >= s.lo) & (s.x <= s.hi), 1)),
-            "between": F.count(F.when((s.x > s.lo) & (s.x < s.hi), 1)),
+            "q": F.percentile_approx(s.strictly_inside(), s.sketch_probs(), accuracy)
         })
-        for s, c in zip(wide, counts):
-            before = s.between
-            s.below, s.inside, s.between = c["below"], c["inside"], c["between"]
-            covered = s.below <= math.floor(s.rank) and math.ceil(s.rank) < s.below + s.inside
-            if not covered or s.between >= before:
-                raise ArithmeticError(f"rank sketch did not enclose quantile {s.prob} of {s.column}")
+        ends = {id(s): p["q"] for s, p in zip(wide, proposals)}
+
+        def ranks(s: _Slot) -> dict:
+            a, b = (F.lit(v) for v in ends[id(s)])
+            count = lambda test: F.count(F.when(test, 1))
+            return {"below_a": count(s.x < a), "upto_a": count(s.x <= a), "below_b": count(s.x < b), "upto_b": count(s.x <= b)}
+
+        for s, c in zip(wide, _agg_slots(df, wide, ranks)):
+            s.take(*ends[id(s)], c)
 
 
 def quantiles(
@@ -163,7 +193,7 @@ def quantiles(
             slots += [_Slot(group, c, p, r[f"n{i}"], x) for p in probs]
     known = [s for s in slots if s.n > 0]
     _narrow(df, known, exact_rows, accuracy)
-    for s, v in zip(known, _agg_slots(df, known, lambda s: {"v": F.percentile(s.within(), s.inner_prob)})):
+    for s, v in zip(known, _agg_slots(df, known, lambda s: {"v": F.percentile(s.within(), s.final_prob())})):
         s.value = v["v"]
     schema = T.StructType(
         [df.schema[b] for b in by]

@@ -29,7 +29,8 @@ def st1(spark, sf):
     scored = streams.score_stream(stream, ["value"], linear_probability({"value": 0.01}, -1.0))
     out = scratch_path(spark, "stream-scores")
     streams.write_scores(scored.drop("errors", "warnings"), f"{out}/rows", f"{out}/progress").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("event_id", "valid", "probability", "prediction")
+    rows = spark.read.parquet(f"{out}/rows").withColumn("valid", F.col("valid").cast("boolean"))
+    return rows.select("event_id", "valid", "probability", "prediction")
 
 
 @query("st2_stream_daily_rollup", """
