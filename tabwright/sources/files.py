@@ -14,7 +14,6 @@ FORMAT_BY_EXTENSION = {
     ".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl",
     ".xml": "xml", ".xlsx": "excel", ".xls": "excel",
 }
-REPLACEMENT_CHARACTER = "�"
 
 
 @dataclass(frozen=True)
@@ -37,7 +36,7 @@ class FileSpec:
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8, or ISO-8859-1 when some line cannot be read as UTF-8. Stops at the first such line."""
-    broken = spark.read.text(path).filter(F.col("value").contains(REPLACEMENT_CHARACTER)).limit(1)
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
