@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.scalar import clean_double, col, skew_sample
 
 EXPRESSIONS_PER_PASS = 100
-EXACT_ROWS = 2_000_000
+EXACT_ROWS = 50_000
 SKETCH_ACCURACY = 10_000
 MAX_GROUPS = 1_000
 
@@ -120,24 +120,23 @@ def _agg_slots(df, slots, make) -> list[dict]:
     return out
 
 
-def _narrow(df: DataFrame, slots: list[_Slot], exact_rows: int, accuracy: int) -> None:
+def _narrow(df: DataFrame, slots: list[_Slot], ends: dict, exact_rows: int, accuracy: int) -> None:
     """Shrink each slot's interval until few values lie strictly inside it.
 
-    A round is two scans with bounded state: a rank sketch over the open interval
-    proposes new ends near the wanted rank, and exact counts decide on them. Each
-    end taken over leaves the open interval, so every round makes it smaller, and a
-    value repeated in many rows goes with one step.
+    ``ends`` holds a first proposal per slot from a rank sketch. Exact counts decide
+    on proposals; where too much is left, a sketch over the open interval proposes
+    again. A round is two scans with bounded state. Each end taken over leaves the
+    open interval, so every round makes it smaller, and a value repeated in many
+    rows goes with one step.
     """
     for s in slots:
         s.margin = 2.0 / accuracy
-    while True:
-        wide = [s for s in slots if s.between > exact_rows]
-        if not wide:
-            return
-        proposals = _agg_slots(df, wide, lambda s: {
-            "q": F.percentile_approx(s.strictly_inside(), s.sketch_probs(), accuracy)
-        })
-        ends = {id(s): p["q"] for s, p in zip(wide, proposals)}
+    while wide := [s for s in slots if s.between > exact_rows]:
+        if not ends:
+            proposals = _agg_slots(df, wide, lambda s: {
+                "q": F.percentile_approx(s.strictly_inside(), s.sketch_probs(), accuracy)
+            })
+            ends = {id(s): p["q"] for s, p in zip(wide, proposals)}
 
         def ranks(s: _Slot) -> dict:
             a, b = (F.lit(v) for v in ends[id(s)])
@@ -146,6 +145,7 @@ def _narrow(df: DataFrame, slots: list[_Slot], exact_rows: int, accuracy: int) -
 
         for s, c in zip(wide, _agg_slots(df, wide, ranks)):
             s.take(*ends[id(s)], c)
+        ends = {}
 
 
 def quantiles(
@@ -178,21 +178,27 @@ def quantiles(
 
     if not exact:
         return table(lambda x: F.percentile_approx(x, probs, accuracy))
-    counts = df.groupBy(*by).agg(*[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(cols)])
-    counts = counts.limit(MAX_GROUPS + 1).collect()
-    if len(counts) > MAX_GROUPS:
+    around = [min(max(p + side * 2.0 / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    first = df.groupBy(*by).agg(
+        *[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(values[c], around, accuracy).alias(f"a{i}") for i, c in enumerate(cols)],
+    ).limit(MAX_GROUPS + 1).collect()
+    if len(first) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups: aggregate to fewer groups first")
-    if all(r[f"n{i}"] <= exact_rows for r in counts for i in range(len(cols))):
+    if all(r[f"n{i}"] <= exact_rows for r in first for i in range(len(cols))):
         return table(lambda x: F.percentile(x, probs))
 
-    slots = []
-    for r in counts:
+    slots, ends = [], {}
+    for r in first:
         group = tuple(r[b] for b in by)
         for i, c in enumerate(cols):
             x = F.when(_same_group(by, group), values[c]) if by else values[c]
-            slots += [_Slot(group, c, p, r[f"n{i}"], x) for p in probs]
+            for j, p in enumerate(probs):
+                slots.append(_Slot(group, c, p, r[f"n{i}"], x))
+                if r[f"n{i}"]:
+                    ends[id(slots[-1])] = r[f"a{i}"][2 * j:2 * j + 2]
     known = [s for s in slots if s.n > 0]
-    _narrow(df, known, exact_rows, accuracy)
+    _narrow(df, known, ends, exact_rows, accuracy)
     for s, v in zip(known, _agg_slots(df, known, lambda s: {"v": F.percentile(s.within(), s.final_prob())})):
         s.value = v["v"]
     schema = T.StructType(

@@ -216,16 +216,20 @@ def text_kinds(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, st
     cols = list(cols) if cols is not None else string_columns(df)
     if not cols:
         return {}
+    parsed: list[Column] = []
     exprs: dict[str, Column] = {}
     for i, c in enumerate(cols):
-        present = col(c).isNotNull()
-        exprs[f"n{i}"] = F.count(col(c))
-        exprs[f"b{i}"] = F.bool_and(F.when(present, bool_value(c).isNotNull()))
-        exprs[f"d{i}"] = F.bool_and(F.when(present, number_value(c).isNotNull()))
-        exprs[f"i{i}"] = F.bool_and(F.when(present, number_value(c) == F.floor(number_value(c))))
+        # each text is parsed once, then counted
+        parsed += [col(c).isNotNull().alias(f"p{i}"), bool_value(c).isNotNull().alias(f"b{i}"), number_value(c).alias(f"d{i}")]
+        present, number = F.col(f"p{i}"), F.col(f"d{i}")
+        exprs[f"n{i}"] = F.count(F.when(present, 1))
+        exprs[f"b{i}"] = F.bool_and(F.when(present, F.col(f"b{i}")))
+        exprs[f"d{i}"] = F.bool_and(F.when(present, number.isNotNull()))
+        exprs[f"i{i}"] = F.bool_and(F.when(present, number == F.floor(number)))
         if DATE_HINT.search(c):
-            exprs[f"t{i}"] = F.bool_and(F.when(present, timestamp_value(c).isNotNull()))
-    found = wide_agg(df, exprs)
+            parsed.append(timestamp_value(c).isNotNull().alias(f"t{i}"))
+            exprs[f"t{i}"] = F.bool_and(F.when(present, F.col(f"t{i}")))
+    found = wide_agg(df.select(*parsed), exprs)
     kinds = {}
     for i, c in enumerate(cols):
         if not found[f"n{i}"]:

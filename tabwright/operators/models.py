@@ -97,14 +97,19 @@ def prepare(df: DataFrame, features: Sequence[str], label: str, weighted: bool =
     return with_weights(out, "label") if weighted else out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions for rows that many iterations will read, however they were stored."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features")
 
 
 def fit(df: DataFrame, algorithm: str, features: Sequence[str], label: str, params: Mapping | None = None) -> PipelineModel:
     """Fit one model; the prepared rows are kept while the iterations run over them."""
-    rows = prepare(df, features, label, weighted=is_classifier(algorithm)).select(
-        *features, "label", *(["weight"] if is_classifier(algorithm) else [])).persist()
+    rows = spread(prepare(df, features, label, weighted=is_classifier(algorithm)).select(
+        *features, "label", *(["weight"] if is_classifier(algorithm) else []))).persist()
     try:
         # balanced weights add up to the row count
         estimator = make_estimator(algorithm, rows.count(), params)
@@ -195,7 +200,8 @@ def random_search(df: DataFrame, algorithm: str, features: Sequence[str], label:
     trials = trials or TRIALS.get(algorithm, DEFAULT_TRIALS)
     classify = is_classifier(algorithm)
     rows = prepare(df, features, label, weighted=classify)
-    rows = assembler(features).transform(rows).select("features", "label", "split", *(["weight"] if classify else [])).persist()
+    rows = assembler(features).transform(rows).select("features", "label", "split", *(["weight"] if classify else []))
+    rows = spread(rows).persist()
     try:
         train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
         n = train.count()

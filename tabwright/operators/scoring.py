@@ -34,11 +34,11 @@ def linear_probability(coefficients: Mapping[str, float], intercept: float = 0.0
 def top_reasons(weights: Mapping[str, float], k: int = 3, digits: int = 4) -> Column:
     """The k features with the largest |weight x value|, as an array of structs; ties by name."""
     entries = F.array(*[
-        F.struct((-F.abs(F.lit(w) * col(f))).alias("o"), F.lit(f).alias("feature"),
+        F.struct(F.coalesce(-F.abs(F.lit(w) * col(f)), F.lit(0.0)).alias("o"), F.lit(f).alias("feature"),
                  F.round(F.lit(w), digits).alias("importance"), F.round(col(f), digits).alias("value"))
         for f, w in weights.items()
     ])
-    return F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(e["feature"], e["importance"], e["value"]))
+    return F.transform(F.slice(F.sort_array(entries), 1, k), lambda e: F.struct(e["feature"], e["importance"], e["value"]))
 
 
 def score_table(df: DataFrame, probability: Column, weights: Mapping[str, float], threshold: float = 0.5,
@@ -101,10 +101,10 @@ def attribution_rows(df: DataFrame, coefficients: Mapping[str, float], k: int =
     means = wide_agg(df, {f: F.avg(clean_double(f)) for f in coefficients})
     parts = linear_contributions(coefficients, means)
     entries = F.array(*[
-        F.struct((-F.abs(c)).alias("o"), F.lit(f).alias("feature"), clean_double(f).alias("value"), c.alias("contribution"))
+        F.struct(F.coalesce(-F.abs(c), F.lit(0.0)).alias("o"), F.lit(f).alias("feature"), clean_double(f).alias("value"), c.alias("contribution"))
         for f, c in parts.items()
     ])
-    best = F.slice(F.array_sort(entries), 1, k)
+    best = F.slice(F.sort_array(entries), 1, k)
     return df.withColumn("reasons", F.transform(best, lambda e: F.struct(e["feature"], e["value"], e["contribution"])))
 
 

@@ -211,6 +211,14 @@ def d1(spark, sf):
     return out.select(*LINE_KEY, "probability", "prediction", "risk_tier", "model_version", F.col("top_reasons")[0]["feature"].alias("first_reason"))
 
 
+@query("d1_batch_probability", f"""
+    select {LINE}, round({Z}, 4) as probability, cast({Z} >= 0.5 as int) as prediction from lineitem""")
+def d1_batch(spark, sf):
+    p = scoring.linear_probability(SCORE_WEIGHTS, -0.9)
+    rows = table(spark, sf, "lineitem").select(*LINE_KEY, p.alias("p"))
+    return rows.select(*LINE_KEY, F.round("p", 4).alias("probability"), (F.col("p") >= 0.5).cast("int").alias("prediction"))
+
+
 # drift ----------------------------------------------------------------------
 
 @query("d5_drift", with_tables(union([

@@ -321,8 +321,8 @@ def f20(spark, sf):
         when {has(UNSUPERVISED_WORDS)} then 'clustering/anomaly' when {has(REGRESSION_WORDS)} then 'Regression' end as subtype
     from (select doc_id, lower(text) as t from documents)""")
 def f21(spark, sf):
-    rules = classify_goal("text")
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in rules.items()])
+    goals = table(spark, sf, "documents").select("doc_id", classify_goal("text").alias("goal"))
+    return goals.select("doc_id", "goal.problem_type", "goal.subtype")
 
 
 @query("f22_problem_type", with_tables("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import accept, attribution, choose, metrics, models, selection
 from ..operators.splits import split
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import sinks
 from .fixtures import table, with_tables
 from .registry import query
@@ -19,7 +19,8 @@ SMALL = {"n_estimators": 10, "max_depth": 4}
 
 
 def docs(spark, sf):
-    return split(table(spark, sf, "doc_ft"), "doc_id", "toxic")
+    """Text features and labels, written once: every fit and score reads the small result."""
+    return cut_lineage(split(table(spark, sf, "doc_ft"), "doc_id", "toxic"), "docs")
 
 
 def vectors(spark, sf):
@@ -67,7 +68,7 @@ def m8(spark, sf):
 def regression(spark, sf, algorithm, params=None):
     df = table(spark, sf, "lineitem").select(*LINE_KEY, "l_extendedprice", *LINE_FEATURES)
     model = models.fit(df, algorithm, LINE_FEATURES, "l_extendedprice", params)
-    scored = models.predict(model, df, LINE_FEATURES)
+    scored = cut_lineage(models.predict(model, df, LINE_FEATURES).select("l_extendedprice", "pred"), "predictions")
     return metrics.regression_metrics(scored, "l_extendedprice", "pred")
 
 

@@ -32,7 +32,7 @@ def test_goal_types(spark):
         "Segment users": ("UNSUPERVISED", "clustering/anomaly"), "Predict from few labels": ("SEMI-SUPERVISED", None),
         "Detect similar fraud": ("SUPERVISED", "Classification"), "Hello": ("AMBIGUOUS", None)}
     df = spark.createDataFrame([(g,) for g in goals], "g string")
-    got = {r["g"]: (r["problem_type"], r["subtype"]) for r in df.select("g", *[c.alias(n) for n, c in classify_goal("g").items()]).collect()}
+    got = {r["g"]: (r["problem_type"], r["subtype"]) for r in df.select("g", classify_goal("g").alias("k")).select("g", "k.*").collect()}
     assert got == goals
 
 
