@@ -13,6 +13,7 @@ from ..functions.scalar import clean_double, col
 from ..session import cut_lineage
 from .aggregates import numeric_columns, string_columns, value_shares, wide_agg
 from .clean import audit_table, binary_columns
+from .joins import left_enrich
 
 ONE_HOT_MAX = 10
 CODE_MAP_MAX = 1_000
@@ -67,9 +68,9 @@ def one_hot(df: DataFrame, name: str, values: Sequence[str] | None = None, limit
 def frequency_encode(df: DataFrame, name: str, fit_on: DataFrame | None = None) -> DataFrame:
     """Replace a value by its share of the non-missing rows."""
     shares = value_shares(fit_on if fit_on is not None else df, name)
-    shares = shares.select(F.col("value").alias(name), F.col("share").alias("_share"))
-    joined = df.join(shares, name, "left")
-    return joined.withColumn(name, F.col("_share")).drop("_share").select(*df.columns)
+    shares = cut_lineage(shares.select(F.col("value").alias(name), "n", F.col("share").alias("_share")), "shares")
+    joined = left_enrich(df, shares.withColumnRenamed("n", "_n"), name, count_col="_n")
+    return joined.withColumn(name, F.col("_share")).select(*df.columns)
 
 
 def encoding_plan(df: DataFrame, target: str | None = None, orders: Mapping[str, Sequence[str]] | None = None,
@@ -106,7 +107,7 @@ class CategoryEncoder:
         plan = {c: m for c, m in encoding_plan(df, target, orders).items() if c not in skip}
         known = {c: levels(df, c, ONE_HOT_MAX) for c, m in plan.items() if m in ("binary", "one-hot")}
         shares = {
-            c: value_shares(df, c).select(F.col("value").alias(c), F.col("share").alias(f"_{c}_share"))
+            c: cut_lineage(value_shares(df, c).select(F.col("value").alias(c), F.col("n").alias("_n"), F.col("share").alias("_share")), "shares")
             for c, m in plan.items() if m == "frequency"
         }
         return cls(plan, {c: list(v) for c, v in (orders or {}).items()}, known, shares)
@@ -123,7 +124,7 @@ class CategoryEncoder:
             if method == "one-hot":
                 out = one_hot(out, c, self.known[c])
             elif method == "frequency":
-                out = out.join(self.shares[c], c, "left").withColumn(c, F.col(f"_{c}_share")).drop(f"_{c}_share")
+                out = left_enrich(out, self.shares[c], c, count_col="_n").withColumn(c, F.col("_share")).drop("_n", "_share")
         return out
 
     def audit(self, df: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_double, col
-from .aggregates import correlations, pairs, to_rows
+from .aggregates import correlations, pairs, to_rows, wide_agg
 from .choose import rank_models
+from .metrics import roc_auc
 
 OCCAM_GAIN = 0.005
 
@@ -42,21 +43,23 @@ def soft_vote_class(vectors: Sequence[str]) -> Column:
     return (F.array_position(total, F.array_max(total)) - 1).cast("int")
 
 
-def weighted_mean(scores: Mapping[str, Column]) -> Column:
+def weighted_mean(weights: Mapping[str, float]) -> Column:
     """Weighted mean of score columns; the weights need not add up to one."""
-    top = reduce(lambda a, b: a + b, [clean_double(s) * w for s, w in scores.items()])
-    return top / reduce(lambda a, b: a + b, list(scores.values()))
+    total = sum(weights.values())
+    return reduce(lambda a, b: a + b, [clean_double(s) * F.lit(w / total) for s, w in weights.items()])
 
 
-def auc_weights(auc: Mapping[str, Column | float]) -> dict[str, Column]:
-    """Weight 1 / (1 - AUC) per model."""
-    return {m: 1.0 / F.greatest(1 - (a if isinstance(a, Column) else F.lit(a)), F.lit(1e-9)) for m, a in auc.items()}
+def auc_weights(df: DataFrame, scores: Sequence[str], y: str = "y") -> dict[str, float]:
+    """Weight 1 / (1 - AUC) per score column, all of them ranked in one job."""
+    long = df.select(col(y).alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(s).alias("model"), clean_double(s).alias("p")) for s in scores])).alias("m")).select("y", "m.*")
+    return {r["model"]: 1.0 / max(1.0 - r["roc_auc"], 1e-9) for r in roc_auc(long, by=["model"]).collect()}
 
 
-def rmse_weights(df: DataFrame, y: str, preds: Sequence[str]) -> dict[str, Column]:
-    """Weight 1 / RMSE per prediction column, as scalars of one aggregate."""
-    one = df.agg(*[F.sqrt(F.avg(F.pow(clean_double(p) - clean_double(y), 2))).alias(f"e{i}") for i, p in enumerate(preds)])
-    return {p: 1.0 / F.greatest(one.select(f"e{i}").scalar(), F.lit(1e-9)) for i, p in enumerate(preds)}
+def rmse_weights(df: DataFrame, preds: Sequence[str], y: str = "y") -> dict[str, float]:
+    """Weight 1 / RMSE per prediction column, from one aggregate."""
+    found = wide_agg(df, {p: F.sqrt(F.avg(F.pow(clean_double(p) - clean_double(y), 2))) for p in preds})
+    return {p: 1.0 / max(e, 1e-9) for p, e in found.items()}
 
 
 def weight_table(df: DataFrame, y: str, preds: Sequence[str]) -> DataFrame:

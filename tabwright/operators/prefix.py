@@ -12,6 +12,7 @@ from ..functions.scalar import clean_double, col
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4_096
+MAX_CASES = 64
 
 
 def bucket_edges(df: DataFrame, order_col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
@@ -41,6 +42,17 @@ def bucket_of(order_col: str, edges: Sequence[float]) -> Column:
     return search(0, len(edges))
 
 
+def with_bucket(df: DataFrame, order_col: str, edges: Sequence[float]) -> DataFrame:
+    """Add ``_bucket``. Many cut points go through Spark's bucketizer, which searches an array."""
+    if len(edges) <= MAX_CASES:
+        return df.withColumn("_bucket", bucket_of(order_col, edges))
+    from pyspark.ml.feature import Bucketizer
+    splits = [-float("inf"), *edges, float("inf")]
+    search = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep")
+    found = search.transform(df.withColumn("_x", clean_double(order_col)))
+    return found.withColumn("_bucket", F.col("_b").cast("int")).drop("_x", "_b")
+
+
 def prefix_scan(
     df: DataFrame,
     order_col: str,
@@ -59,7 +71,7 @@ def prefix_scan(
     by = list(by)
     fn = {"sum": F.sum, "max": F.max}[how]
     edges = bucket_edges(df, order_col, rows_per_bucket)
-    keyed = df.withColumn("_bucket", bucket_of(order_col, edges))
+    keyed = with_bucket(df, order_col, edges)
     cells = keyed.groupBy(*by, "_bucket", order_col).agg(*[fn(c).alias(n) for n, c in values.items()])
     order = F.desc if descending else F.asc
     inside = Window.partitionBy(*by, "_bucket").orderBy(order(order_col))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .clean import NullPolicy, Winsorizer, audit_table, dedup_counts, deduplicate, recast, text_kinds
 from .encode import CategoryEncoder, Standardizer
 
@@ -52,7 +53,7 @@ class Preprocessor:
 def preprocess(df: DataFrame, target: str | None = None, orders: Mapping[str, Sequence[str]] | None = None,
                keys: Iterable[str] = (), fit_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """De-duplicate, then fit (on ``fit_on`` if given) and apply. Returns the table and its audit."""
-    rows = deduplicate(df)
+    rows = cut_lineage(deduplicate(df), "distinct-rows")  # the fit reads it about ten times
     fitted = Preprocessor.fit(fit_on if fit_on is not None else rows, target, orders, keys)
     removed = dedup_counts(df).select(
         F.lit("duplicates").alias("step"), F.lit(None).cast("string").alias("column"),

@@ -192,9 +192,10 @@ def data_profile(df: DataFrame, target: str) -> DataFrame:
     missing = sum((F.count(F.when(is_missing(f.name, f.dataType), 1)) for f in features), F.lit(0))
     scan = df.agg(F.count(F.lit(1)).alias("n_rows"), zeros.alias("zeros"), missing.alias("missing"))
     counts = df.filter(col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    balance = counts.agg(F.max("n").alias("largest"), F.min("n").alias("smallest"))
+    largest, smallest = (counts.agg(fn("n")).scalar() for fn in (F.max, F.min))
     total = F.col("n_rows").cast("double")
-    return scan.join(F.broadcast(balance), F.lit(True), "left").select(  # one row each
+    sized = scan.withColumns({"largest": largest, "smallest": smallest})
+    return sized.select(
         "n_rows", F.lit(len(features)).alias("n_features"),
         F.lit(len(numbers)).alias("numeric_features"), F.lit(len(texts)).alias("cat_features"),
         F.try_divide(F.col("largest"), F.col("smallest")).alias("imbalance_ratio"),

@@ -57,7 +57,7 @@ AUCS = f"a1 as ({ranking_sql('{scored}')}), a2 as ({ranking_sql('{scored}', p='p
 @query("en4_weighted_vote", with_tables(f"with {AUCS} select {LINE}, round((p * w1 + p2 * w2) / (w1 + w2), 6) as p from {{scored}}, w"))
 def en4(spark, sf):
     df = table(spark, sf, "scored")
-    weights = ensemble.auc_weights({m: metrics.roc_auc(df, p=m).scalar() for m in ("p", "p2")})
+    weights = ensemble.auc_weights(df, ["p", "p2"])
     return df.select(*LINE_KEY, F.round(ensemble.weighted_mean(weights), 6).alias("p"))
 
 
@@ -67,7 +67,7 @@ RMSES = "w as (select 1 / sqrt(avg((pred - y) * (pred - y))) as w1, 1 / sqrt(avg
 @query("en5_weighted_regression", with_tables(f"with {RMSES} select {LINE}, round((pred * w1 + pred2 * w2) / (w1 + w2), 4) as pred from {{line_pred}}, w"))
 def en5(spark, sf):
     df = table(spark, sf, "line_pred")
-    weights = ensemble.rmse_weights(df, "y", ["pred", "pred2"])
+    weights = ensemble.rmse_weights(df, ["pred", "pred2"])
     return df.select(*LINE_KEY, F.round(ensemble.weighted_mean(weights), 4).alias("pred"))
 
 
@@ -78,7 +78,7 @@ def en5_weights(spark, sf):
 
 def results(spark, sf):
     df = table(spark, sf, "scored")
-    weights = ensemble.auc_weights({m: metrics.roc_auc(df, p=m).scalar() for m in ("p", "p2")})
+    weights = ensemble.auc_weights(df, ["p", "p2"])
     long = df.select("y", F.explode(F.array(*[
         F.struct(F.lit(n).alias("model"), F.lit(k).alias("kind"), s.alias("p")) for n, k, s in (
             ("A", "individual", F.col("p")), ("B", "individual", F.col("p2")), ("Soft", "ensemble", ensemble.soft_vote(["p", "p2"])),

@@ -1,7 +1,7 @@
 """The whole run from raw rows to a scoring bundle, for a 0/1 target.
 
-Stages hand DataFrames to each other. Three tables are written: prepared rows with
-their split, scores of all models, and the bundle. A blocker stops the run.
+Stages hand DataFrames to each other. Tables are written where many passes start:
+distinct rows, prepared rows with their split, scores of all models, and the bundle. A blocker stops the run.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def run(raw: DataFrame, s: Settings) -> Result:
 
     # ingest and integrity
     integrity = quality.integrity_report(raw)
-    rows = clean.deduplicate(raw.filter(F.col(s.target).isNotNull()))
+    rows = cut_lineage(clean.deduplicate(raw.filter(F.col(s.target).isNotNull())), "distinct-rows")
     loss = quality.check_row_loss(raw, rows).first()
     if loss["blocked"]:
         raise Blocked(f"{loss['rows_after']} of {loss['rows_before']} rows left after cleaning")

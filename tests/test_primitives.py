@@ -114,7 +114,7 @@ def pairwise_auc(y, p):
     return wins / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("rows_per_bucket", [40, 10_000])
+@pytest.mark.parametrize("rows_per_bucket", [3, 40, 10_000])
 def test_auc_and_average_precision_against_brute_force(spark, rows_per_bucket):
     rng = np.random.RandomState(3)
     y = rng.randint(0, 2, 600)
