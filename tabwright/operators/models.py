@@ -24,6 +24,8 @@ from .scoring import fill_missing_features
 from .splits import folds, nested_subset, with_weights
 
 SEED = 42
+ROWS_PER_PARTITION = 1_000_000
+MAX_PARTITIONS = 50_000
 CLASSIFIERS = {"logistic", "random_forest", "boosted_trees", "linear_svc", "boosted_multiclass", "multinomial"}
 
 
@@ -52,8 +54,12 @@ def _logistic(weight_sum: float, C: float = 1.0, **kw):
         maxIter=kw.pop("max_iter", 1000), **kw)
 
 
-def make_estimator(algorithm: str, rows: int, params: Mapping | None = None):
-    """Estimator for an algorithm name with the default parameters of the choice rules."""
+def make_estimator(algorithm: str, rows: int, params: Mapping | None = None, label_std: float = 1.0):
+    """Estimator for an algorithm name with the default parameters of the choice rules.
+
+    ``rows`` and the label's population standard deviation turn penalties given per
+    sum of squares into Spark's, which are per row and per standardised label.
+    """
     p = dict(params or {})
     if algorithm == "logistic":
         return _logistic(rows, p.pop("C", 1.0), family="binomial", **p)
@@ -81,8 +87,8 @@ def make_estimator(algorithm: str, rows: int, params: Mapping | None = None):
         return LinearRegression(loss="huber", epsilon=p.pop("epsilon", 1.35), maxIter=p.pop("max_iter", 300), labelCol="label", **p)
     if algorithm == "ridge":
         alpha = p.pop("alpha", 1.0)
-        return LinearRegression(elasticNetParam=0.0, regParam=alpha / max(rows, 1), standardization=False,
-                                solver=p.pop("solver", "normal"), labelCol="label", **p)
+        return LinearRegression(elasticNetParam=0.0, regParam=alpha * label_std / max(rows, 1), standardization=False,
+                                solver=p.pop("solver", "auto"), labelCol="label", **p)
     raise ValueError(f"unknown algorithm {algorithm!r}")
 
 
@@ -98,8 +104,12 @@ def prepare(df: DataFrame, features: Sequence[str], label: str, weighted: bool =
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even partitions for rows that many iterations will read, however they were stored."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Even partitions for rows that many iterations will read, however they were stored.
+
+    At least one per core, and enough to keep each partition small.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_PARTITION))
+    return df.repartition(min(parts, MAX_PARTITIONS))
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
@@ -112,7 +122,8 @@ def fit(df: DataFrame, algorithm: str, features: Sequence[str], label: str, para
         *features, "label", *(["weight"] if is_classifier(algorithm) else []))).persist()
     try:
         # balanced weights add up to the row count
-        estimator = make_estimator(algorithm, rows.count(), params)
+        n, spread_y = rows.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+        estimator = make_estimator(algorithm, n, params, spread_y or 1.0)
         return Pipeline(stages=[assembler(features), estimator]).fit(rows)
     finally:
         rows.unpersist()
@@ -204,11 +215,11 @@ def random_search(df: DataFrame, algorithm: str, features: Sequence[str], label:
     rows = spread(rows).persist()
     try:
         train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
-        n = train.count()
+        n, spread_y = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
         results, best = [], None
         for i in range(trials):
             params = {k: r.draw(rng) for k, r in space.items()}
-            model = make_estimator(algorithm, n, params).fit(train)
+            model = make_estimator(algorithm, n, params, spread_y or 1.0).fit(train)
             scored = model.transform(val)
             if classify:
                 value = BinaryClassificationEvaluator(labelCol="label", numBins=0).evaluate(scored)

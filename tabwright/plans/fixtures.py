@@ -47,7 +47,7 @@ DERIVED = {
         from {documents} d join {labels} l on d.doc_id = l.doc_id""",
     # closed-form scores p and p2 with label y, decision and split
     "scored": """
-        select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus, l_quantity, l_extendedprice, l_shipdate,
+        select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate,
                case when l_returnflag = 'R' then 1 else 0 end as y,
                ((l_partkey * 7 + l_suppkey * 13 + l_linenumber * 31) % 1000 + case when l_returnflag = 'R' then 400 else 0 end) / cast(1400 as double) as p,
                ((l_partkey * 11 + l_suppkey * 3 + l_linenumber * 17) % 1000 + case when l_returnflag = 'R' then 300 else 0 end) / cast(1300 as double) as p2,

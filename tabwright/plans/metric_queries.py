@@ -265,12 +265,11 @@ def me18_reasons(spark, sf):
 
 
 @query("me19_explain_top_row", with_tables(f"""
-    with t as (select l_orderkey, p, lineitem.l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax from lineitem join (select {LINE}, p from {{scored}}) using ({LINE})
-               order by p desc, {LINE} limit 1),
+    with t as (select * from {{scored}} order by p desc, {LINE} limit 1),
     parts as (""" + union([f"select '{f}' as feature, cast({f} as double) as value, ({w}) * ({f} - {MEANS[f]}) as c, p, l_orderkey from t" for f, w in WEIGHTS.items()]) + """)
     select l_orderkey, round(p, 6) as score, row_number() over (order by abs(c) desc, feature) as rank, feature, value, round(c, 6) as contribution from parts"""))
 def me19(spark, sf):
-    df = table(spark, sf, "lineitem").join(table(spark, sf, "scored").select(*LINE_KEY, "p"), LINE_KEY)
+    df = table(spark, sf, "scored")
     found = scoring.explain_top_row(df, WEIGHTS, "p", LINE_KEY)
     return rounded(found.select("l_orderkey", "score", "rank", "feature", "value", "contribution"), 6, "score", "contribution")
 

@@ -88,11 +88,11 @@ def m11(spark, sf):
 
 
 @query("m12_ridge_slope", with_tables("""
-    select round(sxy / (sxx + 1), 4) as slope, round(my - sxy / (sxx + 1) * mx, 2) as intercept from (
+    select round(sxy / (sxx + 1000), 6) as slope, round(my - sxy / (sxx + 1000) * mx, 4) as intercept from (
       select covar_pop(l_extendedprice, l_quantity) * count(*) as sxy, var_pop(l_quantity) * count(*) as sxx, avg(l_extendedprice) as my, avg(l_quantity) as mx from lineitem)"""))
 def m12(spark, sf):
-    model = models.fit(table(spark, sf, "lineitem"), "ridge", ["l_quantity"], "l_extendedprice", {"alpha": 1.0}).stages[-1]
-    return spark.createDataFrame([(round(float(model.coefficients[0]), 4), round(float(model.intercept), 2))], "slope double, intercept double")
+    model = models.fit(table(spark, sf, "lineitem"), "ridge", ["l_quantity"], "l_extendedprice", {"alpha": 1000.0}).stages[-1]
+    return spark.createDataFrame([(round(float(model.coefficients[0]), 6), round(float(model.intercept), 4))], "slope double, intercept double")
 
 
 @query("m13_linear_svc")

@@ -119,6 +119,17 @@ def test_regressors(spark):
         assert metrics.regression_metrics(scored).first()["r2"] > 0.9, algorithm
 
 
+def test_ridge_matches_the_closed_form(spark):
+    rng = np.random.RandomState(5)
+    x = rng.normal(size=(300, 2)) * [1.0, 20.0]
+    y = 500 + x @ [30.0, -2.0] + rng.normal(0, 40, 300)
+    df = spark.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y)], "a double, b double, y double")
+    centred = x - x.mean(axis=0)
+    expected = np.linalg.solve(centred.T @ centred + 50 * np.eye(2), centred.T @ (y - y.mean()))
+    got = models.coefficients(models.fit(df, "ridge", ["a", "b"], "y", {"alpha": 50.0}), ["a", "b"])
+    np.testing.assert_allclose([got["a"], got["b"]], expected, rtol=1e-6)
+
+
 def test_whole_run(spark, planted):
     settings = workflow.Settings(target="y", keys=["id"], segments=["seg"], importance_trees=10, params={"logistic": {"max_iter": 50}})
     result = workflow.run(planted.drop("split"), settings)
