@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import clean_double, col
 from ..session import cut_lineage
 from .aggregates import numeric_columns, string_columns, value_shares, wide_agg
 from .clean import audit_table, binary_columns
 from .joins import left_enrich
+from .prefix import row_numbers
 
 ONE_HOT_MAX = 10
 CODE_MAP_MAX = 1_000
@@ -46,15 +46,7 @@ def label_encode(df: DataFrame, name: str) -> DataFrame:
         pairs = [F.lit(x) for kv in codes.items() for x in kv]
         code = F.element_at(F.create_map(*pairs), col(name)) if pairs else F.lit(None).cast("int")
         return df.withColumn(name, code)
-    # ranges of sorted values are numbered in parallel; the checkpoint fixes which range holds what
-    ranged = cut_lineage(found.repartitionByRange(F.col("v")).withColumn("_r", F.spark_partition_id()))
-    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    position = F.row_number().over(Window.partitionBy("_r").orderBy("v")) - 1
-    ranked = ranged.withColumn("_p", position).join(offsets, "_r").select(
-        F.col("v").alias(name), (F.col("_p") + F.col("_o")).alias("_code"),
-    )
+    ranked = row_numbers(found, [F.col("v")], "_code").select(F.col("v").alias(name), F.col("_code") - 1).toDF(name, "_code")
     return df.join(ranked, name, "left").withColumn(name, F.col("_code")).drop("_code").select(*df.columns)
 
 

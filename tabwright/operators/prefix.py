@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import clean_double, col
+from ..session import cut_lineage
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4_096
@@ -90,3 +91,17 @@ def prefix_scan(
     combine = (lambda a, b: a + F.coalesce(b, F.lit(0))) if how == "sum" else (lambda a, b: F.greatest(a, b))
     kept = [F.col(f"s.{c}") for c in [*by, order_col, *values]]
     return joined.select(*kept, *[combine(F.col(f"cum_{n}"), F.col(f"_o_{n}")).alias(f"cum_{n}") for n in values])
+
+
+def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Number all rows 1, 2, ... in an order that ends in a unique key.
+
+    Value ranges are numbered in parallel and shifted by the sizes of the ranges
+    before them. Writing the ranges fixes which rows each of them holds.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_r", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    placed = ranged.withColumn("_p", F.row_number().over(Window.partitionBy("_r").orderBy(*order)))
+    return placed.join(offsets, "_r").withColumn(name, F.col("_p") + F.col("_o")).drop("_r", "_p", "_o")

@@ -423,14 +423,9 @@ def j8(spark, sf):
 
 @query("o1_sorted_ranked", "select s_suppkey, s_acctbal, row_number() over (order by s_acctbal desc, s_suppkey) as rank from supplier")
 def o1(spark, sf):
-    from ..operators.prefix import prefix_scan
-    df = table(spark, sf, "supplier")
-    # equal balances are one cell; positions inside a cell follow the key
-    from pyspark.sql.window import Window
-    cells = prefix_scan(df, "s_acctbal", {"n": F.lit(1)}, descending=True)
-    inside = F.row_number().over(Window.partitionBy("s_acctbal").orderBy("s_suppkey"))
-    ranked = df.select("s_suppkey", "s_acctbal", inside.alias("i")).join(cells, "s_acctbal")
-    return ranked.select("s_suppkey", "s_acctbal", (F.col("cum_n") - F.col("n") + F.col("i")).alias("rank"))
+    from ..operators.prefix import row_numbers
+    df = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return row_numbers(df, [F.desc("s_acctbal"), F.asc("s_suppkey")])
 
 
 @query("o2_preview", "select * exclude (o_orderdate) from orders order by o_orderkey limit 5")

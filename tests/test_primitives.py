@@ -11,7 +11,7 @@ from tabwright.operators import aggregates as agg
 from tabwright.operators import metrics
 from tabwright.operators.encode import label_encode
 from tabwright.operators.joins import left_enrich
-from tabwright.operators.prefix import bucket_of, prefix_scan
+from tabwright.operators.prefix import bucket_of, prefix_scan, row_numbers
 
 
 def frame(spark, values, parts=5):
@@ -108,6 +108,14 @@ def test_label_codes_beyond_the_literal_map(spark, monkeypatch):
     assert {r["name"]: r["code"] for r in ranged} == expected
 
 
+def test_row_numbers_with_a_hot_value(spark):
+    rows = [(i, 7 if i % 3 else i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, v int").repartition(9)
+    got = {r["id"]: r["rank"] for r in row_numbers(df, [F.desc("v"), F.asc("id")]).collect()}
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert got == {i: n for n, (i, _) in enumerate(order, 1)}
+
+
 def pairwise_auc(y, p):
     pos, neg = p[y == 1], p[y == 0]
     wins = (pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()
