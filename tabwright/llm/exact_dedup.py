@@ -34,6 +34,7 @@ def heavy_winners(keys: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY, l
     """The frequent digests of (doc_id, text_sha256) with their verified smallest doc_id and size; ``heavy`` rows at most."""
     sketched = (keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part"))
                 .agg(F.expr(f"approx_top_k_accumulate(text_sha256, {tracked})").alias("sketch"))
+                .groupBy(F.lit(0).alias("all"))  # with a group, an empty table has no sketch to combine
                 .agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch")))
     candidates = sketched.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("c")).select(
         F.col("c.item").alias("text_sha256")).where("text_sha256 is not null")
