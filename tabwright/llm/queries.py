@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import exact_dedup, url_reputation
+from tabwright.llm import bpe, exact_dedup, url_reputation
 from tabwright.llm.common import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -70,3 +73,8 @@ def _weight_sql(source: str, parent: str, prior: str) -> str:
     from ruled join h2 using (host)""")
 def op6_url_reputation(spark, sf_dir):
     return url_reputation.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op9_bpe")
+def op9_bpe(spark, sf_dir):
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
