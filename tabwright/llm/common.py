@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabwright.session import scratch_path
+
 #: rows that one bucket of `running_start` sorts together
 ROWS_PER_BUCKET = 50_000
 
@@ -52,3 +54,10 @@ def running_start(df: DataFrame, key: str, weight: str, buckets: int, by: list[s
     own = Window.partitionBy(*by, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (spread.withColumn("_own", F.coalesce(F.sum(weight).over(own), F.lit(0)))
             .join(starts, [*by, "_bucket"]).withColumn(name, F.col("_own") + F.col("_start")).drop("_bucket", "_own", "_start"))
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Like `cut_lineage`, with a codec that keeps the shared folder small."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import bpe, exact_dedup, url_reputation
+from tabwright.llm import bpe, exact_dedup, packing, training_order, url_reputation
 from tabwright.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -78,3 +78,13 @@ def op6_url_reputation(spark, sf_dir):
 @register("op9_bpe")
 def op9_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@register("op3_packing")
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@register("op10_training_order")
+def op10_training_order(spark, sf_dir):
+    return training_order.in_order(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
