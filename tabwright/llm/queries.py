@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import bpe, exact_dedup, packing, training_order, url_reputation
+from tabwright.llm import bpe, exact_dedup, lang_id, packing, quality_trees, training_order, url_reputation
 from tabwright.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -88,3 +88,15 @@ def op3_packing(spark, sf_dir):
 @register("op10_training_order")
 def op10_training_order(spark, sf_dir):
     return training_order.in_order(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
+
+
+@register("op7_language")
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lang_id.predict_language(docs, lang_id.learn_languages(docs))
+
+
+@register("op8_quality")
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_trees.score_quality(docs, quality_trees.learn_quality(docs, table(spark, sf_dir, "labels")))
