@@ -118,11 +118,11 @@ class Languages:
         still = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # segments that have a j-th character
         codes = [flat[begin[:k] + j] for j, k in enumerate(still)]
         for lang, table in enumerate(self.tables):
-            state, count = np.zeros(len(doc), np.int32), np.ones(len(doc), np.int64)
+            state, count = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int64)
             for c, k in zip(codes, still):
                 s = table[state[:k] * self.alphabet + c]
                 failed = s < 0
-                count[:k] += failed
+                count[:k] += failed | (state[:k] == 0)  # a phrase begins where a match ends, or nothing has matched yet
                 state[:k] = np.where(failed, ~s, s)
             out[:, lang] = np.bincount(doc, count, len(texts))
         return out
