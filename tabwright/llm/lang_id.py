@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,8 +187,6 @@ def predict_language(df: DataFrame, sample: tuple, doc_id: str = "doc_id", text:
 
 def keep_known(df: DataFrame, sample: tuple, text: str = "text") -> DataFrame:
     """The rows of ``df`` with all their columns whose text has a language."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def language(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = built(sample)

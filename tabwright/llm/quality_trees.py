@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,8 +160,6 @@ def score_quality(df: DataFrame, model: Trees, doc_id: str = "doc_id", text: str
 
 def keep_good(df: DataFrame, model: Trees, text: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of ``df`` with all their columns whose text scores at least ``cut``."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
