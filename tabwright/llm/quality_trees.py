@@ -21,7 +21,7 @@ from tabwright.llm.common import slices
 #: most labelled rows that the trees are grown on
 SAMPLE = 20_000
 TREES, DEPTH, BINS = 80, 4, 32
-RATE, LEAST_WEIGHT, RIDGE = 0.15, 5.0, 1.0
+RATE, LEAST_WEIGHT, RIDGE = 0.15, 0.3, 1.0
 #: score from which the predicted label is 1
 CUT = 0.3
 
