@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import bpe, exact_dedup, lang_id, packing, quality_trees, training_order, url_reputation
+from tabwright.llm import bpe, exact_dedup, lang_id, neighbours, packing, quality_trees, training_order, url_reputation
 from tabwright.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -100,3 +100,8 @@ def op7_language(spark, sf_dir):
 def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_trees.score_quality(docs, quality_trees.learn_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op4_neighbours")
+def op4_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
