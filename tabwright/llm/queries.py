@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import bpe, exact_dedup, lang_id, neighbours, packing, quality_trees, training_order, url_reputation
+from tabwright.llm import bpe, exact_dedup, lang_id, license_scan, neighbours, packing, quality_trees, training_order, url_reputation
 from tabwright.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -105,3 +105,8 @@ def op8_quality(spark, sf_dir):
 @register("op4_neighbours")
 def op4_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@register("op5_license_scan", license_scan.scan_sql())
+def op5_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
