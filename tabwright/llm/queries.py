@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import bpe, exact_dedup, lang_id, license_scan, neighbours, packing, quality_trees, training_order, url_reputation
+from tabwright.llm import bpe, exact_dedup, lang_id, license_scan, neighbours, ngram_join, packing, quality_trees, training_order, url_reputation
 from tabwright.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -110,3 +110,8 @@ def op4_neighbours(spark, sf_dir):
 @register("op5_license_scan", license_scan.scan_sql())
 def op5_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op1_ngram_join")
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
