@@ -38,6 +38,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACES = "[\t-\r \x85\xa0  -     　]+"
 SEPARATORS = regex.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the pattern doesn't
 WORD_END = "</w>"
+MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~")
 NONE = np.int32(2**31 - 1)
 
 
@@ -174,10 +175,16 @@ class Bpe:
         again = pieces.intersection(older)
         known.update((p, older[p]) for p in again)
         pieces -= again
-        cut = {p: self.words.findall(p) for p in pieces if not p.isalpha()}  # letters only: one word
-        words = {w for ws in cut.values() for w in ws} | (pieces - cut.keys())
-        fresh = self.encode_words([w for w in words if w not in known])
-        known.update(fresh)
+        cut, words = {}, set()
+        for p in pieces:
+            if p.isalpha():  # letters only: one word
+                words.add(p)
+            elif p[-1] in MARKS and p[:-1].isalpha():
+                cut[p] = (p[:-1], p[-1])
+            else:
+                cut[p] = self.words.findall(p)
+        words.update(*cut.values())
+        known.update(self.encode_words(list(words.difference(known))))
         for p, ws in cut.items():
             known[p] = b"".join([known[w] for w in ws])
 

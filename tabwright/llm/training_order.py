@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -95,13 +96,16 @@ def number_of(slot: np.ndarray, count: int, key: int, rounds: int = ROUNDS) -> n
 
 
 def sequences(df: DataFrame, path: str, length: int = LENGTH, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table of sequences: the task that made it (part), its place there, first document and token, and the ids."""
+    """A written table of sequences: the task that made it (part), its place there, first document and token, number of ids, and the ids.
+
+    The ids are compressed one sequence at a time, and so stay small in the table and in the shuffle after it.
+    """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, place = load(path), TaskContext.get().partitionId(), 0
         kind, tail = id_type(bpe.size), np.array([end], "<u4").tobytes()
-        width = np.dtype(kind).itemsize * length
+        width, squeeze = np.dtype(kind).itemsize * length, lambda raw: pa.compress(raw, "zstd", asbytes=True)
         held, begins, base = bytearray(), [], 0  # ids not yet given out, and (document, place of its first id in the stream)
 
         def cut(all_of_it):
@@ -111,15 +115,15 @@ def sequences(df: DataFrame, path: str, length: int = LENGTH, end: int = END, do
                 first = base + at
                 while k + 1 < len(begins) and begins[k + 1][1] <= first:
                     k += 1
-                out.append((part, place, begins[k][0], (first - begins[k][1]) // np.dtype(kind).itemsize, bytes(held[at:at + width])))
+                out.append((part, place, begins[k][0], (first - begins[k][1]) // np.dtype(kind).itemsize, len(held[at:at + width]) // np.dtype(kind).itemsize, squeeze(bytes(held[at:at + width]))))
                 at, place = min(at + width, len(held)), place + 1
             del held[:at]
             base += at
             while len(begins) > 1 and begins[1][1] <= base:
                 begins.pop(0)
-            columns = list(zip(*out)) if out else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                              ["part", "place", "doc_id", "start", "ids"])
+            columns = list(zip(*out)) if out else [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                                              ["part", "place", "doc_id", "start", "n", "ids"])
 
         for b in slices(batches, ROWS):
             for doc, ids in zip(b.column(0).to_pylist(), bpe.encode_batch(b.column(1).to_pylist())):
@@ -128,7 +132,7 @@ def sequences(df: DataFrame, path: str, length: int = LENGTH, end: int = END, do
             yield cut(False)
         yield cut(True)
 
-    return written(rows.mapInArrow(work, "part int, place long, doc_id long, start long, ids binary"), "sequences")
+    return written(rows.mapInArrow(work, "part int, place long, doc_id long, start long, n int, ids binary"), "sequences", "none")
 
 
 def write_in_order(df: DataFrame, path: str, tokenizer: str, key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD,
@@ -145,22 +149,28 @@ def write_in_order(df: DataFrame, path: str, tokenizer: str, key: int = 1, lengt
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     order = Order(int(parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), length, per_shard, key, id_type(load(tokenizer).size))
-    numbered = made.join(F.broadcast(starts), "part").select((F.col("first") + F.col("place")).alias("number"), "doc_id", "start", "ids")
+    numbered = made.join(F.broadcast(starts), "part").select((F.col("first") + F.col("place")).alias("number"), "doc_id", "start", "n", "ids")
+
+    @F.pandas_udf("long")
+    def slots(number: pd.Series) -> pd.Series:
+        return pd.Series(slot_of(number.to_numpy(), order.sequences, key))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.dtype(order.ids).itemsize
         for b in slices(batches, ROWS):
-            number = b.column(0).to_numpy()
-            slot, records = slot_of(number, order.sequences, key), []
-            for i, doc, start, raw in zip(number.tolist(), *[c.to_pylist() for c in b.columns[1:]]):
-                ids = np.frombuffer(raw, order.ids)
-                head = struct.pack(HEADER, i, NO_DOC if doc is None else doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+            records = []
+            for number, doc, start, n, ids in zip(*[c.to_pylist() for c in b.columns[2:]]):
+                raw = pa.decompress(ids, n * width, "zstd", asbytes=True)
+                head = struct.pack(HEADER, number, NO_DOC if doc is None else doc, start, n, zlib.crc32(np.frombuffer(raw, order.ids).astype("<u4").tobytes()))
                 records.append((head + raw).ljust(order.stride - 1, b"\0"))
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard, pa.int64()), pa.array(slot, pa.int64()), pa.array(records, pa.binary())], ["shard", "slot", "record"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(records, pa.binary())], ["shard", "slot", "record"])
 
     if order.sequences:
         shards = -(-order.sequences // per_shard)
-        (numbered.mapInArrow(work, "shard long, slot long, record binary")
-         .repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
+        (numbered.withColumn("slot", slots("number")).withColumn("shard", F.floor(F.col("slot") / F.lit(per_shard)))
+         .repartitionById(shards, F.col("shard").cast("int"))  # a range of slots is a partition
+         .select("shard", "slot", "number", "doc_id", "start", "n", "ids").mapInArrow(work, "shard long, slot long, record binary")
+         .sortWithinPartitions("shard", "slot")
          .select("shard", F.col("record").cast("string").alias("value"))  # the text writer takes the bytes as they are
          .write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(f"{path}/shards"))
     spark.createDataFrame([tuple(asdict(order).values())], "sequences long, length int, per_shard int, key long, ids string").coalesce(1).write.json(f"{path}/order")
