@@ -48,7 +48,7 @@ def null_ratio(a, b) -> Column:
 def clip(x, lo, hi) -> Column:
     """Bound x to [lo, hi]; a missing x stays missing."""
     lo, hi = (v if isinstance(v, Column) else F.lit(v) for v in (lo, hi))
-    return F.when(col(x).isNotNull(), F.greatest(F.least(col(x), hi), lo))
+    return F.when(clean_double(x).isNotNull(), F.greatest(F.least(col(x), hi), lo))
 
 
 def utilisation(balance, limit) -> Column:
@@ -153,7 +153,8 @@ TIER_ACTIONS = {
 
 
 def risk_tier(p, high: float = HIGH_RISK, medium: float = MEDIUM_RISK) -> Column:
-    return F.when(col(p) > high, "HIGH").when(col(p) > medium, "MEDIUM").otherwise("LOW")
+    """LOW up to ``medium``; a missing probability (NULL or NaN) counts as LOW too."""
+    return F.when(clean_double(p) > high, "HIGH").when(clean_double(p) > medium, "MEDIUM").otherwise("LOW")
 
 
 def action_for(tier) -> Column:
@@ -162,21 +163,22 @@ def action_for(tier) -> Column:
 
 
 def decide(p, threshold: float = 0.5) -> Column:
-    return as_flag(col(p) >= F.lit(threshold))
+    return as_flag(clean_double(p) >= F.lit(threshold))
 
 
 # hashing --------------------------------------------------------------------
 
 HASH_SPACE = 4294967296
+KEY_SPACE = 2147483648
 HASH_STEP = 2654435761
 
 
 def portable_hash(key, seed: int = 42) -> Column:
     """Integer hash of a whole-number key that other SQL engines can repeat.
 
-    Good for keys up to about three billion; ``row_hash`` has no such limit.
+    The key is taken modulo 2**31 first, so that the product fits 64 bits whatever the key.
     """
-    return F.pmod((col(key).cast("bigint") + F.lit(seed)) * F.lit(HASH_STEP), F.lit(HASH_SPACE))
+    return F.pmod((F.pmod(col(key).cast("bigint"), F.lit(KEY_SPACE)) + F.lit(seed)) * F.lit(HASH_STEP), F.lit(HASH_SPACE))
 
 
 def row_hash(keys: Sequence[str], seed: int = 42) -> Column:

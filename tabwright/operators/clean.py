@@ -204,8 +204,21 @@ def timestamp_value(name: str) -> Column:
     return F.try_to_timestamp(F.trim(col(name)))
 
 
+# a plain decimal or scientific number; nothing with a type letter such as 12d or 45f, nor words such as NaN
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def number_value(name: str) -> Column:
-    return F.trim(col(name)).try_cast("double")
+    text = F.trim(col(name))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def whole_value(name: str) -> Column:
+    """A whole number of any size up to 64 bits, without going through double; 1.0 and 1e3 count as whole too."""
+    text = F.trim(col(name))
+    number = number_value(name)
+    return F.coalesce(F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint")), F.when(number == F.floor(number), text.try_cast("decimal(38,10)").try_cast("bigint")),
+                      F.when(number == F.floor(number), number.try_cast("bigint")))
 
 
 def text_kinds(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, str]:
@@ -220,12 +233,12 @@ def text_kinds(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, st
     exprs: dict[str, Column] = {}
     for i, c in enumerate(cols):
         # each text is parsed once, then counted
-        parsed += [col(c).isNotNull().alias(f"p{i}"), bool_value(c).isNotNull().alias(f"b{i}"), number_value(c).alias(f"d{i}")]
+        parsed += [col(c).isNotNull().alias(f"p{i}"), bool_value(c).isNotNull().alias(f"b{i}"), number_value(c).alias(f"d{i}"), whole_value(c).isNotNull().alias(f"w{i}")]
         present, number = F.col(f"p{i}"), F.col(f"d{i}")
         exprs[f"n{i}"] = F.count(F.when(present, 1))
         exprs[f"b{i}"] = F.bool_and(F.when(present, F.col(f"b{i}")))
         exprs[f"d{i}"] = F.bool_and(F.when(present, number.isNotNull()))
-        exprs[f"i{i}"] = F.bool_and(F.when(present, number == F.floor(number)))
+        exprs[f"i{i}"] = F.bool_and(F.when(present, F.col(f"w{i}")))
         if DATE_HINT.search(c):
             parsed.append(timestamp_value(c).isNotNull().alias(f"t{i}"))
             exprs[f"t{i}"] = F.bool_and(F.when(present, F.col(f"t{i}")))
@@ -246,7 +259,7 @@ def text_kinds(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, st
 def recast(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     makers = {
         "boolean": bool_value, "timestamp": timestamp_value, "double": number_value,
-        "bigint": lambda c: number_value(c).cast("bigint"),
+        "bigint": whole_value,
     }
     return df.withColumns({c: makers[k](c) for c, k in kinds.items()}) if kinds else df
 

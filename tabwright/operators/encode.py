@@ -16,7 +16,6 @@ from .joins import left_enrich
 from .prefix import row_numbers
 
 ONE_HOT_MAX = 10
-CODE_MAP_MAX = 1_000
 
 
 def ordinal_code(name: str, order: Sequence[str]) -> Column:
@@ -34,20 +33,23 @@ def levels(df: DataFrame, name: str, limit: int) -> list[str]:
 
 
 def label_encode(df: DataFrame, name: str) -> DataFrame:
-    """Codes 0..k-1 in sorted order of the values.
+    """Codes 0..k-1 (bigint) in sorted order of the values; a missing value has no code.
 
-    Few values become a literal map. With more, the distinct values are ranked by
-    range-partitioned position and looked up by a join.
+    The distinct values are ranked by range-partitioned position and looked up by a
+    join in which the rows of frequent values are spread out.
     """
-    found = df.select(col(name).alias("v")).filter("v is not null").distinct()
-    few = found.limit(CODE_MAP_MAX + 1).collect()
-    if len(few) <= CODE_MAP_MAX:
-        codes = {v: i for i, v in enumerate(sorted(r["v"] for r in few))}
-        pairs = [F.lit(x) for kv in codes.items() for x in kv]
-        code = F.element_at(F.create_map(*pairs), col(name)) if pairs else F.lit(None).cast("int")
-        return df.withColumn(name, code)
-    ranked = row_numbers(found, [F.col("v")], "_code").select(F.col("v").alias(name), F.col("_code") - 1).toDF(name, "_code")
-    return df.join(ranked, name, "left").withColumn(name, F.col("_code")).drop("_code").select(*df.columns)
+    found = df.filter(col(name).isNotNull()).groupBy(col(name).alias("v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = row_numbers(found, [F.col("v")], "_code").select(F.col("v").alias(name), "_n", (F.col("_code") - 1).alias("_code"))
+    codes = cut_lineage(ranked, "codes")
+    return left_enrich(df, codes, name, count_col="_n").withColumn(name, F.col("_code")).select(*df.columns)
+
+
+def label_encode_all(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
+    """`label_encode` for every text column."""
+    out = df
+    for c in string_columns(df, exclude):
+        out = label_encode(out, c)
+    return out
 
 
 def one_hot(df: DataFrame, name: str, values: Sequence[str] | None = None, limit: int = ONE_HOT_MAX) -> DataFrame:

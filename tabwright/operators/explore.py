@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.scalar import as_flag, clean_double, col, is_missing, row_hash
 from .aggregates import corr_with_target, correlations, numeric_columns, pairs, quantiles, wide_agg
@@ -40,8 +41,8 @@ def histogram(df: DataFrame, name: str, bins: int = 40, by: str | None = None,
         .agg(F.count(F.lit(1)).alias("n"))
     )
     if by:
-        totals = df.filter(x.isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("_total"))
-        cells, total = cells.join(totals, by), F.col("_total")
+        # at most `bins` rows of a class; a missing class is one of its own
+        cells, total = cells.withColumn("_total", F.sum("n").over(Window.partitionBy(by))), F.col("_total")
     else:
         total = df.agg(F.count(x)).scalar()
     step = width if width > 0 else 1.0
@@ -62,6 +63,8 @@ def kde(df: DataFrame, name: str, grid: int = 200, by: str | None = None, cells:
     keys = [by] if by else []
     found = wide_agg(df, {"lo": F.min(x), "hi": F.max(x)})
     lo, hi = found["lo"], found["hi"]
+    if lo is None:
+        return df.limit(0).select(*keys, F.lit(0.0).alias("x"), F.lit(0.0).alias("density"))
     width = (hi - lo) / cells
     moments = df.filter(x.isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp(x).alias("_s"))
@@ -71,7 +74,8 @@ def kde(df: DataFrame, name: str, grid: int = 200, by: str | None = None, cells:
     )
     bandwidth = F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     if by:
-        joined = binned.join(moments.select(by, "_n", bandwidth.alias("_h")), by)
+        right = moments.select(col(by).alias("_by"), "_n", bandwidth.alias("_h"))
+        joined = binned.join(right, col(by).eqNullSafe(F.col("_by"))).drop("_by")
     else:
         joined = binned.withColumn("_n", moments.select("_n").scalar()).withColumn(
             "_h", moments.select(bandwidth).scalar())
@@ -100,13 +104,14 @@ def violin_stats(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
     middle = quart.groupBy(by, "column").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
     ])
-    return ends.join(middle, [by, "column"]).select("column", by, "n", "min", "q1", "median", "q3", "max")
+    middle = middle.withColumnRenamed(by, "_by").withColumnRenamed("column", "_column")
+    joined = ends.join(middle, col(by).eqNullSafe(F.col("_by")) & (F.col("column") == F.col("_column")))
+    return joined.select("column", by, "n", "min", "q1", "median", "q3", "max")
 
 
 def missing_map(df: DataFrame, limit: float = 0.5) -> DataFrame:
     """Rows (column, null_share, rank, over_limit), most missing first."""
     shares = profile(df).select("column", (F.col("null_pct") / 100.0).alias("null_share"))
-    from pyspark.sql.window import Window
     rank = F.row_number().over(Window.orderBy(F.desc("null_share"), F.asc("column")))  # one row per column
     return shares.select("column", "null_share", rank.alias("rank"), (F.col("null_share") > limit).alias("over_limit"))
 

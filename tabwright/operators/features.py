@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.scalar import col
+from ..functions.scalar import clean_double, col
 from ..session import cut_lineage
 from .aggregates import corr_with_target, correlations, numeric_columns, pairs, quantile_values, wide_agg
 from .joins import left_enrich
@@ -20,17 +20,16 @@ QUINTILES = [0.2, 0.4, 0.6, 0.8]
 def rfm_base(df: DataFrame, key: str, value: str, date: str, reference=None) -> DataFrame:
     """Per key: days since the last date, count, mean value, total value.
 
-    Sums run on decimals where values are money-like doubles would drift; the
-    aggregate is combined map-side, so a heavy key costs one row per task.
+    The aggregate is combined map-side, so a heavy key costs one row per task.
     """
     if reference is None:
         reference = df.agg(F.max(col(date))).first()[0]
     when = col(date).try_cast("timestamp") if dict(df.dtypes)[date] == "string" else col(date)
     per_key = df.groupBy(key).agg(
         F.max(when).alias("last_date"), F.count(col(date)).alias("purchase_frequency"),
-        F.sum(col(value).cast("decimal(18,2)")).alias("total_revenue"), F.count(col(value)).alias("_n"),
+        F.sum(clean_double(value)).alias("total_revenue"), F.count(clean_double(value)).alias("_n"),
     )
-    total = F.col("total_revenue").cast("double")
+    total = F.col("total_revenue")
     return per_key.select(
         key, S.days_since("last_date", F.lit(reference)).alias("recency"), "purchase_frequency",
         F.try_divide(total, F.col("_n")).alias("avg_order_value"), total.alias("total_revenue"),
@@ -49,8 +48,7 @@ def rfm(df: DataFrame, key: str, value: str, date: str, reference=None, recency_
     edges = quantile_values(base, ["recency", "purchase_frequency", "avg_order_value"], QUINTILES)
     recency = S.edge_rank("recency", edges["recency"])
     if recency_inverted:
-        distinct = len({e for e in edges["recency"] if e is not None})
-        recency = F.lit(distinct + 2) - recency + F.lit(4 - distinct)
+        recency = F.lit(6) - recency
     scored = base.select(
         "*", (F.col("purchase_frequency") * F.col("avg_order_value")).alias("customer_lifetime_value"),
         recency.alias("rfm_r"),

@@ -28,8 +28,9 @@ def left_enrich(df: DataFrame, per_key: DataFrame, key: str, count_col: str | No
     if not hot:
         return df.join(per_key, key, "left")
     is_hot = col(key).isin(hot)
-    others = [c for c in df.columns if c != key]
-    left = df.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*others), F.lit(salts))).otherwise(F.lit(0)))
+    # the partition tells equal rows apart, and there may be no other column
+    spread = F.pmod(F.xxhash64(*[col(c) for c in df.columns], F.spark_partition_id()), F.lit(salts))
+    left = df.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = per_key.withColumn("_salt", F.explode(copies.cast("array<bigint>")))
     return left.join(right, [key, "_salt"], "left").drop("_salt")
@@ -58,6 +59,3 @@ def missing_columns(df: DataFrame, required: DataFrame) -> DataFrame:
     """Required feature names (column ``feature``) absent from the input's schema."""
     return required.filter(~F.col("feature").isin(df.columns)).select("feature")
 
-
-def extra_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in set(required)]

@@ -11,11 +11,11 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import as_flag, clean_double, col, skew_sample
 from .aggregates import quantiles, to_rows
-from .prefix import ROWS_PER_BUCKET, bucket_of, prefix_scan
+from .prefix import bucket_of, prefix_scan
 
 
 def _scan(df: DataFrame, y: str, p: str, by: Sequence[str] = (), bins: int | None = None,
-          rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+          ranges: int | None = None) -> DataFrame:
     """Positives and negatives per distinct score with totals from the top score down."""
     score = F.floor(clean_double(p) * bins) / F.lit(bins) if bins else clean_double(p)
     rows = df.select(*[col(b) for b in by], score.alias("score"), col(y).cast("int").alias("y"))
@@ -23,7 +23,7 @@ def _scan(df: DataFrame, y: str, p: str, by: Sequence[str] = (), bins: int | Non
     positive = F.col("y") == 1
     return prefix_scan(
         rows, "score", {"pos": as_flag(positive), "neg": as_flag(~positive)},
-        by=by, descending=True, rows_per_bucket=rows_per_bucket,
+        by=by, descending=True, ranges=ranges,
     )
 
 

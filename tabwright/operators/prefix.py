@@ -8,24 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import clean_double, col
+from ..functions.scalar import clean_double
 from ..session import cut_lineage
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4_096
-MAX_CASES = 64
-
-
-def bucket_edges(df: DataFrame, order_col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Cut points that split the ordering column into ranges of similar row counts."""
-    n = df.count()
-    buckets = min(-(-n // rows_per_bucket), MAX_BUCKETS)
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(clean_double(order_col), probs, 50 * buckets).alias("q")).first()["q"]
-    return sorted(set(found or []))
-
 
 def bucket_of(order_col: str, edges: Sequence[float]) -> Column:
     """Number of cut points at or below the value: equal values always share a bucket."""
@@ -43,15 +28,13 @@ def bucket_of(order_col: str, edges: Sequence[float]) -> Column:
     return search(0, len(edges))
 
 
-def with_bucket(df: DataFrame, order_col: str, edges: Sequence[float]) -> DataFrame:
-    """Add ``_bucket``. Many cut points go through Spark's bucketizer, which searches an array."""
-    if len(edges) <= MAX_CASES:
-        return df.withColumn("_bucket", bucket_of(order_col, edges))
-    from pyspark.ml.feature import Bucketizer
-    splits = [-float("inf"), *edges, float("inf")]
-    search = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep")
-    found = search.transform(df.withColumn("_x", clean_double(order_col)))
-    return found.withColumn("_bucket", F.col("_b").cast("int")).drop("_x", "_b")
+def _ranged(df: DataFrame, order: Sequence[Column], ranges: int | None = None) -> DataFrame:
+    """Rows dealt out by ranges of the ordering, with the range as ``_r``; written once, which fixes the ranges.
+
+    The number of ranges is Spark's number of shuffle partitions unless given.
+    """
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return cut_lineage(dealt.withColumn("_r", F.spark_partition_id()), "ranges")
 
 
 def prefix_scan(
@@ -61,32 +44,28 @@ def prefix_scan(
     by: Sequence[str] = (),
     descending: bool = False,
     how: str = "sum",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Collapse ties, then run ``sum`` or ``max`` along the ordering column.
+    """Collapse ties, then run ``sum`` or ``max`` along the ordering column, of any type that sorts.
 
     Output: one row per (by..., order value) with each value's own aggregate and
     ``cum_<value>`` including that row. Ties are combined map-side, ranges are
-    scanned in parallel, and only one total per range is broadcast.
+    scanned in parallel, and only one total per range and group is accumulated.
+    A missing order value is the smallest one.
     """
     by = list(by)
     fn = {"sum": F.sum, "max": F.max}[how]
-    edges = bucket_edges(df, order_col, rows_per_bucket)
-    keyed = with_bucket(df, order_col, edges)
-    cells = keyed.groupBy(*by, "_bucket", order_col).agg(*[fn(c).alias(n) for n, c in values.items()])
+    cells = _ranged(df.groupBy(*by, order_col).agg(*[fn(c).alias(n) for n, c in values.items()]), [F.asc(order_col)], ranges)
     order = F.desc if descending else F.asc
-    inside = Window.partitionBy(*by, "_bucket").orderBy(order(order_col))
+    inside = Window.partitionBy(*by, "_r").orderBy(order(order_col))
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = cells.select("*", *[fn(n).over(inside).alias(f"cum_{n}") for n in values])
-    if not edges:
-        return scanned.drop("_bucket")
-
-    totals = cells.groupBy(*by, "_bucket").agg(*[fn(n).alias(f"_t_{n}") for n in values])
-    earlier = Window.partitionBy(*by).orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_bucket", *[fn(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in values])
+    totals = cells.groupBy(*by, "_r").agg(*[fn(n).alias(f"_t_{n}") for n in values])
+    earlier = Window.partitionBy(*by).orderBy(order("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_r", *[fn(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in values])
     # one row per range and group; Spark's own size threshold decides on broadcasting
     joined = scanned.alias("s").join(offsets.alias("o"), [
-        F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*by, "_bucket"]
+        F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*by, "_r"]
     ], "left")
     combine = (lambda a, b: a + F.coalesce(b, F.lit(0))) if how == "sum" else (lambda a, b: F.greatest(a, b))
     kept = [F.col(f"s.{c}") for c in [*by, order_col, *values]]
@@ -99,7 +78,7 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     Value ranges are numbered in parallel and shifted by the sizes of the ranges
     before them. Writing the ranges fixes which rows each of them holds.
     """
-    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_r", F.spark_partition_id()), "ranges")
+    ranged = _ranged(df, order)
     sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = sizes.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))

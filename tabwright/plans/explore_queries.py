@@ -273,7 +273,7 @@ def fs8(spark, sf):
 
 # splits ---------------------------------------------------------------------
 
-HASH = "((({k} + {s}) * 2654435761) % 4294967296)"
+HASH = "((({k} % 2147483648 + {s}) * 2654435761) % 4294967296)"
 CUTS = [int(0.7 * 4294967296), int(0.85 * 4294967296)]
 SPLIT = f"case when {HASH.format(k='{k}', s=42)} < {CUTS[0]} then 'train' when {HASH.format(k='{k}', s=42)} < {CUTS[1]} then 'val' else 'test' end"
 

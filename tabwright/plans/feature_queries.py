@@ -210,8 +210,8 @@ def f15(spark, sf):
 
 RFM_BASE = """
     select o_custkey, date_diff('day', cast(max(o_orderdate) as date), cast((select max(o_orderdate) from orders) as date)) as recency,
-           count(*) as purchase_frequency, cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*) as avg_order_value,
-           cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total_revenue
+           count(*) as purchase_frequency, sum(o_totalprice) / count(*) as avg_order_value,
+           sum(o_totalprice) as total_revenue
     from orders group by o_custkey"""
 BELOW = "(select count(*) from (select distinct e from (select unnest(quantile_cont({c}, [0.2, 0.4, 0.6, 0.8])) as e from base)) where {c} > e)"
 RFM_SCORES = f"""
@@ -276,10 +276,10 @@ def j1(spark, sf):
 
 @query("j1_left_enrich_hot_keys", f"""
     select event_id, n, round(total, 2) as total from events left join (
-      select user_id, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total from events group by 1) using (user_id)""")
+      select user_id, count(*) as n, sum(value) as total from events group by 1) using (user_id)""")
 def j1_hot(spark, sf):
     df = table(spark, sf, "events")
-    per = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+    per = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     out = joins.left_enrich(df.select("event_id", "user_id", "value"), per, "user_id", count_col="n", hot_share=0.005, salts=8)
     return out.select("event_id", "n", F.round("total", 2).alias("total"))
 
@@ -453,7 +453,7 @@ def o5(spark, sf):
 
 
 @query("o5_portable_sample", """
-    select o_orderkey, o_totalprice from orders order by ((o_orderkey + 42) * 2654435761) % 4294967296, o_orderkey limit 500""")
+    select o_orderkey, o_totalprice from orders order by ((o_orderkey % 2147483648 + 42) * 2654435761) % 4294967296, o_orderkey limit 500""")
 def o5_portable(spark, sf):
     return table(spark, sf, "orders").orderBy(S.portable_hash("o_orderkey"), "o_orderkey").limit(500).select("o_orderkey", "o_totalprice")
 

@@ -38,7 +38,7 @@ def me1(spark, sf):
 @query("me1_roc_auc_ranges", with_tables(f"select round(roc_auc, 8) as roc_auc, round(average_precision, 8) as average_precision from ({ranking_sql('{scored}')})"))
 def me1_ranges(spark, sf):
     # many scan ranges, as on a table too large for one
-    return rounded(metrics.ranking_metrics(table(spark, sf, "scored"), rows_per_bucket=1000), 8, "roc_auc", "average_precision")
+    return rounded(metrics.ranking_metrics(table(spark, sf, "scored"), ranges=6), 8, "roc_auc", "average_precision")
 
 
 @query("w4_auc_by_group", with_tables(f"select l_linestatus, split, round(roc_auc, 8) as roc_auc from ({ranking_sql('{scored}', 'l_linestatus, split')})"))
@@ -58,7 +58,7 @@ def me2(spark, sf):
 def w3(spark, sf):
     from ..operators.prefix import prefix_scan
     df = table(spark, sf, "scored")
-    found = prefix_scan(df, "p", {"pos": F.col("y"), "neg": 1 - F.col("y")}, descending=True, rows_per_bucket=20_000)
+    found = prefix_scan(df, "p", {"pos": F.col("y"), "neg": 1 - F.col("y")}, descending=True, ranges=5)
     return found.select(F.round("p", 6).alias("score"), "pos", "neg", "cum_pos", "cum_neg")
 
 
@@ -468,7 +468,7 @@ def w2(spark, sf):
 @query("m19_trial_history", "select event_id as trial, value, max(value) over (order by event_id) as best from events")
 def m19(spark, sf):
     trials = table(spark, sf, "events").select(F.col("event_id").alias("trial"), "value")
-    return choose.best_so_far(trials, rows_per_bucket=1500)
+    return choose.best_so_far(trials, ranges=3)
 
 
 @query("m3_dummy_model", with_tables("""

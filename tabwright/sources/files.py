@@ -79,6 +79,8 @@ def json_path_rows(df: DataFrame, column: str, path: str, schema: str | None = N
     The result column ``record`` is JSON text, or a struct when a schema is given.
     """
     found = F.get_json_object(col(column), "$." + path if path else "$")
-    records = F.when(found.startswith("["), F.from_json(found, "array<string>")).when(found.isNotNull(), F.array(found))
+    # a text value comes back without its quotes, so the type is asked of the document itself
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(col(column)), "$." + path if path else "$", "variant"))
+    records = F.when(kind.startswith("ARRAY"), F.from_json(found, "array<string>")).when(found.isNotNull(), F.array(found))
     rows = df.withColumn("record", F.explode(records))
     return rows.withColumn("record", F.from_json("record", schema)) if schema else rows

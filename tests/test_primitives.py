@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabwright.functions import scalar as S
 from tabwright.operators import aggregates as agg
 from tabwright.operators import metrics
-from tabwright.operators.encode import label_encode
+from tabwright.operators.encode import label_encode, label_encode_all
 from tabwright.operators.joins import left_enrich
 from tabwright.operators.prefix import bucket_of, prefix_scan, row_numbers
 
@@ -54,9 +54,9 @@ def test_too_many_groups_is_an_error(spark):
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-20, 20), min_size=1, max_size=60), st.integers(1, 20), st.booleans())
-def test_prefix_scan_is_independent_of_ranges(spark, values, rows_per_bucket, descending):
+def test_prefix_scan_is_independent_of_ranges(spark, values, ranges, descending):
     df = frame(spark, values)
-    found = prefix_scan(df, "x", {"n": F.lit(1)}, descending=descending, rows_per_bucket=rows_per_bucket)
+    found = prefix_scan(df, "x", {"n": F.lit(1)}, descending=descending, ranges=ranges)
     total = 0
     for r in sorted(found.collect(), key=lambda r: r["x"], reverse=descending):
         total += values.count(int(r["x"]))
@@ -67,7 +67,7 @@ def test_prefix_max_by_group_over_many_ranges(spark):
     rng = np.random.RandomState(1)
     rows = [(int(g), i, float(v)) for i, (g, v) in enumerate(zip(rng.randint(0, 3, 900), rng.rand(900)))]
     df = spark.createDataFrame(rows, "g int, t int, v double")
-    found = prefix_scan(df, "t", {"v": F.col("v")}, by=["g"], how="max", rows_per_bucket=50)
+    found = prefix_scan(df, "t", {"v": F.col("v")}, by=["g"], how="max", ranges=18)
     best = {(r["g"], r["t"]): r["cum_v"] for r in found.collect()}
     running: dict = {}
     for g, t, v in rows:
@@ -96,16 +96,29 @@ def test_hot_key_join_keeps_every_row_once(spark):
     assert salted.exceptAll(plain.select(salted.columns)).isEmpty()
 
 
-def test_label_codes_beyond_the_literal_map(spark, monkeypatch):
-    from tabwright.operators import encode
-    names = [f"Customer#{i:05d}" for i in range(700)]
-    df = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "name string").repartition(6)
-    wide = label_encode(df.withColumn("code", F.col("name")), "code").distinct().collect()
-    monkeypatch.setattr(encode, "CODE_MAP_MAX", 10)
-    ranged = label_encode(df.withColumn("code", F.col("name")), "code").distinct().collect()
-    expected = {n: i for i, n in enumerate(names)} | {None: None}
-    assert {r["name"]: r["code"] for r in wide} == expected
-    assert {r["name"]: r["code"] for r in ranged} == expected
+@pytest.mark.parametrize("count", [1_000, 1_001])
+def test_label_codes_have_one_type_at_any_size(spark, count):
+    names = [f"Customer#{i:05d}" for i in range(count)]
+    df = spark.createDataFrame([(n,) for n in names * 2] + [(names[0],)] * 3000 + [(None,)], "name string").repartition(6)
+    coded = label_encode_all(df.withColumn("code", F.col("name")), exclude=["name"])
+    assert dict(coded.dtypes) == {"name": "string", "code": "bigint"} and coded.count() == 2 * count + 3001
+    assert {r["name"]: r["code"] for r in coded.distinct().collect()} == {n: i for i, n in enumerate(names)} | {None: None}
+
+
+def test_running_best_with_null_trials_and_dates(spark):
+    from tabwright.operators.choose import best_so_far
+    rows = [(None, 9.0), (3, 1.0), (1, 5.0), (2, 4.0)]
+    for ranges in (1, 2, 50):
+        got = sorted(((r["trial"] or 0, r["best"]) for r in best_so_far(spark.createDataFrame(rows, "trial int, value double"), ranges=ranges).collect()))
+        assert got == [(0, 9.0), (1, 9.0), (2, 9.0), (3, 9.0)]  # a missing trial comes first
+    dated = spark.createDataFrame(rows[1:], "trial int, value double").selectExpr("date_add(date'2024-01-01', trial) as trial", "value")
+    assert [r["best"] for r in best_so_far(dated, ranges=3).orderBy("trial").collect()] == [5.0, 5.0, 5.0]
+
+
+def test_enrich_a_table_of_one_column(spark):
+    df = spark.createDataFrame([(1,)] * 500 + [(2,)], "k int").repartition(4)
+    out = left_enrich(df, df.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", count_col="n", salts=4)
+    assert out.groupBy("k", "n").count().orderBy("k").collect() == [(1, 500, 500), (2, 1, 1)]
 
 
 def test_row_numbers_with_a_hot_value(spark):
@@ -122,14 +135,14 @@ def pairwise_auc(y, p):
     return wins / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("rows_per_bucket", [3, 40, 10_000])
-def test_auc_and_average_precision_against_brute_force(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_auc_and_average_precision_against_brute_force(spark, ranges):
     rng = np.random.RandomState(3)
     y = rng.randint(0, 2, 600)
     p = np.round(rng.rand(600) * 0.7 + 0.3 * y * rng.rand(600), 2)
     p[:200] = 0.5
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double").repartition(7)
-    got = metrics.ranking_metrics(df, rows_per_bucket=rows_per_bucket).first()
+    got = metrics.ranking_metrics(df, ranges=ranges).first()
     assert got["roc_auc"] == pytest.approx(pairwise_auc(y, p), abs=1e-12)
     ap, recall = 0.0, 0.0
     for t in sorted(set(p), reverse=True):
@@ -161,3 +174,39 @@ def test_row_cv_skips_missing_values(spark):
 def test_portable_hash_is_the_documented_integer(spark):
     got = spark.range(5).select(S.portable_hash("id").alias("h")).collect()
     assert [r["h"] for r in got] == [((i + 42) * 2654435761) % 4294967296 for i in range(5)]
+    far = spark.range(1).select(S.portable_hash(F.lit(600_000_000_000)).alias("h")).first()["h"]
+    assert far == ((600_000_000_000 % 2**31 + 42) * 2654435761) % 4294967296
+
+
+def test_nan_is_missing(spark):
+    nan = F.lit(float("nan"))
+    assert spark.range(1).select(S.clip(nan, 0.0, 1.0), S.risk_tier(nan), S.decide(nan)).first() == (None, "LOW", 0)
+
+
+def test_sums_of_small_and_large_values(spark):
+    from tabwright.operators.features import rfm_base
+    df = spark.createDataFrame([(1, 0.001, "2024-01-01"), (1, 0.004, "2024-01-02"), (2, 1e17, "2024-01-03")], "k int, v double, d string")
+    assert {r["k"]: r["total_revenue"] for r in rfm_base(df, "k", "v", "d").collect()} == {1: pytest.approx(0.005), 2: 1e17}
+
+
+def test_a_missing_class_is_a_class(spark):
+    from tabwright.operators import explore
+    df = spark.createDataFrame([(1.0, "a"), (2.0, None), (3.0, None), (4.0, "a")], "x double, c string")
+    assert explore.histogram(df, "x", bins=2, by="c").agg(F.sum("n")).first()[0] == 4
+    assert {r["c"]: r["n"] for r in explore.violin_stats(df, ["x"], "c").collect()} == {"a": 2, None: 2}
+    assert explore.kde(df, "x", grid=5, by="c").filter("c is null and density > 0").count() == 5
+    assert explore.kde(df.limit(0), "x").count() == 0
+
+
+def test_text_numbers_are_exact_and_plain(spark):
+    from tabwright.operators.clean import recast, text_kinds
+    df = spark.createDataFrame([("9007199254740993", "12d", "1e3", "1.5"), (" 9007199254740995", "45f", "2.0", ".5"), (None, None, None, None)], "a string, b string, c string, d string")
+    assert text_kinds(df) == {"a": "bigint", "c": "bigint", "d": "double"}
+    assert [tuple(r) for r in recast(df, text_kinds(df)).collect()] == [(9007199254740993, "12d", 1000, 1.5), (9007199254740995, "45f", 2, 0.5), (None,) * 4]
+
+
+def test_json_path_asks_the_type(spark):
+    from tabwright.sources.files import json_path_rows
+    df = spark.createDataFrame([(1, '{"a": "[not a list"}'), (2, '{"a": [1, "x"]}'), (3, '{"a": {"b": 1}}'), (4, '{"b": 1}'), (5, "no json")], "id int, j string")
+    got = sorted((r["id"], r["record"]) for r in json_path_rows(df, "j", "a").collect())
+    assert got == [(1, "[not a list"), (2, "1"), (2, "x"), (3, '{"b":1}')]
