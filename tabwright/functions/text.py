@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from .scalar import col
 
-# fixed values: prefixes and extensions that decide the source kind
-FILE_EXTENSIONS = [".csv", ".xlsx", ".xls", ".parquet", ".json", ".xml", ".tsv"]
+# fixed values: prefixes that decide the source kind
 DATABASE_SCHEMES = ["postgresql://", "postgres://", "mysql://", "sqlite://", "mssql://"]
 CLOUD_MARKS = ["bigquery://", "snowflake://", "s3://", "az://", "gs://", "docs.google.com/spreadsheets"]
 API_SCHEMES = ["http://", "https://"]
@@ -52,34 +51,39 @@ def holds_any(text: Column, words: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
+def once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """A rule that reads a computed value many times, with the value computed once per row."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
 def classify_source(uri) -> Column:
     """FILE, DATABASE, CLOUD or API. The scheme is looked at before the file extension."""
-    text = F.lower(F.trim(col(uri)))
-    return (
+    return once(F.lower(F.trim(col(uri))), lambda text: (
         F.when(text.rlike(any_word(DATABASE_SCHEMES, at_start=True)), "DATABASE")
         .when(text.rlike(any_word(CLOUD_MARKS)), "CLOUD")
         .when(text.rlike(any_word(API_SCHEMES, at_start=True)), "API")
         .otherwise("FILE")
-    )
+    ))
 
 
 def classify_goal(goal) -> Column:
     """Struct (problem_type, subtype) of a goal text; each word list is looked for once at most."""
-    text = F.lower(col(goal))
     answer = lambda kind, subtype: F.struct(F.lit(kind).alias("problem_type"), F.lit(subtype).cast("string").alias("subtype"))
-    return (
+    return once(F.lower(col(goal)), lambda text: (
         F.when(holds_any(text, SEMI_SUPERVISED_WORDS), answer("SEMI-SUPERVISED", None))
         .when(holds_any(text, CLASSIFICATION_WORDS), answer("SUPERVISED", "Classification"))
         .when(holds_any(text, UNSUPERVISED_WORDS), answer("UNSUPERVISED", "clustering/anomaly"))
         .when(holds_any(text, REGRESSION_WORDS), answer("SUPERVISED", "Regression"))
-        .otherwise(answer("AMBIGUOUS", None)))
+        .otherwise(answer("AMBIGUOUS", None))))
 
 
 def infer_domain(goal) -> Column:
     """First domain any of whose words occurs; NULL when none does."""
-    text = F.lower(col(goal))
-    rule = None
-    for domain, words in DOMAIN_WORDS.items():
-        hit = holds_any(text, words)
-        rule = F.when(hit, domain) if rule is None else rule.when(hit, domain)
-    return rule
+    def first(text: Column) -> Column:
+        rule = None
+        for domain, words in DOMAIN_WORDS.items():
+            hit = holds_any(text, words)
+            rule = F.when(hit, domain) if rule is None else rule.when(hit, domain)
+        return rule
+
+    return once(F.lower(col(goal)), first)

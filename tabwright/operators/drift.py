@@ -42,11 +42,17 @@ def detect_drift(live: DataFrame, snapshot: DataFrame, features: Sequence[str],
     watched = [f for f in features if f in live.columns and (alert_on is None or f in alert_on)]
     now = to_rows(live.agg(*[F.avg(clean_double(f)).alias(f"m{i}") for i, f in enumerate(watched)]), [
         {"feature": F.lit(f), "live_mean": F.col(f"m{i}")} for i, f in enumerate(watched)])
+    return compare_means(now, snapshot, sigma)
+
+
+def compare_means(now: DataFrame, snapshot: DataFrame, sigma: float = 2.0) -> DataFrame:
+    """Add train_mean, delta_sigma and drifted to rows with feature and live_mean; other columns stay in front."""
+    keep = [c for c in now.columns if c not in ("feature", "live_mean")]
     joined = snapshot.select("feature", F.col("mean").alias("train_mean"), "std").join(now, "feature")
     spread = F.when(F.col("std") > 1e-9, F.col("std")).otherwise(1e-9)
     delta = F.abs(F.col("live_mean") - F.col("train_mean")) / spread
     return joined.filter("live_mean is not null").select(
-        "feature", "train_mean", "live_mean", delta.alias("delta_sigma"), (delta > sigma).alias("drifted"))
+        *keep, "feature", "train_mean", "live_mean", delta.alias("delta_sigma"), (delta > sigma).alias("drifted"))
 
 
 def daily_scoring_report(df: DataFrame, ts: str, p: str, threshold: float, baseline_rate: float, band_pct: float = 10.0) -> DataFrame:

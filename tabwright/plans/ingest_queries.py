@@ -26,6 +26,15 @@ def s1(spark, sf):
     return read_source(spark, FileSpec(path, "csv"))
 
 
+@query("s1_csv_quoted_text", "select doc_id, lang, text from documents")
+def s1_quoted(spark, sf):
+    # texts hold quotes, commas and line breaks
+    path = scratch_path(spark, "documents-csv")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return read_source(spark, FileSpec(path, "csv", "doc_id bigint, lang string, text string"))
+
+
 @query("s2_tsv_scan", "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
 def s2(spark, sf):
     path = scratch_path(spark, "customer-tsv")
@@ -71,14 +80,14 @@ def s16(spark, sf):
     # pages are files below the shared folder, fetched by address like any other page;
     # this needs a shared folder that is mounted as a file path
     path = scratch_path(spark, "customer-pages")
-    page = F.pmod(F.col("c_custkey"), F.lit(8)).alias("page")
+    page = F.floor(F.col("c_custkey") / 1000).alias("page")  # pages of a fixed size; their number follows the table
     record = F.to_json(F.struct("c_custkey", "c_name", "c_acctbal"))
     rows = table(spark, sf, "customer").select(page, F.col("c_custkey"), record.alias("r"))
-    lines = rows.repartition(8, "page").sortWithinPartitions("page", "c_custkey").select("page", F.col("r").alias("value"))
+    lines = rows.repartition("page").sortWithinPartitions("page", "c_custkey").select("page", F.col("r").alias("value"))
     lines.write.partitionBy("page").text(path, lineSep="\n")
     spec = RestSpec(
-        url=f"file://{path}/page={{page}}", schema="c_custkey bigint, c_name string, c_acctbal double", pages=8,
-        first_page=0, record_path="data.items", fetcher="tabwright.sources.rest:fetch_lines")
+        url=f"file://{path}/page={{page}}", schema="c_custkey bigint, c_name string, c_acctbal double", pages=None,
+        first_page=0, record_path="data.items", fetcher="tabwright.plans.pages:fetch_lines")
     return read_source(spark, spec)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,26 @@ FORMAT_BY_EXTENSION = {
 }
 
 
+LATIN = "ISO-8859-1"
+
+
 @dataclass(frozen=True)
 class FileSpec:
-    """A file, folder or glob. Give a schema to spare the inference pass over large text files."""
+    """A file, folder or glob. Give a schema to spare the inference pass over large text files.
+
+    CSV follows the usual rules: a quote inside quotes is doubled, and quoted text may hold line breaks. Such a file is
+    read by one task; where no text has a line break, the option ``multiLine=False`` lets large files be split. No row is
+    dropped: what does not fit its column is missing, and with ``corrupt`` the whole record is kept in a column of that
+    name. ``encoding`` is UTF-8 unless given; ``detect`` reads the files once more to find those that are not UTF-8,
+    which are then taken for Latin-1, each file by itself.
+    """
 
     path: str
     format: str | None = None
     schema: str | T.StructType | None = None
     options: dict = field(default_factory=dict)
+    encoding: str = "UTF-8"
+    corrupt: str | None = None
 
     def kind(self) -> str:
         if self.format:
@@ -34,10 +47,10 @@ class FileSpec:
         raise ValueError(f"cannot tell the format of {self.path!r}: name one")
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8, or ISO-8859-1 when some line cannot be read as UTF-8. Stops at the first such line."""
-    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
-    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
+def not_utf8(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path that hold bytes which are not UTF-8: a scan that returns one address for each such file."""
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+    return [r[0] for r in broken.select(F.input_file_name()).distinct().collect()]
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -46,6 +59,39 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(col(c), F.lit(None)) for c in floats}) if floats else df
 
 
+def read_delimited(spark: SparkSession, spec: FileSpec, sep: str) -> DataFrame:
+    """CSV or TSV rows, none dropped."""
+    options = {"header": True, "sep": sep, "escape": '"', "multiLine": True, "mode": "PERMISSIVE", **spec.options}
+
+    def read(paths, encoding: str, schema) -> DataFrame:
+        found = {**options, "encoding": encoding}
+        if schema is None:
+            schema = spark.read.options(**found, inferSchema=True).csv(paths).schema
+        if spec.corrupt:
+            fields = schema.fields if isinstance(schema, T.StructType) else T._parse_datatype_string(schema).fields
+            schema = T.StructType([f for f in fields if f.name != spec.corrupt] + [T.StructField(spec.corrupt, T.StringType())])
+            found["columnNameOfCorruptRecord"] = spec.corrupt
+        return spark.read.options(**found).schema(schema).csv(paths)
+
+    if spec.encoding != "detect":
+        return read(spec.path, spec.encoding, spec.schema)
+    latin = set(not_utf8(spark, spec.path))
+    if not latin:
+        return read(spec.path, "UTF-8", spec.schema)
+    others = [f for f in spark.read.text(spec.path).inputFiles() if f not in latin]
+    if not others:
+        return read(spec.path, LATIN, spec.schema)
+    first = read(others, "UTF-8", spec.schema)
+    return first.unionByName(read(sorted(latin), LATIN, spec.schema or first.schema), allowMissingColumns=True)
+
+
+def bad_records(df: DataFrame, corrupt: str) -> DataFrame:
+    """One row (rows, bad) of a table that was read with ``corrupt``."""
+    # the reader refuses a scan of nothing but the corrupt-record column
+    data = F.hash(*[col(c) for c in df.columns if c != corrupt][:1])
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(col(corrupt).isNotNull(), data)).alias("bad"))
+
+
 def read_file(spark: SparkSession, spec: FileSpec) -> DataFrame:
     kind = spec.kind()
     options = dict(spec.options)
@@ -53,11 +99,7 @@ def read_file(spark: SparkSession, spec: FileSpec) -> DataFrame:
     if spec.schema is not None:
         reader = reader.schema(spec.schema)
     if kind in ("csv", "tsv"):
-        defaults = {"header": True, "sep": "\t" if kind == "tsv" else ",", "mode": "DROPMALFORMED"}
-        encoding = options.pop("encoding", None) or detect_encoding(spark, spec.path)
-        if spec.schema is None:
-            defaults["inferSchema"] = True
-        return nan_to_null(reader.options(**{**defaults, "encoding": encoding, **options}).csv(spec.path))
+        return nan_to_null(read_delimited(spark, spec, "\t" if kind == "tsv" else ","))
     if kind == "parquet":
         return nan_to_null(reader.options(**options).parquet(spec.path))
     if kind in ("json", "jsonl"):

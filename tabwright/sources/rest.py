@@ -1,11 +1,13 @@
-"""Paged web API as a Spark data source: one page per task."""
+"""Paged web API as a Spark data source: one page per task, or tasks that walk on until the pages run out."""
 
 from __future__ import annotations
 
+import base64
 import importlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,15 +24,6 @@ def fetch(url: str, method: str, headers: dict, body: str | None) -> str:
         return response.read().decode("utf-8")
 
 
-def fetch_lines(url: str, method: str, headers: dict, body: str | None) -> str:
-    """Serve a folder of JSON-lines parts as one page, shaped like a paged web answer."""
-    import pathlib
-    from urllib.parse import unquote, urlsplit
-    parts = sorted(pathlib.Path(unquote(urlsplit(url).path)).glob("part-*"))
-    lines = [line for part in parts for line in part.read_text(encoding="utf-8").splitlines() if line]
-    return '{"data": {"items": [' + ",".join(lines) + "]}}"
-
-
 def records(text: str, path: str) -> list[dict]:
     """Follow the dot path: a list is rows, an object is one row."""
     data = json.loads(text)
@@ -44,9 +37,11 @@ def records(text: str, path: str) -> list[dict]:
 
 
 class Page(InputPartition):
-    def __init__(self, number: int):
+    """A page, and the step to the next one of this task; without a step there is no next one."""
+
+    def __init__(self, number: int, step: int | None = None):
         super().__init__(number)
-        self.number = number
+        self.number, self.step = number, step
 
 
 class RestReader(DataSourceReader):
@@ -56,6 +51,9 @@ class RestReader(DataSourceReader):
 
     def partitions(self):
         first = int(self.options.get("firstpage", 1))
+        if self.options.get("pages", "1") == "all":
+            tasks = int(self.options.get("tasks", 8))
+            return [Page(first + i, tasks) for i in range(tasks)]
         return [Page(first + i) for i in range(int(self.options.get("pages", 1)))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
@@ -65,15 +63,25 @@ class RestReader(DataSourceReader):
         headers = json.loads(o.get("headers", "{}"))
         if o.get("bearer"):
             headers["Authorization"] = f"Bearer {o['bearer']}"
-        url = o["url"].replace("{page}", str(partition.number))
-        text = loader(url, o.get("method", "GET").upper(), headers, o.get("body"))
-        names = self.schema.fieldNames()
-        for row in records(text, o.get("recordpath", "")):
-            yield tuple(row.get(n) for n in names)
+        elif o.get("user"):
+            pair = f"{o['user']}:{o.get('password', '')}".encode()
+            headers["Authorization"] = "Basic " + base64.b64encode(pair).decode()
+        names, number = self.schema.fieldNames(), partition.number
+        while True:
+            url = o["url"].replace("{page}", str(number))
+            if params := json.loads(o.get("params", "{}")):
+                filled = {k: str(v).replace("{page}", str(number)) for k, v in params.items()}
+                url += ("&" if "?" in url else "?") + urlencode(filled)
+            rows = records(loader(url, o.get("method", "GET").upper(), headers, o.get("body")), o.get("recordpath", ""))
+            for row in rows:
+                yield tuple(row.get(n) for n in names)
+            if not partition.step or not rows:
+                return
+            number += partition.step
 
 
 class RestSource(DataSource):
-    """``spark.read.format("rest")`` with options url, pages, recordPath, method, headers, bearer, body, fetcher."""
+    """``spark.read.format("rest")`` with options url, pages, tasks, recordPath, method, headers, params, bearer, user, password, body, fetcher."""
 
     @classmethod
     def name(cls) -> str:
@@ -88,12 +96,19 @@ class RestSource(DataSource):
 
 @dataclass(frozen=True)
 class RestSpec:
-    """``{page}`` in the address is replaced by the page number."""
+    """``{page}`` in the address and in ``params`` is replaced by the page number.
+
+    Without ``pages`` each of ``tasks`` tasks takes every so-manieth page until one is empty.
+    """
 
     url: str
     schema: str
-    pages: int = 1
+    pages: int | None = 1
     first_page: int = 1
+    tasks: int = 8
+    params: dict = field(default_factory=dict)
+    user: str | None = None
+    password: str | None = field(default=None, repr=False)
     record_path: str = ""
     method: str = "GET"
     headers: dict = field(default_factory=dict)
@@ -103,11 +118,15 @@ class RestSpec:
 
     def options(self) -> dict:
         out = {
-            "url": self.url, "pages": str(self.pages), "firstPage": str(self.first_page), "recordPath": self.record_path,
+            "url": self.url, "pages": "all" if self.pages is None else str(self.pages), "tasks": str(self.tasks), "firstPage": str(self.first_page), "recordPath": self.record_path,
             "method": self.method, "headers": json.dumps(self.headers), "fetcher": self.fetcher,
         }
+        if self.params:
+            out["params"] = json.dumps(self.params)
         if self.bearer:
             out["bearer"] = self.bearer
+        if self.user:
+            out.update(user=self.user, password=self.password or "")
         if self.body:
             out["body"] = self.body
         return out

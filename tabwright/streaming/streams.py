@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalar import clean_double, col, decide, risk_tier
-from ..operators.drift import detect_drift
+from ..operators.aggregates import to_rows
+from ..operators.drift import compare_means
 from ..operators.scoring import fill_missing_features, validate_rows
 
 
@@ -40,26 +41,36 @@ def daily_rollup(stream: DataFrame, ts: str, p: str, threshold: float, lateness:
     return daily.select(F.to_date("window.start").alias("day"), "predictions", "positive_rate", "average_score")
 
 
-def write_closed_days(daily: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append mode: a day is written once, when the watermark has passed it."""
-    return (
-        daily.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start())
+def weekly_means(stream: DataFrame, ts: str, features: Sequence[str], lateness: str = "1 day") -> DataFrame:
+    """Mean of each feature per week from Monday, as rows (period, feature, live_mean). State is one row per open week."""
+    rows = stream.withColumn("_ts", col(ts).cast("timestamp")).withWatermark("_ts", lateness)
+    # windows count from a Thursday, the first day of the epoch
+    weekly = rows.groupBy(F.window("_ts", "7 days", "7 days", "4 days")).agg(*[F.avg(clean_double(f)).alias(f"m{i}") for i, f in enumerate(features)])
+    return to_rows(weekly.withColumn("period", F.to_date("window.start").cast("string")), [
+        {"feature": F.lit(f), "live_mean": F.col(f"m{i}")} for i, f in enumerate(features)], keep=["period"])
 
 
-def drift_stream(stream: DataFrame, snapshot: DataFrame, features: Sequence[str], path: str, checkpoint: str,
-                 label: Callable[[DataFrame], Column], sigma: float = 2.0) -> StreamingQuery:
-    """Compare every micro-batch with the training snapshot.
+def write_updates(rows: DataFrame, path: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
+    """Write what each micro-batch changes, open days and weeks too, into a folder of its own.
 
-    Each batch overwrites its own folder, so a repeated batch leaves one copy.
+    A repeated batch overwrites its folder and leaves one copy. `latest` reads the current rows.
     """
-    def check(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        period = batch.agg(label(batch).alias("period"))
-        found = detect_drift(batch, snapshot, features, sigma).withColumn("period", period.scalar())
-        found.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        finish(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
         .trigger(availableNow=True).start())
+
+
+def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key that `write_updates` has written."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in {*keys, "batch"}]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r"))
+    return newest.select(*keys, "r.*")
+
+
+def weekly_drift(stream: DataFrame, ts: str, snapshot: DataFrame, features: Sequence[str], path: str, checkpoint: str, sigma: float = 2.0) -> StreamingQuery:
+    """Compare the mean of every week, open ones too, with the training snapshot."""
+    return write_updates(weekly_means(stream, ts, features), path, checkpoint, lambda batch: compare_means(batch, snapshot, sigma))

@@ -8,7 +8,7 @@ from tabwright.operators.drift import fit_snapshot
 from tabwright.session import scratch_path
 from tabwright.sources import connectors as C
 from tabwright.sources import sinks
-from tabwright.sources.files import FileSpec
+from tabwright.sources.files import FileSpec, bad_records
 from tabwright.sources.rest import RestSpec, records
 
 
@@ -61,10 +61,27 @@ def test_bare_addresses_are_refused(spark):
 
 def test_latin1_fallback_and_bad_lines(spark, tmp_path):
     (tmp_path / "l.csv").write_bytes("id,name\n1,Zoë\n2,René\n".encode("latin-1"))
-    assert sorted(r["name"] for r in C.read_source(spark, str(tmp_path / "l.csv")).collect()) == ["René", "Zoë"]
+    assert sorted(r["name"] for r in C.read_source(spark, FileSpec(str(tmp_path / "l.csv"), encoding="detect")).collect()) == ["René", "Zoë"]
     (tmp_path / "u.csv").write_text("id,name\n1,Zoë\nx,y\n3,z\n", encoding="utf-8")
-    rows = C.read_source(spark, FileSpec(str(tmp_path / "u.csv"), schema="id int, name string")).collect()
-    assert [(r["id"], r["name"]) for r in rows] == [(1, "Zoë"), (3, "z")]
+    spec = FileSpec(str(tmp_path / "u.csv"), schema="id int, name string", corrupt="_bad")
+    rows = C.read_source(spark, spec).collect()
+    assert [(r["id"], r["name"], r["_bad"]) for r in rows] == [(1, "Zoë", None), (None, "y", "x,y"), (3, "z", None)]
+    assert bad_records(C.read_source(spark, spec), "_bad").first() == (3, 1)
+
+
+def test_quoted_csv_keeps_every_record(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,text\n1,"say ""hi"" now"\n2,"two\nlines"\n3,plain\n4,"a, ""b"", c"\n')
+    df = C.read_source(spark, str(tmp_path / "q.csv"))
+    assert dict(df.dtypes)["id"] == "int"
+    assert {r["id"]: r["text"] for r in df.collect()} == {1: 'say "hi" now', 2: "two\nlines", 3: "plain", 4: 'a, "b", c'}
+
+
+def test_each_file_has_its_own_encoding(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "a.csv").write_text("id,city\n1,Zürich\n", encoding="utf-8")
+    (tmp_path / "e" / "b.csv").write_bytes("id,city\n2,Orléans\n".encode("latin-1"))
+    df = C.read_source(spark, FileSpec(str(tmp_path / "e"), "csv", encoding="detect"))
+    assert {r["id"]: r["city"] for r in df.collect()} == {1: "Zürich", 2: "Orléans"}
 
 
 def test_nan_becomes_null_on_ingest(spark, tmp_path):
