@@ -15,7 +15,6 @@ from ..functions.scalar import clean_double, col, skew_sample
 EXPRESSIONS_PER_PASS = 100
 EXACT_ROWS = 50_000
 SKETCH_ACCURACY = 10_000
-MAX_GROUPS = 1_000
 
 
 def wide_agg(df: DataFrame, exprs: Mapping[str, Column]) -> dict:
@@ -163,12 +162,12 @@ def quantiles(
     Beyond that its per-group value map would not fit one task, so the answer is
     first enclosed by sketches and exact counts, and ``percentile`` sees only the
     enclosed values. Either way the result is exact. ``exact=False`` uses the
-    sketch alone. The number of groups must be bounded (target classes, segments).
+    sketch alone. Any number of groups will do.
     """
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
     values = {c: clean_double(c) for c in cols}
 
-    def table(fn):
+    def table(fn):  # of ``df`` as it is when called
         one = df.groupBy(*by).agg(*[fn(values[c]).alias(f"q{i}") for i, c in enumerate(cols)])
         records = [
             {"column": F.lit(c), "prob": F.lit(p), "value": F.col(f"q{i}")[j]}
@@ -178,15 +177,19 @@ def quantiles(
 
     if not exact:
         return table(lambda x: F.percentile_approx(x, probs, accuracy))
+    # groups that fit one task take the built-in; there are at most rows / exact_rows others
+    sizes = df.groupBy(*by).agg(*[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(cols)])
+    large = F.greatest(*[F.col(f"n{i}") for i in range(len(cols))], F.lit(0)) > exact_rows
+    heavy = [tuple(r[b] for b in by) for r in sizes.filter(large).collect()]
+    if not heavy:
+        return table(lambda x: F.percentile(x, probs))
+    whole, is_heavy = df, reduce(lambda a, b: a | b, [_same_group(by, g) for g in heavy])
+    df = whole.filter(is_heavy)
     around = [min(max(p + side * 2.0 / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)]
     first = df.groupBy(*by).agg(
         *[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(cols)],
         *[F.percentile_approx(values[c], around, accuracy).alias(f"a{i}") for i, c in enumerate(cols)],
-    ).limit(MAX_GROUPS + 1).collect()
-    if len(first) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups: aggregate to fewer groups first")
-    if all(r[f"n{i}"] <= exact_rows for r in first for i in range(len(cols))):
-        return table(lambda x: F.percentile(x, probs))
+    ).collect()
 
     slots, ends = [], {}
     for r in first:
@@ -207,7 +210,11 @@ def quantiles(
            T.StructField("value", T.DoubleType())]
     )
     rows = [(*s.group, s.column, s.prob, s.value) for s in slots]
-    return df.sparkSession.createDataFrame(rows, schema)
+    found = df.sparkSession.createDataFrame(rows, schema)
+    if not by:
+        return found
+    df = whole.filter(~is_heavy)
+    return found.unionByName(table(lambda x: F.percentile(x, probs)))
 
 
 def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[str, list]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -16,17 +16,18 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import col
+from ..functions.scalar import HASH_SPACE, col
+from ..session import cut_lineage
 from .aggregates import modes
 from .choose import cv_summary
-from .metrics import multiclass_metrics, ranking_metrics, roc_auc
+from .metrics import multiclass_metrics, ranking_metrics, regression_errors, roc_auc
 from .scoring import fill_missing_features
-from .splits import folds, nested_subset, with_weights
+from .splits import folds, key_hash, nested_subset, with_weights
 
 SEED = 42
 ROWS_PER_PARTITION = 1_000_000
-MAX_PARTITIONS = 50_000
 CLASSIFIERS = {"logistic", "random_forest", "boosted_trees", "linear_svc", "boosted_multiclass", "multinomial"}
+MULTICLASS = {"boosted_multiclass", "multinomial"}
 
 
 @dataclass
@@ -96,6 +97,11 @@ def is_classifier(algorithm: str) -> bool:
     return algorithm in CLASSIFIERS
 
 
+def problem_of(algorithm: str) -> str:
+    """binary, multiclass or regression."""
+    return "multiclass" if algorithm in MULTICLASS else "binary" if algorithm in CLASSIFIERS else "regression"
+
+
 def prepare(df: DataFrame, features: Sequence[str], label: str, weighted: bool = True) -> DataFrame:
     """Missing features filled with 0, a double ``label``, and balanced class weights."""
     out = fill_missing_features(df.filter(col(label).isNotNull()), features)
@@ -109,22 +115,42 @@ def spread(df: DataFrame) -> DataFrame:
     At least one per core, and enough to keep each partition small.
     """
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_PARTITION))
-    return df.repartition(min(parts, MAX_PARTITIONS))
+    return df.repartition(parts)
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features")
 
 
+def ready(df: DataFrame, algorithm: str, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows as an estimator reads them (features, label, weight), spread evenly, beside the columns to ``keep``.
+
+    Many fits can share them: with stratified folds and subsets the class weights hold for every part.
+    """
+    weighted = is_classifier(algorithm)
+    rows = assembler(features).transform(prepare(df, features, label, weighted))
+    return spread(rows.select("features", "label", *(["weight"] if weighted else []), *[c for c in keep if c not in ("features", "label", "weight")]))
+
+
+def fit_ready(rows: DataFrame, algorithm: str, params: Mapping | None = None):
+    """Fit on rows that are `ready` and kept; balanced weights add up to about the row count."""
+    n, spread_y = rows.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+    return make_estimator(algorithm, n, params, spread_y or 1.0).fit(rows)
+
+
+def with_scores(scored: DataFrame, algorithm: str) -> DataFrame:
+    """Add ``pred`` and the probability ``p`` of class 1, missing where the model gives none."""
+    p = F.lit(None).cast("double")
+    if problem_of(algorithm) == "binary":
+        p = positive_probability() if "probability" in scored.columns else 1.0 / (1.0 + F.exp(-vector_to_array("rawPrediction")[1]))
+    return scored.withColumns({"pred": F.col("prediction"), "p": p})
+
+
 def fit(df: DataFrame, algorithm: str, features: Sequence[str], label: str, params: Mapping | None = None) -> PipelineModel:
     """Fit one model; the prepared rows are kept while the iterations run over them."""
-    rows = spread(prepare(df, features, label, weighted=is_classifier(algorithm)).select(
-        *features, "label", *(["weight"] if is_classifier(algorithm) else []))).persist()
+    rows = ready(df, algorithm, features, label).persist()
     try:
-        # balanced weights add up to the row count
-        n, spread_y = rows.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
-        estimator = make_estimator(algorithm, n, params, spread_y or 1.0)
-        return Pipeline(stages=[assembler(features), estimator]).fit(rows)
+        return PipelineModel([assembler(features), fit_ready(rows, algorithm, params)])
     finally:
         rows.unpersist()
 
@@ -190,122 +216,157 @@ SEARCH_SPACES = {
     "boosted_trees": {
         "n_estimators": Range(100, 600, "int"), "max_depth": Range(3, 10, "int"),
         "learning_rate": Range(0.01, 0.3, log=True), "subsamplingRate": Range(0.5, 1.0),
+        "featureSubsetStrategy": Range(0, 0, choices=("0.5", "0.75", "all")),
     },
     "logistic": {"C": Range(1e-4, 100, log=True)},
     "ridge": {"alpha": Range(1e-3, 100, log=True)},
+    "linear_svc": {"regParam": Range(1e-4, 10, log=True)},
+    "huber": {"epsilon": Range(1.1, 2.0), "regParam": Range(1e-6, 1, log=True)},
 }
+SEARCH_SPACES["multinomial"] = SEARCH_SPACES["logistic"]
+SEARCH_SPACES["boosted_multiclass"] = SEARCH_SPACES["boosted_trees"]
 SEARCH_SPACES["random_forest_regressor"] = SEARCH_SPACES["random_forest"]
 SEARCH_SPACES["boosted_regressor"] = SEARCH_SPACES["boosted_trees"]
 TRIALS = {"random_forest": 30, "random_forest_regressor": 30, "boosted_trees": 50, "boosted_regressor": 50}
 DEFAULT_TRIALS = 20
 
 
+def judge(scored: DataFrame, algorithm: str) -> float:
+    """One number to maximise: ROC-AUC, weighted F1 with several classes, or the negated RMSE."""
+    kind = problem_of(algorithm)
+    if kind == "binary":
+        return BinaryClassificationEvaluator(labelCol="label", numBins=0).evaluate(scored)
+    if kind == "multiclass":
+        return MulticlassClassificationEvaluator(labelCol="label", metricName="f1").evaluate(scored)
+    return -RegressionEvaluator(labelCol="label", metricName="rmse").evaluate(scored)
+
+
 def random_search(df: DataFrame, algorithm: str, features: Sequence[str], label: str, trials: int | None = None,
                   space: Mapping[str, Range] | None = None, seed: int = SEED):
     """Search on split=train, judged on split=val. Returns (best model, best parameters, trial table).
 
-    The score is ROC-AUC or, negated, RMSE. The prepared rows are kept for all trials.
+    The prepared rows are kept for all trials and for the last fit.
     """
     space = dict(space if space is not None else SEARCH_SPACES.get(algorithm, {}))
     rng = np.random.RandomState(seed)
     trials = trials or TRIALS.get(algorithm, DEFAULT_TRIALS)
-    classify = is_classifier(algorithm)
-    rows = prepare(df, features, label, weighted=classify)
-    rows = assembler(features).transform(rows).select("features", "label", "split", *(["weight"] if classify else []))
-    rows = spread(rows).persist()
+    rows = ready(df, algorithm, features, label, ["split"]).persist()
     try:
         train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
-        n, spread_y = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
         results, best = [], None
         for i in range(trials):
             params = {k: r.draw(rng) for k, r in space.items()}
-            model = make_estimator(algorithm, n, params, spread_y or 1.0).fit(train)
-            scored = model.transform(val)
-            if classify:
-                value = BinaryClassificationEvaluator(labelCol="label", numBins=0).evaluate(scored)
-            else:
-                value = -RegressionEvaluator(labelCol="label", metricName="rmse").evaluate(scored)
-            results.append((i, float(value), str(sorted(params.items()))))
+            model = fit_ready(train, algorithm, params)
+            value = float(judge(model.transform(val), algorithm))
+            results.append((i, value, str(sorted(params.items()))))
             if best is None or value > best[0]:
-                best = (value, params)
+                best = (value, params, model)
     finally:
         rows.unpersist()
     table = df.sparkSession.createDataFrame(results, "trial int, value double, params string")
-    final = fit(df.filter("split = 'train'"), algorithm, features, label, best[1])
-    return final, best[1], table
+    return PipelineModel([assembler(features), best[2]]), best[1], table
 
 
 # curves ---------------------------------------------------------------------
 
-def score_by_part(scored: DataFrame, by: Sequence[str], label: str) -> DataFrame:
-    """Rows (by..., metric, value): ROC-AUC, accuracy and weighted F1 of a score table."""
-    keyed = scored.withColumn("_y", col(label).cast("int")).withColumn("_d", F.col("pred").cast("int"))
+def score_by_part(scored: DataFrame, by: Sequence[str], kind: str = "binary") -> DataFrame:
+    """Rows (by..., metric, value) of a score table with y, pred and p.
+
+    binary: ROC-AUC, accuracy and weighted F1; multiclass: accuracy, weighted and
+    macro F1; regression: RMSE, MAE and R2.
+    """
+    by = list(by)
+    if kind == "regression":
+        return regression_errors(scored, "y", "pred", by).unpivot(by, ["rmse", "mae", "r2"], "metric", "value")
+    keyed = scored.withColumn("_y", col("y").cast("int")).withColumn("_d", F.col("pred").cast("int"))
+    classes = multiclass_metrics(keyed, "_y", "_d", by=by)
+    if kind == "multiclass":
+        return classes.unpivot(by, ["accuracy", "f1_weighted", "f1_macro"], "metric", "value")
     rank = ranking_metrics(keyed, "_y", "p", by=by).select(*by, "roc_auc")
-    classes = multiclass_metrics(keyed, "_y", "_d", by=by).select(*by, "accuracy", F.col("f1_weighted"))
-    return rank.join(classes, list(by)).unpivot(list(by), ["roc_auc", "accuracy", "f1_weighted"], "metric", "value")
+    return rank.join(classes.select(*by, "accuracy", "f1_weighted"), by).unpivot(by, ["roc_auc", "accuracy", "f1_weighted"], "metric", "value")
+
+
+def dealt(df: DataFrame, algorithm: str, label: str, keys, k: int, seed: int) -> DataFrame:
+    """Labelled rows with their fold, of equal class shares where there are classes."""
+    return folds(df.filter(col(label).isNotNull()), keys, k, seed, label=label if is_classifier(algorithm) else None)
 
 
 def cross_validate(df: DataFrame, algorithm: str, features: Sequence[str], label: str, keys, k: int = 10,
                    params: Mapping | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(scores per fold and part, summary). One fit per fold; all scores are judged in one pass."""
-    rows = folds(df.filter(col(label).isNotNull()), keys, k, seed).persist()
+    """(scores per fold and part, summary) for any kind of problem. One fit per fold on rows prepared once.
+
+    Predictions are written before they are judged, so no model runs twice.
+    """
+    rows = ready(dealt(df, algorithm, label, keys, k, seed), algorithm, features, label, ["fold"]).persist()
     try:
         parts = []
         for i in range(k):
-            model = fit(rows.filter(F.col("fold") != i), algorithm, features, label, params)
-            parts.append(predict(model, rows, features).select(
-                col(label).alias("y"), "p", "pred", F.lit(i).alias("run"),
+            model = fit_ready(rows.filter(F.col("fold") != i), algorithm, params)
+            parts.append(with_scores(model.transform(rows), algorithm).select(
+                F.col("label").alias("y"), "p", "pred", F.lit(i).alias("run"),
                 F.when(F.col("fold") == i, "val").otherwise("train").alias("part")))
-        scores = score_by_part(reduce(DataFrame.unionByName, parts), ["run", "part"], "y").withColumnRenamed("run", "fold")
-        found = df.sparkSession.createDataFrame(scores.collect(), scores.schema)  # 3 metrics x k folds x 2 parts
+        judged = cut_lineage(reduce(DataFrame.unionByName, parts), "fold-scores")
     finally:
         rows.unpersist()
+    scores = score_by_part(judged, ["run", "part"], problem_of(algorithm)).withColumnRenamed("run", "fold")
+    found = df.sparkSession.createDataFrame(scores.collect(), scores.schema)  # 3 metrics x k folds x 2 parts
     return found, cv_summary(found)
 
 
+CURVE_METRIC = {"binary": "roc_auc", "multiclass": "f1_weighted", "regression": "rmse"}
+
+
 def learning_curve(df: DataFrame, algorithm: str, features: Sequence[str], label: str, keys, steps: int = 10, k: int = 5,
                    params: Mapping | None = None, seed: int = SEED) -> DataFrame:
-    """Rows (step, fraction, n, train_mean, train_std, val_mean, val_std) over growing nested subsets."""
-    rows = folds(df.filter(col(label).isNotNull()), keys, k, seed).persist()
+    """Rows (step, fraction, n, train_mean, train_std, val_mean, val_std) over growing nested subsets.
+
+    The metric is ROC-AUC, weighted F1 or RMSE, by the kind of problem.
+    """
     fractions = [0.1 + 0.9 * i / (steps - 1) for i in range(steps)]
+    # the subset hash has its own seed, so it is independent of the folds
+    place = key_hash(keys, seed + 1)
+    marked = dealt(df, algorithm, label, keys, k, seed).withColumn("_place", place)
+    rows = ready(marked, algorithm, features, label, ["fold", "_place"]).persist()
     try:
         parts = []
         for s, fraction in enumerate(fractions):
-            # the subset hash has its own seed, so it is independent of the folds
-            inside = nested_subset(keys, fraction, seed + 1)
+            inside = F.col("_place") < F.lit(int(fraction * HASH_SPACE))
             for i in range(k):
-                used = rows.filter((F.col("fold") != i) & inside)
-                model = fit(used, algorithm, features, label, params)
-                judged = rows.filter((F.col("fold") == i) | inside)
-                parts.append(predict(model, judged, features).select(
-                    col(label).alias("y"), "p", F.lit(s).alias("step"), F.lit(i).alias("run"),
+                model = fit_ready(rows.filter((F.col("fold") != i) & inside), algorithm, params)
+                scored = with_scores(model.transform(rows.filter((F.col("fold") == i) | inside)), algorithm)
+                parts.append(scored.select(
+                    F.col("label").alias("y"), "p", "pred", F.lit(s).alias("step"), F.lit(i).alias("run"),
                     F.when(F.col("fold") == i, "val").otherwise("train").alias("part")))
-        scores = roc_auc(reduce(DataFrame.unionByName, parts), by=["step", "run", "part"])
-        sizes = {s: rows.filter(nested_subset(keys, f, seed + 1)).count() for s, f in enumerate(fractions)}
-        table = scores.groupBy("step").agg(*[
-            fn(F.when(F.col("part") == p, F.col("roc_auc"))).alias(f"{p}_{n}")
-            for p in ("train", "val") for n, fn in (("mean", F.avg), ("std", F.stddev_pop))])
-        found = df.sparkSession.createDataFrame(table.collect(), table.schema)  # one row per step
+        judged = cut_lineage(reduce(DataFrame.unionByName, parts), "curve-scores")
+        one = rows.agg(*[F.count(F.when(F.col("_place") < F.lit(int(f * HASH_SPACE)), 1)).alias(f"n{s}") for s, f in enumerate(fractions)]).first()
     finally:
         rows.unpersist()
-    about = df.sparkSession.createDataFrame([(s, f, sizes[s]) for s, f in enumerate(fractions)], "step int, fraction double, n long")
+    kind = problem_of(algorithm)
+    scores = score_by_part(judged, ["step", "run", "part"], kind).filter(F.col("metric") == CURVE_METRIC[kind])
+    table = scores.groupBy("step").agg(*[
+        fn(F.when(F.col("part") == p, F.col("value"))).alias(f"{p}_{n}")
+        for p in ("train", "val") for n, fn in (("mean", F.avg), ("std", F.stddev_pop))])
+    found = df.sparkSession.createDataFrame(table.collect(), table.schema)  # one row per step
+    about = df.sparkSession.createDataFrame([(s, f, one[s]) for s, f in enumerate(fractions)], "step int, fraction double, n long")
     return about.join(found, "step")
 
 
 def score_stability(df: DataFrame, algorithm: str, features: Sequence[str], label: str, keys, runs: int = 10,
                     share: float = 0.8, params: Mapping | None = None) -> DataFrame:
     """Rows (seed, roc_auc): fits on hash subsamples, each judged on the rows it did not see."""
-    rows = df.filter(col(label).isNotNull()).persist()
+    marked = df.filter(col(label).isNotNull()).withColumns({f"_in{seed}": nested_subset(keys, share, seed) for seed in range(runs)})
+    rows = ready(marked, algorithm, features, label, [f"_in{seed}" for seed in range(runs)]).persist()
     try:
         parts = []
         for seed in range(runs):
-            inside = nested_subset(keys, share, seed)
-            model = fit(rows.filter(inside), algorithm, features, label, params)
-            parts.append(predict(model, rows.filter(~inside), features).select(col(label).alias("y"), "p", F.lit(seed).alias("seed")))
-        scores = roc_auc(reduce(DataFrame.unionByName, parts), by=["seed"])
-        return df.sparkSession.createDataFrame(scores.collect(), scores.schema)  # one row per seed
+            model = fit_ready(rows.filter(F.col(f"_in{seed}")), algorithm, params)
+            scored = with_scores(model.transform(rows.filter(~F.col(f"_in{seed}"))), algorithm)
+            parts.append(scored.select(F.col("label").alias("y"), "p", F.lit(seed).alias("seed")))
+        judged = cut_lineage(reduce(DataFrame.unionByName, parts), "stability-scores")
     finally:
         rows.unpersist()
+    scores = roc_auc(judged, by=["seed"])
+    return df.sparkSession.createDataFrame(scores.collect(), scores.schema)  # one row per seed
 
 
 def importance_runs(df: DataFrame, features: Sequence[str], label: str, runs: int = 10, trees: int = 100, depth: int = 8) -> DataFrame:
@@ -323,29 +384,28 @@ def boosting_curve(model: PipelineModel, df: DataFrame, features: Sequence[str],
     return df.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "round int, loss double")
 
 
-def quality(scored: DataFrame, label: str, kind: str = "multiclass") -> float:
-    """Weighted F1 of predictions, or RMSE for kind='regression'."""
-    rows = scored.withColumn("label", col(label).cast("double")).withColumn("prediction", F.col("pred").cast("double"))
-    if kind == "regression":
-        return RegressionEvaluator(labelCol="label", metricName="rmse").evaluate(rows)
-    return MulticlassClassificationEvaluator(labelCol="label", metricName="f1").evaluate(rows)
-
-
 # stacking -------------------------------------------------------------------
 
 def oof_predictions(df: DataFrame, bases: Mapping[str, tuple[str, Mapping]], features: Sequence[str], label: str, keys,
                     k: int = 5, seed: int = SEED) -> DataFrame:
     """Every row with one out-of-fold score column per base model."""
-    rows = folds(df.filter(col(label).isNotNull()), keys, k, seed)
-    parts = []
-    for i in range(k):
-        held = rows.filter(F.col("fold") == i)
-        for name, (algorithm, params) in bases.items():
-            model = fit(rows.filter(F.col("fold") != i), algorithm, features, label, params)
-            scored = predict(model, held, features)
-            held = scored.withColumnRenamed("p" if "p" in scored.columns else "pred", name).drop("pred")
-        parts.append(held)
-    return reduce(DataFrame.unionByName, parts)
+    kind = next(iter(bases.values()))[0]
+    marked = cut_lineage(dealt(df, kind, label, keys, k, seed), "dealt")
+    names = [c for c in marked.columns]
+    rows = ready(marked, kind, features, label, [*names]).persist()
+    try:
+        parts = []
+        for i in range(k):
+            held = rows.filter(F.col("fold") == i)
+            for name, (algorithm, params) in bases.items():
+                model = fit_ready(rows.filter(F.col("fold") != i), algorithm, params)
+                scored = with_scores(model.transform(held), algorithm)
+                score = "p" if problem_of(algorithm) == "binary" else "pred"
+                held = scored.withColumnRenamed(score, name).drop("pred", "p", "prediction", "probability", "rawPrediction")
+            parts.append(held.select(*names, *bases))
+        return cut_lineage(reduce(DataFrame.unionByName, parts), "out-of-fold")
+    finally:
+        rows.unpersist()
 
 
 @dataclass

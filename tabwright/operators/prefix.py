@@ -72,15 +72,17 @@ def prefix_scan(
     return joined.select(*kept, *[combine(F.col(f"cum_{n}"), F.col(f"_o_{n}")).alias(f"cum_{n}") for n in values])
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """Number all rows 1, 2, ... in an order that ends in a unique key.
+def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
+    """Number all rows 1, 2, ... within each value of ``by``, in an order that ends in a unique key.
 
     Value ranges are numbered in parallel and shifted by the sizes of the ranges
     before them. Writing the ranges fixes which rows each of them holds.
     """
+    by = list(by)
     ranged = _ranged(df, order)
-    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = sizes.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    placed = ranged.withColumn("_p", F.row_number().over(Window.partitionBy("_r").orderBy(*order)))
-    return placed.join(offsets, "_r").withColumn(name, F.col("_p") + F.col("_o")).drop("_r", "_p", "_o")
+    sizes = ranged.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select(*by, "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    placed = ranged.withColumn("_p", F.row_number().over(Window.partitionBy(*by, "_r").orderBy(*order)))
+    joined = placed.alias("p").join(offsets.alias("o"), [F.col(f"p.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*by, "_r"]])
+    return joined.select(*[F.col(f"p.`{c}`") for c in df.columns], (F.col("_p") + F.col("_o")).alias(name))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import HASH_SPACE, col, portable_hash, row_hash
-from .aggregates import quantiles
+from .prefix import row_numbers
 
 SPLIT_NAMES = ("train", "val", "test")
 SPLIT_FRACTIONS = (0.70, 0.15, 0.15)
@@ -21,36 +21,37 @@ def key_hash(keys: str | Sequence[str], seed: int = 42, portable: bool = False)
     return row_hash([keys] if isinstance(keys, str) else list(keys), seed)
 
 
+def _class_rank(df: DataFrame, keys, label: str, seed: int, portable: bool) -> DataFrame:
+    """Add ``_rank``, the place of a row by hash among those of its class, for any number of classes."""
+    ties = [F.asc(k) for k in ([keys] if isinstance(keys, str) else list(keys))]
+    return row_numbers(df.withColumn("_h", key_hash(keys, seed, portable)), [F.asc("_h"), *ties], "_rank", by=[label]).drop("_h")
+
+
 def split(df: DataFrame, keys, label: str | None = None, fractions: Sequence[float] = SPLIT_FRACTIONS,
           seed: int = 42, exact: bool = False, portable: bool = False) -> DataFrame:
     """Add a ``split`` column. No shuffle: the hash alone decides.
 
-    ``exact=True`` with a label cuts each class at its own hash quantiles, so that
-    class shares are met to the row.
+    ``exact=True`` with a label deals out each class by its own hash ranks, so that
+    class shares are met to the row; that takes a sort by ranges.
     """
-    h = key_hash(keys, seed, portable)
     bounds = [sum(fractions[:i + 1]) for i in range(len(fractions) - 1)]
-    if not (exact and label):
-        cut = F.lit(None).cast("string")
-        rule = None
-        for name, b in zip(SPLIT_NAMES, bounds):
-            test = h < F.lit(int(b * HASH_SPACE))
-            rule = F.when(test, name) if rule is None else rule.when(test, name)
-        return df.withColumn("split", rule.otherwise(SPLIT_NAMES[-1]) if rule is not None else cut)
-    hashed = df.withColumn("_h", h.cast("double"))
-    cuts = {
-        (r[label], round(r["prob"], 9)): r["value"] for r in quantiles(hashed, ["_h"], bounds, by=[label]).collect()
-    }
-    rule = None
-    for (value, prob), cut in sorted(cuts.items(), key=lambda kv: kv[0][1]):
-        name = SPLIT_NAMES[[round(b, 9) for b in bounds].index(prob)]
-        test = col(label).eqNullSafe(F.lit(value)) & (F.col("_h") <= F.lit(cut))
-        rule = F.when(test, name) if rule is None else rule.when(test, name)
-    return hashed.withColumn("split", rule.otherwise(SPLIT_NAMES[-1])).drop("_h")
-
-
-def folds(df: DataFrame, keys, k: int = 10, seed: int = 42, portable: bool = False) -> DataFrame:
-    """Add ``fold`` 0..k-1; class shares hold in expectation for every class."""
+    if exact and label:
+        sizes = df.groupBy(col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
+        ranked = _class_rank(df, keys, label, seed, portable).join(sizes, col(label).eqNullSafe(F.col("_class")))
+        at, limits = F.col("_rank") - 1, [F.lit(b) * F.col("_size") for b in bounds]
+    else:
+        ranked, at, limits = df, key_hash(keys, seed, portable), [F.lit(int(b * HASH_SPACE)) for b in bounds]
+    rule = F.lit(SPLIT_NAMES[len(bounds)])
+    for name, limit in reversed(list(zip(SPLIT_NAMES, limits))):
+        rule = F.when(at < limit, name).otherwise(rule)
+    return ranked.withColumn("split", rule).select(*df.columns, "split")
+
+
+def folds(df: DataFrame, keys, k: int = 10, seed: int = 42, portable: bool = False, label: str | None = None) -> DataFrame:
+    """Add ``fold`` 0..k-1. With a label the rows of each class are dealt out in turn, so folds differ by one at most."""
+    if label:
+        ranked = _class_rank(df, keys, label, seed, portable)
+        return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).select(*df.columns, "fold")
     return df.withColumn("fold", F.floor(key_hash(keys, seed, portable) * F.lit(k) / F.lit(HASH_SPACE)).cast("int"))
 
 
@@ -83,9 +84,7 @@ def positive_weight(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Attach the balanced class weight to every row as literals of the few classes."""
-    rule = None
-    for r in class_weights(df, label).collect():
-        test = col(label) == F.lit(r["class"])
-        rule = F.when(test, r["balanced_weight"]) if rule is None else rule.when(test, r["balanced_weight"])
-    return df.withColumn(name, (rule if rule is not None else F.lit(1.0)).cast("double"))
+    """Attach the balanced class weight to every row; a row without a class weighs 1."""
+    weights = class_weights(df, label).select(F.col("class").alias("_class"), F.col("balanced_weight").alias(name))
+    joined = df.join(weights, col(label) == F.col("_class"), "left").drop("_class")
+    return joined.withColumn(name, F.coalesce(F.col(name).cast("double"), F.lit(1.0)))

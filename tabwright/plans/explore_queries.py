@@ -284,9 +284,9 @@ def sp1(spark, sf):
 
 
 @query("sp1_split_exact", with_tables(f"""
-    with h as (select doc_id, toxic, {HASH.format(k='doc_id', s=42)} as h from {{doc_ft}}),
-    c as (select toxic, quantile_cont(h, 0.7) as a, quantile_cont(h, 0.85) as b from h group by 1)
-    select doc_id, toxic, case when h <= a then 'train' when h <= b then 'val' else 'test' end as split from h join c using (toxic)"""))
+    with h as (select doc_id, toxic, row_number() over (partition by toxic order by {HASH.format(k='doc_id', s=42)}, doc_id) - 1 as at,
+                      count(*) over (partition by toxic) as n from {{doc_ft}})
+    select doc_id, toxic, case when at < 0.7e0 * n then 'train' when at < (0.7e0 + 0.15e0) * n then 'val' else 'test' end as split from h"""))
 def sp1_exact(spark, sf):
     return splits.split(table(spark, sf, "doc_ft"), "doc_id", "toxic", exact=True, portable=True).select("doc_id", "toxic", "split")
 
@@ -302,9 +302,18 @@ def sp3(spark, sf):
 
 
 @query("w5_stratified_fold_counts", with_tables(f"""
-    select toxic, cast(floor({HASH.format(k='doc_id', s=42)} * 5 / 4294967296) as int) as fold, count(*) as n from {{doc_ft}} group by all"""))
+    select toxic, cast((place - 1) % 5 as int) as fold, count(*) as n from (
+      select toxic, row_number() over (partition by toxic order by {HASH.format(k='doc_id', s=42)}, doc_id) as place from {{doc_ft}}) group by all"""))
 def w5(spark, sf):
-    return splits.folds(table(spark, sf, "doc_ft"), "doc_id", 5, portable=True).groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n"))
+    found = splits.folds(table(spark, sf, "doc_ft"), "doc_id", 5, portable=True, label="toxic")
+    return found.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sp3_stratified_folds", with_tables(f"""
+    select doc_id, toxic, cast((row_number() over (partition by toxic order by {HASH.format(k='doc_id', s=42)}, doc_id) - 1) % 10 as int) as fold
+    from {{doc_ft}}"""))
+def sp3_stratified(spark, sf):
+    return splits.folds(table(spark, sf, "doc_ft"), "doc_id", 10, portable=True, label="toxic").select("doc_id", "toxic", "fold")
 
 
 @query("sp4_nested_subsets", union([

@@ -43,7 +43,7 @@ def m4(spark, sf):
 def m5(spark, sf):
     df = vectors(spark, sf)
     names = [f"e{i}" for i in range(64)]
-    model = models.fit(df, "multinomial", names, "label", {"max_iter": 30})
+    model = models.fit(df, "multinomial", names, "label")
     return models.predict(model, df, names).select("vec_id", "label", "pred")
 
 
@@ -62,7 +62,7 @@ def m7(spark, sf):
 
 @query("m8_random_forest")
 def m8(spark, sf):
-    return scored_docs(spark, sf, "random_forest", SMALL)
+    return scored_docs(spark, sf, "random_forest")
 
 
 def regression(spark, sf, algorithm, params=None):
@@ -84,7 +84,7 @@ def m10(spark, sf):
 
 @query("m11_huber")
 def m11(spark, sf):
-    return regression(spark, sf, "huber", {"max_iter": 50})
+    return regression(spark, sf, "huber")
 
 
 @query("m12_ridge_slope", with_tables("""
@@ -97,12 +97,12 @@ def m12(spark, sf):
 
 @query("m13_linear_svc")
 def m13(spark, sf):
-    return scored_docs(spark, sf, "linear_svc", {"max_iter": 20})
+    return scored_docs(spark, sf, "linear_svc")
 
 
 @query("m14_random_search")
 def m14(spark, sf):
-    _, _, trials = models.random_search(docs(spark, sf), "logistic", DOC_FEATURES, "toxic", trials=4)
+    _, _, trials = models.random_search(docs(spark, sf), "logistic", DOC_FEATURES, "toxic")
     return choose.best_so_far(trials)
 
 
@@ -116,7 +116,7 @@ def m15(spark, sf):
 
 @query("m18_learning_curve")
 def m18(spark, sf):
-    return models.learning_curve(docs(spark, sf), "logistic", DOC_FEATURES, "toxic", "doc_id", steps=3, k=2, params={"max_iter": 20})
+    return models.learning_curve(docs(spark, sf), "logistic", DOC_FEATURES, "toxic", "doc_id", steps=8, k=5)
 
 
 @query("m20_boosting_curve")
@@ -128,13 +128,13 @@ def m20(spark, sf):
 
 @query("fs2_rf_importance")
 def fs2(spark, sf):
-    return models.rf_importance(docs(spark, sf), DOC_FEATURES, "toxic", trees=20, depth=4)
+    return models.rf_importance(docs(spark, sf), DOC_FEATURES, "toxic")
 
 
 @query("fs2_importance_selection")
 def fs2_selection(spark, sf):
     df = docs(spark, sf)
-    return selection.selection_report(df, DOC_FEATURES, models.rf_importance(df, DOC_FEATURES, "toxic", trees=20, depth=4))
+    return selection.selection_report(df, DOC_FEATURES, models.rf_importance(df, DOC_FEATURES, "toxic"))
 
 
 @query("me17_tree_attribution")
@@ -146,35 +146,48 @@ def me17_trees(spark, sf):
 
 @query("v1_cross_validation")
 def v1(spark, sf):
-    scores, _ = models.cross_validate(docs(spark, sf), "logistic", DOC_FEATURES, "toxic", "doc_id", k=3, params={"max_iter": 20})
+    scores, _ = models.cross_validate(docs(spark, sf), "logistic", DOC_FEATURES, "toxic", "doc_id")
     return scores
 
 
+@query("v1_cross_validation_regression")
+def v1_regression(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.month("o_orderdate").alias("month"))
+    return models.cross_validate(df, "ridge", ["o_custkey", "month"], "o_totalprice", "o_orderkey", k=5)[0]
+
+
+@query("m14_random_search_multiclass")
+def m14_multiclass(spark, sf):
+    df = split(vectors(spark, sf), "vec_id", "label", exact=True)
+    _, _, trials = models.random_search(df, "multinomial", [f"e{i}" for i in range(64)], "label", trials=5)
+    return choose.best_so_far(trials)
+
+
 @query("v3_score_stability")
 def v3(spark, sf):
-    scores = models.score_stability(docs(spark, sf), "logistic", DOC_FEATURES, "toxic", "doc_id", runs=3, params={"max_iter": 20})
+    scores = models.score_stability(docs(spark, sf), "logistic", DOC_FEATURES, "toxic", "doc_id")
     return choose.stability_summary(scores)
 
 
 @query("v4_importance_stability")
 def v4(spark, sf):
-    runs = models.importance_runs(docs(spark, sf), DOC_FEATURES, "toxic", runs=3, trees=5, depth=3)
-    return choose.feature_stability(runs, top_n=2)
+    runs = models.importance_runs(docs(spark, sf), DOC_FEATURES, "toxic", runs=10, trees=20)
+    return choose.feature_stability(runs)
 
 
-BASES = {"linear": ("logistic", {"max_iter": 20}), "forest": ("random_forest", {"n_estimators": 5, "max_depth": 3})}
+BASES = {"linear": ("logistic", {}), "forest": ("random_forest", {"n_estimators": 50})}
 
 
 @query("en6_out_of_fold")
 def en6(spark, sf):
-    out = models.oof_predictions(docs(spark, sf), BASES, DOC_FEATURES, "toxic", "doc_id", k=2)
+    out = models.oof_predictions(docs(spark, sf), BASES, DOC_FEATURES, "toxic", "doc_id")
     return out.select("doc_id", "toxic", "fold", "linear", "forest")
 
 
 @query("en7_stacking")
 def en7(spark, sf):
     df = docs(spark, sf)
-    stacked = models.stack(df.filter("split <> 'test'"), BASES, DOC_FEATURES, "toxic", "doc_id", k=2)
+    stacked = models.stack(df.filter("split <> 'test'"), BASES, DOC_FEATURES, "toxic", "doc_id")
     return stacked.transform(df).select("doc_id", "toxic", "split", "linear", "forest", "p")
 
 

@@ -76,7 +76,7 @@ def run(raw: DataFrame, s: Settings) -> Result:
     # features, split, then cleaning fitted on the training rows alone
     made = features.engineer(rows, s.domain, s.column_map, s.date_columns, s.interactions)
     dates = [c for c, t in made.dtypes if t.startswith(("timestamp", "date"))]
-    parted = split(made.drop(*dates), list(s.keys), s.target, seed=s.seed)
+    parted = cut_lineage(split(made.drop(*dates), list(s.keys), s.target, seed=s.seed, exact=True), "split")
     fixed = [*s.keys, "split"]
     cleaner = Preprocessor.fit(parted.filter("split = 'train'"), s.target, s.orders, fixed)
     kept = [F.col(c).alias(f"raw_{c}") for c in s.segments]

@@ -145,3 +145,32 @@ def test_run_stops_when_cleaning_eats_the_rows(spark):
     df = spark.createDataFrame([(1, 1.0, 1)] * 50 + [(2, 2.0, 0)], "id int, x double, y int")
     with pytest.raises(workflow.Blocked):
         workflow.run(df, workflow.Settings(target="y", keys=["id"]))
+
+
+def test_folds_deal_out_each_class(planted):
+    for k in (5, 10):
+        dealt = folds(planted, "id", k, label="y").groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()
+        for label in (0, 1):
+            sizes = [r["n"] for r in dealt if r["y"] == label]
+            assert len(sizes) == k and max(sizes) - min(sizes) <= 1
+
+
+def test_exact_split_with_many_classes(spark):
+    df = spark.range(6_000).selectExpr("id", "id % 1500 as c")
+    parts = split(df, "id", "c", exact=True).groupBy("c", "split").count()
+    assert {(r["split"], r["count"]) for r in parts.collect()} == {("train", 3), ("val", 1)}  # 4 rows a class
+
+
+def test_every_kind_of_problem_is_validated_and_searched(spark, planted):
+    three = planted.withColumn("k", (F.col("a") > 0.5).cast("int") + (F.col("a") > -0.5).cast("int"))
+    scores, _ = models.cross_validate(three, "multinomial", FEATURES, "k", "id", k=3, params={"max_iter": 50})
+    rows = {(r["metric"], r["part"]): r["value"] for r in scores.collect()}
+    assert {m for m, _ in rows} == {"accuracy", "f1_weighted", "f1_macro"} and rows[("accuracy", "val")] > 0.8
+    scores, _ = models.cross_validate(planted, "ridge", ["b", "c"], "a", "id", k=3)
+    assert {r["metric"] for r in scores.collect()} == {"rmse", "mae", "r2"}
+    _, best, trials = models.random_search(three, "multinomial", FEATURES, "k", trials=2)
+    assert set(best) == {"C"} and trials.filter("value > 0.5").count() >= 1
+    _, _, trials = models.random_search(planted, "ridge", ["b", "c"], "a", trials=2)
+    assert trials.filter("value < 0").count() == 2
+    assert models.learning_curve(planted, "ridge", ["b", "c"], "a", "id", steps=2, k=2).filter("val_mean > 0").count() == 2
+    assert all(a in models.SEARCH_SPACES for a in models.CLASSIFIERS | {"ridge", "huber", "random_forest_regressor", "boosted_regressor"})

@@ -47,9 +47,13 @@ def test_quantiles_skip_nan_and_null_and_empty(spark):
     assert found == {"x": [2.0], "y": [None]}
 
 
-def test_too_many_groups_is_an_error(spark):
-    with pytest.raises(ValueError):
-        agg.quantiles(spark.range(5000).withColumn("x", F.lit(1.0)), ["x"], [0.5], by=["id"])
+@pytest.mark.parametrize("groups", [1_000, 1_001])
+def test_quantiles_of_many_groups_with_large_ones_among_them(spark, groups):
+    rows = [(g, float(g + i)) for g in range(groups) for i in range(3)] + [(0, float(i)) for i in range(200)] + [(None, float(i)) for i in range(150)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(7)
+    got = {r["g"]: r["value"] for r in agg.quantiles(df, ["x"], [0.5], by=["g"], exact_rows=100, accuracy=50).collect()}
+    assert len(got) == groups + 1 and got[5] == 6.0 and got[groups - 1] == groups
+    assert got[0] == np.median([x for g, x in rows if g == 0]) and got[None] == 74.5
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
