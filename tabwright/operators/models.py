@@ -26,6 +26,7 @@ from .splits import folds, key_hash, nested_subset, with_weights
 
 SEED = 42
 ROWS_PER_PARTITION = 1_000_000
+WORTH_A_TASK = 2_000
 CLASSIFIERS = {"logistic", "random_forest", "boosted_trees", "linear_svc", "boosted_multiclass", "multinomial"}
 MULTICLASS = {"boosted_multiclass", "multinomial"}
 
@@ -112,10 +113,11 @@ def prepare(df: DataFrame, features: Sequence[str], label: str, weighted: bool =
 def spread(df: DataFrame) -> DataFrame:
     """Even partitions for rows that many iterations will read, however they were stored.
 
-    At least one per core, and enough to keep each partition small.
+    One per core, more where that keeps each small, and fewer where a task would have next to no rows.
     """
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_PARTITION))
-    return df.repartition(parts)
+    n = df.count()
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
+    return df.repartition(max(1, min(parts, -(-n // WORTH_A_TASK))))
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:

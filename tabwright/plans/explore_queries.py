@@ -284,9 +284,9 @@ def sp1(spark, sf):
 
 
 @query("sp1_split_exact", with_tables(f"""
-    with h as (select doc_id, toxic, row_number() over (partition by toxic order by {HASH.format(k='doc_id', s=42)}, doc_id) - 1 as at,
+    with h as (select doc_id, toxic, row_number() over (partition by toxic order by {HASH.format(k='doc_id', s=42)}, doc_id) - 1 as place,
                       count(*) over (partition by toxic) as n from {{doc_ft}})
-    select doc_id, toxic, case when at < 0.7e0 * n then 'train' when at < (0.7e0 + 0.15e0) * n then 'val' else 'test' end as split from h"""))
+    select doc_id, toxic, case when place < 0.7e0 * n then 'train' when place < (0.7e0 + 0.15e0) * n then 'val' else 'test' end as split from h"""))
 def sp1_exact(spark, sf):
     return splits.split(table(spark, sf, "doc_ft"), "doc_id", "toxic", exact=True, portable=True).select("doc_id", "toxic", "split")
 

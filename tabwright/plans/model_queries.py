@@ -116,7 +116,7 @@ def m15(spark, sf):
 
 @query("m18_learning_curve")
 def m18(spark, sf):
-    return models.learning_curve(docs(spark, sf), "logistic", DOC_FEATURES, "toxic", "doc_id", steps=8, k=5)
+    return models.learning_curve(docs(spark, sf), "logistic", DOC_FEATURES, "toxic", "doc_id", steps=5, k=5)
 
 
 @query("m20_boosting_curve")
