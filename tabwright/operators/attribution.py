@@ -7,6 +7,7 @@ each change belongs to the feature that was split on. The parts add up exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,25 +19,34 @@ from ..functions.scalar import col
 from ..session import scratch_path
 from .models import fill_missing_features
 
-MAX_NODES = 2_000_000
+#: nodes of the trees that are sent to the tasks together
+NODES = 500_000
 
 
-def node_arrays(model: PipelineModel, df: DataFrame) -> dict:
-    """Node table of the fitted trees as flat arrays, read from the saved form of the model.
+def node_arrays(model: PipelineModel, df: DataFrame, limit: int = NODES) -> Iterator[dict]:
+    """Node tables of the fitted trees as flat arrays, read from the saved form of the model.
 
-    Its size depends on the model alone and is checked against MAX_NODES.
+    Each holds trees of about ``limit`` nodes together, one tree at least, so a model of any size is sent piece by piece.
     """
     trees = model.stages[-1]
-    total = sum(t.numNodes for t in trees.trees)
-    if total > MAX_NODES:
-        raise ValueError(f"{total} tree nodes are too many to send to every task")
     spark = df.sparkSession
     path = scratch_path(spark, "trees")
     trees.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
+    saved = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
-        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
-    ).orderBy("treeID", "id").toPandas()
+        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold")
+    first, held = 0, 0
+    sizes = [t.numNodes for t in trees.trees]
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= limit or i == len(sizes) - 1:
+            nodes = saved.filter(F.col("treeID").between(first, i)).orderBy("treeID", "id").toPandas()
+            yield _arrays(trees, nodes, first, i + 1)
+            first, held = i + 1, 0
+
+
+def _arrays(trees, nodes: pd.DataFrame, first: int, end: int) -> dict:
+    """Arrays of the trees from ``first`` to before ``end``."""
     if nodes.empty:
         raise ValueError("the saved model holds no nodes")
     start = nodes.groupby("treeID").cumcount().rsub(np.arange(len(nodes)))  # first row of the node's tree
@@ -58,7 +68,7 @@ def node_arrays(model: PipelineModel, df: DataFrame) -> dict:
             per_tree = np.full(len(per_tree), 1.0 / len(per_tree))
     cut = np.array([v[0] if len(v) else np.nan for v in nodes["leftCategoriesOrThreshold"]], dtype=float)
     return {
-        "roots": np.flatnonzero(nodes["id"].to_numpy() == 0), "weights": per_tree, "value": value, "leaf": leaf,
+        "roots": np.flatnonzero(nodes["id"].to_numpy() == 0), "weights": per_tree[first:end], "value": value, "leaf": leaf,
         "left": np.where(leaf, 0, left + start), "right": np.where(leaf, 0, right + start),
         "feature": nodes["featureIndex"].to_numpy(), "cut": cut,
     }
@@ -86,20 +96,26 @@ def contributions(x: np.ndarray, t: dict) -> tuple[np.ndarray, float]:
 
 def tree_attribution(model: PipelineModel, df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Rows (keys, base, contributions) with one contribution per feature, in feature order."""
-    arrays = node_arrays(model, df)
-    shared = df.sparkSession.sparkContext.broadcast(arrays)
     names = list(features)
+    rows = fill_missing_features(df, names).select(*[col(k) for k in keys], *names)
+    made = []
+    for arrays in node_arrays(model, df):
+        explain = _explainer(df.sparkSession.sparkContext.broadcast(arrays))
+        rows = rows.withColumn(f"_e{len(made)}", explain(*[col(f) for f in names]))
+        made.append(F.col(f"_e{len(made)}"))
+    base = reduce(lambda a, b: a + b, [e["base"] for e in made])
+    parts = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [e["contributions"] for e in made])
+    return rows.select(*[col(k) for k in keys], base.alias("base"), parts.alias("contributions"))
+
 
+def _explainer(shared):
     @F.pandas_udf("base double, contributions array<double>")
     def explain(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         trees = shared.value
         for columns in batches:
             parts, base = contributions(np.column_stack([c.to_numpy(dtype=float) for c in columns]), trees)
             yield pd.DataFrame({"base": base, "contributions": list(parts)})
-
-    rows = fill_missing_features(df, names).select(*[col(k) for k in keys], *names)
-    found = rows.withColumn("_e", explain(*[col(f) for f in names]))
-    return found.select(*[col(k) for k in keys], "_e.base", "_e.contributions")
+    return explain
 
 
 def tree_attribution_global(model: PipelineModel, df: DataFrame, features: Sequence[str], k: int = 20) -> DataFrame:

@@ -58,9 +58,14 @@ def rfm(df: DataFrame, key: str, value: str, date: str, reference=None, recency_
     return scored.withColumn("rfm_score", F.col("rfm_r") + F.col("rfm_f") + F.col("rfm_m"))
 
 
-def date_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Calendar parts with sin/cos forms; the hour only where it varies."""
-    hours = wide_agg(df, {c: F.min(F.hour(col(c))) != F.max(F.hour(col(c))) for c in cols})
+def varying_hours(df: DataFrame, cols: Sequence[str]) -> dict[str, bool]:
+    """Which date columns have more than one hour of the day."""
+    return {c: bool(v) for c, v in wide_agg(df, {c: F.min(F.hour(col(c))) != F.max(F.hour(col(c))) for c in cols}).items()} if cols else {}
+
+
+def date_features(df: DataFrame, cols: Sequence[str], hours: Mapping[str, bool] | None = None) -> DataFrame:
+    """Calendar parts with sin/cos forms; the hour only where it varies, here or as given."""
+    hours = varying_hours(df, cols) if hours is None else hours
     made: dict[str, Column] = {}
     for c in cols:
         with_hour = bool(hours[c])
@@ -192,10 +197,10 @@ def recommend_features(df: DataFrame, cols: Sequence[str], target: str, dates: S
 
 
 def engineer(df: DataFrame, domain: str | None = None, col_map: Mapping | None = None, dates: Sequence[str] = (),
-             wanted: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+             wanted: Sequence[tuple[str, str, str]] = (), hours: Mapping[str, bool] | None = None) -> DataFrame:
     """Domain features, then dates, then interactions."""
     out = DOMAIN_FEATURES[domain](df, col_map or {}) if domain in DOMAIN_FEATURES else df
-    out = date_features(out, [d for d in dates if d in out.columns]) if dates else out
+    out = date_features(out, [d for d in dates if d in out.columns], hours) if dates else out
     return interactions(out, wanted)
 
 

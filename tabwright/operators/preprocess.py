@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .clean import NullPolicy, Winsorizer, audit_table, dedup_counts, deduplicate, recast, text_kinds
+from .clean import AUDIT_SCHEMA, NullPolicy, Winsorizer, audit_table, dedup_counts, deduplicate, recast, text_kinds
 from .encode import CategoryEncoder, Standardizer
 
 
@@ -45,6 +46,27 @@ class Preprocessor:
         ])
         return cls(nulls, outliers, kinds, categories, scale, audit)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Fitted values as one JSON record; frequency tables, which follow the data, as tables beside it."""
+        shares = sorted(self.categories.shares)
+        state = {
+            "actions": self.nulls.actions, "shares": self.nulls.shares, "fills": self.nulls.fills, "bounds": self.outliers.bounds, "kinds": self.kinds,
+            "plan": self.categories.plan, "orders": self.categories.orders, "known": self.categories.known, "stats": self.scale.stats, "frequencies": shares}
+        text = json.dumps(state, default=str)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+        self.audit_rows.coalesce(1).write.mode("overwrite").json(f"{path}/audit")
+        for i, c in enumerate(shares):
+            self.categories.shares[c].write.mode("overwrite").parquet(f"{path}/frequency={i}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Preprocessor":
+        s = json.loads(spark.read.text(f"{path}/state").first()[0])
+        pairs = lambda d: {k: tuple(v) for k, v in d.items()}
+        shares = {c: spark.read.parquet(f"{path}/frequency={i}") for i, c in enumerate(s["frequencies"])}
+        audit = spark.read.schema(AUDIT_SCHEMA).json(f"{path}/audit")
+        return cls(NullPolicy(s["actions"], s["shares"], s["fills"]), Winsorizer(pairs(s["bounds"])), s["kinds"],
+                   CategoryEncoder(s["plan"], s["orders"], s["known"], shares), Standardizer(pairs(s["stats"])), audit)
+
     def apply(self, df: DataFrame) -> DataFrame:
         typed = recast(self.outliers.apply(self.nulls.apply(df)), self.kinds)
         return self.scale.apply(self.categories.apply(typed))

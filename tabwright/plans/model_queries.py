@@ -208,3 +208,19 @@ def u9(spark, sf):
     again = PipelineModel.load(path)
     return accept.max_score_difference(
         models.predict(model, df, DOC_FEATURES), models.predict(again, df, DOC_FEATURES), ["doc_id"])
+
+
+@query("d1_score_bundle")
+def d1_bundle(spark, sf):
+    from ..operators.drift import fit_snapshot
+    from ..operators.preprocess import Preprocessor
+    raw = cut_lineage(table(spark, sf, "cust_ft"), "customers")
+    recipe = sinks.Recipe(dates=["last_order"], interactions=[["trans_amt", "trans_ct", "divide"]], hours={"last_order": False}, dropped=["last_order"])
+    cleaner = Preprocessor.fit(recipe.apply(raw), "churned", keys=["c_custkey"])
+    ready = cut_lineage(cleaner.apply(recipe.apply(raw)), "cleaned")
+    names = [c for c, t in ready.dtypes if t in ("double", "int", "bigint") and c not in ("c_custkey", "churned")]
+    model = models.fit(ready, "logistic", names, "churned")
+    path = scratch_path(spark, "bundle")
+    sinks.save_bundle(sinks.Bundle(model, names, "v1", 0.5, 0.7, 0.4, fit_snapshot(ready, names), recipe, cleaner), path, spark)
+    scored = sinks.score(raw, sinks.load_bundle(spark, path))
+    return scored.select("c_custkey", "probability", "prediction", "risk_tier", F.col("top_reasons")[0]["feature"].alias("first_reason"), "model_version")

@@ -20,7 +20,7 @@ from ..operators.drift import fit_snapshot
 from ..operators.preprocess import Preprocessor
 from ..operators.splits import split
 from ..session import cut_lineage, scratch_path
-from ..sources.sinks import Bundle, save_bundle
+from ..sources.sinks import Bundle, Recipe, save_bundle
 
 
 class Blocked(RuntimeError):
@@ -74,7 +74,8 @@ def run(raw: DataFrame, s: Settings) -> Result:
         raise Blocked(f"{loss['rows_after']} of {loss['rows_before']} rows left after cleaning")
 
     # features, split, then cleaning fitted on the training rows alone
-    made = features.engineer(rows, s.domain, s.column_map, s.date_columns, s.interactions)
+    hours = features.varying_hours(rows, [d for d in s.date_columns if d in rows.columns])
+    made = features.engineer(rows, s.domain, s.column_map, s.date_columns, s.interactions, hours)
     dates = [c for c, t in made.dtypes if t.startswith(("timestamp", "date"))]
     parted = cut_lineage(split(made.drop(*dates), list(s.keys), s.target, seed=s.seed, exact=True), "split")
     fixed = [*s.keys, "split"]
@@ -152,7 +153,8 @@ def run(raw: DataFrame, s: Settings) -> Result:
         raise Blocked("an acceptance check failed")
 
     # deployment
-    bundle = Bundle(fitted[served], used, s.version, cut, 0.70, 0.40, fit_snapshot(train, used))
+    bundle = Bundle(fitted[served], used, s.version, cut, 0.70, 0.40, fit_snapshot(train, used),
+                    Recipe(s.domain, dict(s.column_map), list(s.date_columns), [list(i) for i in s.interactions], hours, dates), cleaner)
     path = scratch_path(spark, "bundle")
     save_bundle(bundle, path, spark)
     return Result(integrity, cleaner.audit_rows, prepared, chosen, algorithm, board, scores, test_metrics, sweep, threshold,

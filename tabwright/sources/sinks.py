@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalar import col
+from ..operators.features import engineer
+from ..operators.models import predict
+from ..operators.preprocess import Preprocessor
+from ..operators.scoring import score_table
 
 
 def save_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -29,9 +37,28 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+@dataclass(frozen=True)
+class Recipe:
+    """How features are made from raw rows: the arguments of `engineer`, and the columns that go afterwards."""
+
+    domain: str | None = None
+    column_map: Mapping = field(default_factory=dict)
+    dates: Sequence[str] = ()
+    interactions: Sequence[Sequence[str]] = ()
+    hours: Mapping[str, bool] = field(default_factory=dict)
+    dropped: Sequence[str] = ()
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        made = engineer(df, self.domain, self.column_map, self.dates, [tuple(i) for i in self.interactions], self.hours)
+        return made.drop(*self.dropped)
+
+
 @dataclass(frozen=True)
 class Bundle:
-    """All that scoring needs: model, features, version, decision threshold, tier limits, snapshot."""
+    """All that scoring needs: model, features, version, decision threshold, tier limits, snapshot.
+
+    With the recipe and the fitted cleaner it scores raw rows; without them, rows that are cleaned already.
+    """
 
     model: PipelineModel
     features: list[str]
@@ -40,14 +67,19 @@ class Bundle:
     high: float
     medium: float
     snapshot: DataFrame
+    recipe: Recipe | None = None
+    cleaner: Preprocessor | None = None
 
 
 def save_bundle(bundle: Bundle, path: str, spark: SparkSession) -> None:
     save_model(bundle.model, f"{path}/model")
-    row = (list(bundle.features), bundle.version, float(bundle.threshold), float(bundle.high), float(bundle.medium))
-    schema = "features array<string>, version string, threshold double, high double, medium double"
+    recipe = json.dumps(asdict(bundle.recipe)) if bundle.recipe else None
+    row = (list(bundle.features), bundle.version, float(bundle.threshold), float(bundle.high), float(bundle.medium), recipe, bundle.cleaner is not None)
+    schema = "features array<string>, version string, threshold double, high double, medium double, recipe string, cleaned boolean"
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     bundle.snapshot.coalesce(1).write.mode("overwrite").parquet(f"{path}/snapshot")
+    if bundle.cleaner is not None:
+        bundle.cleaner.save(spark, f"{path}/cleaner")
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
@@ -55,4 +87,27 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     return Bundle(
         model=PipelineModel.load(f"{path}/model"), features=list(about["features"]), version=about["version"],
         threshold=about["threshold"], high=about["high"], medium=about["medium"],
-        snapshot=spark.read.parquet(f"{path}/snapshot"))
+        snapshot=spark.read.parquet(f"{path}/snapshot"), recipe=Recipe(**json.loads(about["recipe"])) if about["recipe"] else None,
+        cleaner=Preprocessor.load(spark, f"{path}/cleaner") if about["cleaned"] else None)
+
+
+def reason_weights(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:
+    """Coefficients of a linear model, importances of a tree model."""
+    last = model.stages[-1]
+    values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
+    return {f: float(w) for f, w in zip(features, values.toArray())}
+
+
+def score(df: DataFrame, bundle: Bundle) -> DataFrame:
+    """Raw rows with probability, prediction, risk tier, reasons, model version and scoring time.
+
+    Features are made and cleaned as in the run that fitted the bundle; the columns of ``df`` come back as they were.
+    Reasons are the features with the largest weight times cleaned value.
+    """
+    rows = df.withColumn("_raw", F.struct(*[col(c) for c in df.columns]))
+    rows = bundle.recipe.apply(rows) if bundle.recipe else rows
+    rows = bundle.cleaner.apply(rows) if bundle.cleaner is not None else rows
+    # filled again here, as the reasons need the values that the model saw
+    scored = predict(bundle.model, rows.select("_raw", *[col(f) for f in bundle.features if f in rows.columns]), bundle.features)
+    made = score_table(scored, F.col("p"), reason_weights(bundle.model, bundle.features), bundle.threshold, bundle.version, bundle.high, bundle.medium)
+    return made.select("_raw.*", "probability", "prediction", "risk_tier", "top_reasons", "model_version", "scored_at")

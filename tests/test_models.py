@@ -4,6 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabwright.operators import attribution, choose, metrics, models
+from tabwright.operators.drift import fit_snapshot
 from tabwright.operators.splits import folds, split
 from tabwright.plans import workflow
 from tabwright.sources import sinks
@@ -56,8 +57,9 @@ def test_importance_ranks_noise_last(planted):
 
 
 @pytest.mark.parametrize("algorithm", ["boosted_trees", "random_forest"])
-def test_tree_contributions_add_up_to_the_raw_score(planted, algorithm):
+def test_tree_contributions_add_up_to_the_raw_score(planted, algorithm, monkeypatch):
     model = models.fit(planted, algorithm, FEATURES, "y", {"n_estimators": 6, "max_depth": 4})
+    monkeypatch.setattr(attribution.node_arrays, "__defaults__", (40,))  # a few trees at a time
     parts = attribution.tree_attribution(model, planted, FEATURES, ["id"])
     total = parts.select("id", (F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda s, v: s + v)).alias("total"))
     raw = vector_to_array("rawPrediction")[1] if algorithm == "boosted_trees" else vector_to_array("probability")[1]
@@ -139,6 +141,30 @@ def test_whole_run(spark, planted):
     again = sinks.load_bundle(spark, result.bundle_path)
     assert again.features == result.bundle.features and again.threshold == result.bundle.threshold
     assert again.snapshot.count() == len(again.features)
+    raw = planted.drop("split")
+    scored = sinks.score(raw, again)
+    assert scored.columns == [*raw.columns, "probability", "prediction", "risk_tier", "top_reasons", "model_version", "scored_at"]
+    own = result.scores.filter("model = 'Logistic'").select("id", F.round("p", 4).alias("p"))
+    assert scored.join(own, "id").filter("abs(probability - p) > 1e-9").count() == 0 and scored.count() == own.count()
+    assert scored.filter("size(top_reasons) = 0 or model_version <> 'v1'").count() == 0
+
+
+def test_a_bundle_makes_and_cleans_its_features(spark, tmp_path):
+    from tabwright.operators.preprocess import Preprocessor
+    rng = np.random.RandomState(9)
+    rows = [(i, float(v) if i % 9 else None, f"c{i % 40}", "yes" if i % 3 else "no", f"2024-0{1 + i % 9}-01", int(v > 0)) for i, v in enumerate(rng.normal(size=400))]
+    raw = spark.createDataFrame(rows, "id long, x double, city string, flag string, day string, y int").withColumn("day", F.to_date("day"))
+    recipe = sinks.Recipe(dates=["day"], interactions=[["x", "id", "multiply"]], hours={"day": False}, dropped=["day"])
+    cleaner = Preprocessor.fit(recipe.apply(raw), "y", keys=["id"])
+    ready = cleaner.apply(recipe.apply(raw))
+    names = [c for c, t in ready.dtypes if t in ("double", "int", "bigint") and c not in ("id", "y")]
+    for kind, params in (("logistic", {}), ("random_forest", {"n_estimators": 5, "max_depth": 3})):
+        model = models.fit(ready, kind, names, "y", params)
+        path = str(tmp_path / kind)
+        sinks.save_bundle(sinks.Bundle(model, names, "v2", 0.5, 0.7, 0.4, fit_snapshot(ready, names), recipe, cleaner), path, spark)
+        got = sinks.score(raw, sinks.load_bundle(spark, path)).select("id", "probability", "top_reasons")
+        own = models.predict(model, ready, names).select("id", F.round("p", 4).alias("p"))
+        assert got.join(own, "id").filter("probability = p and size(top_reasons) = 3").count() == 400
 
 
 def test_run_stops_when_cleaning_eats_the_rows(spark):
