@@ -319,16 +319,25 @@ def pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def correlations(df: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows (column_a, column_b, r): Pearson over rows where both are present."""
-    tables = []
-    for start in range(0, len(wanted), EXPRESSIONS_PER_PASS):
-        chunk = wanted[start:start + EXPRESSIONS_PER_PASS]
-        one = df.agg(*[F.corr(clean_double(a), clean_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        tables.append(to_rows(one, [
-            {"column_a": F.lit(a), "column_b": F.lit(b), "r": F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double"))}
-            for i, (a, b) in enumerate(chunk)
-        ]))
-    return reduce(DataFrame.unionByName, tables)
+    """Rows (column_a, column_b, r): Pearson over rows where both are present, from one scan.
+
+    Few pairs are aggregates side by side. More would not fit one aggregate, so each
+    row is taken once per first column and correlated with all second columns.
+    """
+    null = F.lit(None).cast("double")
+    if len(wanted) <= EXPRESSIONS_PER_PASS:
+        one = df.agg(*[F.corr(clean_double(a), clean_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(wanted)])
+        return to_rows(one, [{"column_a": F.lit(a), "column_b": F.lit(b), "r": F.nanvl(F.col(f"r{i}"), null)} for i, (a, b) in enumerate(wanted)])
+    first, second = list(dict.fromkeys(a for a, _ in wanted)), list(dict.fromkeys(b for _, b in wanted))
+    sides = F.explode(F.array(*[F.struct(F.lit(a).alias("column_a"), clean_double(a).alias("x")) for a in first])).alias("s")
+    rows = df.select(*[clean_double(b).alias(f"y{j}") for j, b in enumerate(second)], sides)
+    each = rows.groupBy("s.column_a").agg(*[F.corr(F.col("s.x"), F.col(f"y{j}")).alias(f"r{j}") for j in range(len(second))])
+    found = to_rows(each, [{"column_b": F.lit(b), "r": F.nanvl(F.col(f"r{j}"), null)} for j, b in enumerate(second)], keep=["column_a"])
+    partners: dict[str, list[str]] = {}
+    for a, b in wanted:
+        partners.setdefault(a, []).append(b)
+    pair_map = F.create_map(*[x for a, bs in partners.items() for x in (F.lit(a), F.array(*map(F.lit, bs)))])
+    return found.filter(F.array_contains(pair_map[F.col("column_a")], F.col("column_b"))).select("column_a", "column_b", "r")
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:

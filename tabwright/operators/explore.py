@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.scalar import as_flag, clean_double, col, is_missing, row_hash
-from .aggregates import corr_with_target, correlations, numeric_columns, pairs, quantiles, wide_agg
+from ..functions.scalar import as_flag, clean_double, col, is_missing, row_hash, skew_sample
+from ..session import cut_lineage
+from .aggregates import corr_with_target, correlations, numeric_columns, pairs, quantiles, to_rows, wide_agg
 from .features import recommend_features
-from .quality import class_balance, constant_columns, profile, skew_report
+from .quality import class_balance, profile
 
 KDE_CELLS = 1_024
 
@@ -153,18 +154,26 @@ def top_correlated(df: DataFrame, cols: Sequence[str], target: str, k: int = 12)
 def key_findings(df: DataFrame, cols: Sequence[str], target: str, top: int = 3) -> DataFrame:
     """Rows (section, item, value) from correlations, collinearity, balance, anomalies and suggestions."""
     cols = list(cols)
+    # three reads of the table: all correlations, the shape of each column, the classes
+    found = cut_lineage(correlations(df, pairs([*cols, target])), "correlations")
+    shape = cut_lineage(df.agg(*[skew_sample(c).alias(f"s{i}") for i, c in enumerate(cols)], *[
+        (F.min(col(c)).isNull() | (F.min(col(c)) == F.max(col(c)))).alias(f"c{i}") for i, c in enumerate(cols)]), "shape")
+    columns = to_rows(shape, [{"column": F.lit(c), "skew": F.col(f"s{i}"), "constant": F.col(f"c{i}")} for i, c in enumerate(cols)])
+    skews = columns.withColumn("extreme", F.abs("skew") > 3.0)
+    own = found.filter(F.col("column_b") == target).filter("r is not null").orderBy(F.desc(F.abs("r")), "column_a").limit(top)
+    close = found.filter((F.col("column_b") != target) & (F.abs("r") > 0.85))
 
     def rows(table: DataFrame, section: str, item: Column, value: Column) -> DataFrame:
         return table.select(F.lit(section).alias("section"), item.cast("string").alias("item"),
                             value.cast("double").alias("value"))
 
     parts = [
-        rows(top_correlated(df, cols, target, top), "top feature", F.col("column"), F.col("r")),
-        rows(collinear_pairs(df, cols), "collinear", F.concat_ws(" ~ ", "column_a", "column_b"), F.col("r")),
+        rows(own, "top feature", F.col("column_a"), F.col("r")),
+        rows(close, "collinear", F.concat_ws(" ~ ", "column_a", "column_b"), F.col("r")),
         rows(class_balance(df, target), "class share", F.col("class"), F.col("share")),
-        rows(constant_columns(df.select(*cols)), "constant", F.col("column"), F.lit(None)),
-        rows(skew_report(df, cols).filter("extreme"), "extreme skew", F.col("column"), F.col("skew")),
-        rows(recommend_features(df, cols, target), "suggestion", F.col("suggestion"), F.lit(None)),
+        rows(columns.filter("constant"), "constant", F.col("column"), F.lit(None)),
+        rows(skews.filter("extreme"), "extreme skew", F.col("column"), F.col("skew")),
+        rows(recommend_features(df, cols, target, found=found, skews=skews), "suggestion", F.col("suggestion"), F.lit(None)),
     ]
     out = parts[0]
     for p in parts[1:]:

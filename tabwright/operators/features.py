@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.scalar import clean_double, col
 from ..session import cut_lineage
-from .aggregates import corr_with_target, correlations, numeric_columns, pairs, quantile_values, wide_agg
+from .aggregates import correlations, numeric_columns, pairs, quantile_values, wide_agg
 from .joins import left_enrich
 from .quality import skew_report
 
@@ -179,17 +179,23 @@ DOMAIN_FEATURES = {
 
 
 def recommend_features(df: DataFrame, cols: Sequence[str], target: str, dates: Sequence[str] = (),
-                       log_limit: float = 3.0, collinear_limit: float = 0.85) -> DataFrame:
-    """Rows (kind, suggestion) from skew, collinearity, dates and the two strongest columns."""
+                       log_limit: float = 3.0, collinear_limit: float = 0.85, found: DataFrame | None = None,
+                       skews: DataFrame | None = None) -> DataFrame:
+    """Rows (kind, suggestion) from skew, collinearity, dates and the two strongest columns.
+
+    ``found`` has the correlations of all pairs and with the target, ``skews`` the skew report; what is not given is computed.
+    """
     spark = df.sparkSession
     cols = list(cols)
-    logs = skew_report(df, cols, limit=log_limit).filter("extreme").select(
+    found = found if found is not None else cut_lineage(correlations(df, pairs([*cols, target])), "correlations")
+    skews = skews if skews is not None else skew_report(df, cols, limit=log_limit)
+    logs = skews.filter("extreme").select(
         F.lit("log").alias("kind"), F.format_string("log1p(%s)", "column").alias("suggestion"))
-    ratio = correlations(df, pairs(cols)).filter(F.abs("r") > collinear_limit).orderBy(
+    ratio = found.filter(F.col("column_b") != target).filter(F.abs("r") > collinear_limit).orderBy(
         F.desc(F.abs("r")), "column_a", "column_b").limit(1).select(
         F.lit("ratio").alias("kind"), F.format_string("%s / %s", "column_a", "column_b").alias("suggestion"))
     parts = spark.createDataFrame([("date parts", d) for d in dates], "kind string, suggestion string")
-    top = corr_with_target(df, cols, target).filter("abs_r is not null").orderBy(
+    top = found.filter(F.col("column_b") == target).select(F.col("column_a").alias("column"), F.abs("r").alias("abs_r")).filter("abs_r is not null").orderBy(
         F.desc("abs_r"), "column").limit(2)
     product = top.agg(F.max_by("column", "abs_r").alias("a"), F.min_by("column", "abs_r").alias("b")).filter(
         "a <> b").select(F.lit("product").alias("kind"), F.format_string("%s x %s", "a", "b").alias("suggestion"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import as_flag, clean_double, col, is_missing, skew_sample
+from ..session import cut_lineage
 from .aggregates import numeric_columns, string_columns, to_rows
 
 # fixed values: name and value patterns that define the column roles
@@ -109,7 +110,10 @@ def _verdict(one: DataFrame, check: str, hits: Sequence[tuple[str, Column, Colum
 
 
 def integrity_report(df: DataFrame, sparse_limit: float = 0.5) -> DataFrame:
-    """Five check rows and an overall row, from one scan for counts and one for distinct keys."""
+    """Five check rows and an overall row, from one scan for counts and one for distinct keys.
+
+    The two result rows are written, as every check reads them.
+    """
     keys, texts = id_columns(df), string_columns(df)
     schema = list(df.schema)
     scan = df.agg(
@@ -117,6 +121,7 @@ def integrity_report(df: DataFrame, sparse_limit: float = 0.5) -> DataFrame:
         *[F.count(F.when(is_missing(f.name, f.dataType), 1)).alias(f"m{i}") for i, f in enumerate(schema)],
         *[F.count(F.when(col(c).rlike(ARTEFACT), 1)).alias(f"s{i}") for i, c in enumerate(texts)],
     )
+    scan = cut_lineage(scan, "counts")
     rows = F.col("rows")
     none = F.lit("")
     nonempty = scan.select(
@@ -136,6 +141,7 @@ def integrity_report(df: DataFrame, sparse_limit: float = 0.5) -> DataFrame:
         wide = df.agg(F.count(F.lit(1)).alias("rows"), *[
             (F.count_distinct(col(k)) + F.max(as_flag(col(k).isNull()))).alias(f"d{i}") for i, k in enumerate(keys)
         ])
+        wide = cut_lineage(wide, "keys")
         repeats = [rows - F.coalesce(F.col(f"d{i}"), F.lit(0)) for i in range(len(keys))]
         duplicates = _verdict(wide, "Duplicate Key Candidates", [
             (k, r > 0, F.format_string(": %d duplicates", r)) for k, r in zip(keys, repeats)

@@ -214,3 +214,21 @@ def test_json_path_asks_the_type(spark):
     df = spark.createDataFrame([(1, '{"a": "[not a list"}'), (2, '{"a": [1, "x"]}'), (3, '{"a": {"b": 1}}'), (4, '{"b": 1}'), (5, "no json")], "id int, j string")
     got = sorted((r["id"], r["record"]) for r in json_path_rows(df, "j", "a").collect())
     assert got == [(1, "[not a list"), (2, "1"), (2, "x"), (3, '{"b":1}')]
+
+
+def test_many_correlations_take_one_scan(spark):
+    rng = np.random.RandomState(4)
+    x = rng.normal(size=(200, 20))
+    x[:, 5] = x[:, 4] + 0.1 * x[:, 6]
+    names = [f"c{i}" for i in range(20)]
+    rows = [[None if (i + j) % 17 == 0 else float(v) for j, v in enumerate(r)] for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    found = agg.correlations(df, agg.pairs(names))
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in found.collect()}
+    assert set(got) == set(agg.pairs(names))
+    few = {(r["column_a"], r["column_b"]): r["r"] for r in agg.correlations(df, [("c4", "c5"), ("c0", "c19")]).collect()}
+    for (a, b), r in got.items():
+        both = [(u, v) for u, v in ((row[int(a[1:])], row[int(b[1:])]) for row in rows) if u is not None and v is not None]
+        assert r == pytest.approx(np.corrcoef(np.array(both).T)[0, 1], abs=1e-9)
+        assert (a, b) not in few or few[(a, b)] == pytest.approx(r, abs=1e-12)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
