@@ -30,8 +30,10 @@ from tabwright.llm.packing import END, id_type
 from tabwright.session import scratch_path
 
 LENGTH = 2048
-#: sequences in a shard, with 2-byte ids 16.9 MB
-PER_SHARD = 4_096
+#: sequences in a shard, with 2-byte ids 8.5 MB
+PER_SHARD = 2_048
+#: texts, and characters of each, that tell which ids are common
+SAMPLE, EXCERPT = 300, 2_000
 ROUNDS = 6
 #: sequence number, first document (NO_DOC for null), its first token here, tokens, CRC-32 of the ids as 32-bit integers
 HEADER = "<qqqII"
@@ -95,17 +97,39 @@ def number_of(slot: np.ndarray, count: int, key: int, rounds: int = ROUNDS) -> n
     return out.astype(np.int64)
 
 
-def sequences(df: DataFrame, path: str, length: int = LENGTH, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def common_first(df: DataFrame, path: str, text: str = "text") -> np.ndarray:
+    """All ids, those common in a few texts first. Only how small ids get on the way depends on it."""
+    texts = df.select(F.substring(F.col(text).cast("string"), 1, EXCERPT)).limit(SAMPLE).collect()
+    bpe = load(path)
+    met = np.bincount(np.frombuffer(b"".join(bpe.encode_batch([r[0] for r in texts])), "<u4"), minlength=bpe.size)
+    return np.argsort(-met, kind="stable").astype(id_type(bpe.size))
+
+
+def squeezed(places: np.ndarray) -> bytes:
+    """Places in the order of `common_first`, compressed: all low bytes, then all higher ones, which are mostly zero."""
+    return pa.compress(places.view("u1").reshape(-1, places.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def restored(packed: bytes, n: int, ids: np.ndarray) -> np.ndarray:
+    """The ids of `squeezed` places, given the order."""
+    width = ids.itemsize
+    flat = np.frombuffer(pa.decompress(packed, n * width, "zstd", asbytes=True), "u1")
+    return ids[np.ascontiguousarray(flat.reshape(width, n).T).view(ids.dtype).ravel()]
+
+
+def sequences(df: DataFrame, path: str, order: np.ndarray, length: int = LENGTH, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A written table of sequences: the task that made it (part), its place there, first document and token, number of ids, and the ids.
 
     The ids are compressed one sequence at a time, and so stay small in the table and in the shuffle after it.
     """
+    place_of = np.empty_like(order)
+    place_of[order] = np.arange(len(order))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, place = load(path), TaskContext.get().partitionId(), 0
         kind, tail = id_type(bpe.size), np.array([end], "<u4").tobytes()
-        width, squeeze = np.dtype(kind).itemsize * length, lambda raw: pa.compress(raw, "zstd", asbytes=True)
+        width = np.dtype(kind).itemsize * length
         held, begins, base = bytearray(), [], 0  # ids not yet given out, and (document, place of its first id in the stream)
 
         def cut(all_of_it):
@@ -115,7 +139,7 @@ def sequences(df: DataFrame, path: str, length: int = LENGTH, end: int = END, do
                 first = base + at
                 while k + 1 < len(begins) and begins[k + 1][1] <= first:
                     k += 1
-                out.append((part, place, begins[k][0], (first - begins[k][1]) // np.dtype(kind).itemsize, len(held[at:at + width]) // np.dtype(kind).itemsize, squeeze(bytes(held[at:at + width]))))
+                out.append((part, place, begins[k][0], (first - begins[k][1]) // np.dtype(kind).itemsize, len(held[at:at + width]) // np.dtype(kind).itemsize, squeezed(place_of[np.frombuffer(bytes(held[at:at + width]), kind)])))
                 at, place = min(at + width, len(held)), place + 1
             del held[:at]
             base += at
@@ -144,7 +168,8 @@ def write_in_order(df: DataFrame, path: str, tokenizer: str, key: int = 1, lengt
     columns are not read.
     """
     spark = df.sparkSession
-    made = sequences(df, tokenizer, length, doc_id=doc_id, text=text)
+    ids = common_first(df, tokenizer, text)
+    made = sequences(df, tokenizer, ids, length, doc_id=doc_id, text=text)
     parts = made.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task of the scan, which bounds the broadcast
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -156,13 +181,12 @@ def write_in_order(df: DataFrame, path: str, tokenizer: str, key: int = 1, lengt
         return pd.Series(slot_of(number.to_numpy(), order.sequences, key))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.dtype(order.ids).itemsize
         for b in slices(batches, ROWS):
             records = []
-            for number, doc, start, n, ids in zip(*[c.to_pylist() for c in b.columns[2:]]):
-                raw = pa.decompress(ids, n * width, "zstd", asbytes=True)
-                head = struct.pack(HEADER, number, NO_DOC if doc is None else doc, start, n, zlib.crc32(np.frombuffer(raw, order.ids).astype("<u4").tobytes()))
-                records.append((head + raw).ljust(order.stride - 1, b"\0"))
+            for number, doc, start, n, packed in zip(*[c.to_pylist() for c in b.columns[2:]]):
+                own = restored(packed, n, ids)
+                head = struct.pack(HEADER, number, NO_DOC if doc is None else doc, start, n, zlib.crc32(own.astype("<u4").tobytes()))
+                records.append((head + own.tobytes()).ljust(order.stride - 1, b"\0"))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(records, pa.binary())], ["shard", "slot", "record"])
 
     if order.sequences:
