@@ -146,7 +146,3 @@ def max_score_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], p: str
         F.count(F.when(F.col("_a").isNull() | F.col("_b").isNull(), 1)).alias("unmatched"))
     ok = (F.col("unmatched") == 0) & (F.col("max_difference") < limit)
     return one.withColumn("verdict", F.when(ok, "PASS").otherwise("FAIL"))
-
-
-def peaks(df: DataFrame, cols: Sequence[str]) -> dict:
-    return wide_agg(df, {c: F.max(clean_double(c)) for c in cols})

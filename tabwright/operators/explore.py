@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.scalar import as_flag, clean_double, col, is_missing, row_hash, skew_sample
+from ..functions.scalar import as_flag, clean_double, col, is_missing, skew_sample
 from ..session import cut_lineage
 from .aggregates import corr_with_target, correlations, numeric_columns, pairs, quantiles, to_rows, wide_agg
 from .features import recommend_features
 from .quality import class_balance, profile
+from .splits import key_hash
 
 KDE_CELLS = 1_024
 
@@ -117,15 +118,15 @@ def missing_map(df: DataFrame, limit: float = 0.5) -> DataFrame:
     return shares.select("column", "null_share", rank.alias("rank"), (F.col("null_share") > limit).alias("over_limit"))
 
 
-def missing_sample(df: DataFrame, keys: Sequence[str], n: int = 500, seed: int = 42) -> DataFrame:
+def missing_sample(df: DataFrame, keys: Sequence[str], n: int = 500, seed: int = 42, portable: bool = False) -> DataFrame:
     """0/1 missing flags of n hash-chosen rows."""
     flags = [is_missing(f.name, f.dataType).cast("int").alias(f.name) for f in df.schema if f.name not in keys]
-    return hash_sample(df, keys, n, seed).select(*[col(k) for k in keys], *flags)
+    return hash_sample(df, keys, n, seed, portable).select(*[col(k) for k in keys], *flags)
 
 
-def hash_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+def hash_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42, portable: bool = False) -> DataFrame:
     """The n rows with the smallest key hash: a top-n, so nothing is fully sorted."""
-    return df.withColumn("_h", row_hash(keys, seed)).orderBy("_h", *[col(k) for k in keys]).limit(n).drop("_h")
+    return df.withColumn("_h", key_hash(keys, seed, portable)).orderBy("_h", *[col(k) for k in keys]).limit(n).drop("_h")
 
 
 def pairplot_sample(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[str], n: int = 5_000) -> DataFrame:

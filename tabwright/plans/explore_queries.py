@@ -161,9 +161,11 @@ def e4(spark, sf):
     return rounded(explore.missing_map(table(spark, sf, "null_orders")), 6, "null_share")
 
 
-@query("e4_missing_sample")
+@query("e4_missing_sample", with_tables("""
+    select o_orderkey, """ + ", ".join(f"cast({c} is null as int) as {c}" for c in ("o_custkey", "price_trace", "price_low", "status_mid", "price_high", "priority_drop")) + """
+    from {null_orders} order by ((o_orderkey % 2147483648 + 42) * 2654435761) % 4294967296, o_orderkey limit 500"""))
 def e4_sample(spark, sf):
-    return explore.missing_sample(table(spark, sf, "null_orders"), ["o_orderkey"])
+    return explore.missing_sample(table(spark, sf, "null_orders"), ["o_orderkey"], portable=True)
 
 
 @query("e5_corr_pairs", with_tables(f"select column_a, column_b, round(r, 6) as r, round(abs(r), 6) as abs_r, abs(r) > 0.85 as severe from ({CORR})"))

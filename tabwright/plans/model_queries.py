@@ -199,7 +199,8 @@ def u3(spark, sf):
     return scored.select("case", "p", accept.edge_verdict("p").alias("verdict"))
 
 
-@query("u9_reload_parity")
+@query("u9_reload_parity", with_tables("""
+    select count(*) as rows, cast(0 as double) as max_difference, cast(0 as bigint) as unmatched, 'PASS' as verdict from {doc_ft}"""))
 def u9(spark, sf):
     df = docs(spark, sf)
     model = models.fit(df.filter("split = 'train'"), "logistic", DOC_FEATURES, "toxic")

@@ -77,25 +77,38 @@ def q6(spark, sf):
     return quality.check_encoding(table(spark, sf, "documents"))
 
 
-@query("q7_integrity_report", with_tables("""
-    select 'Zero Rows' as "check", true as passed, count(*) || ' rows found' as detail from {null_orders}
-    union all select '>50% Empty Columns', false, 'WARNING: priority_drop'
-    union all select 'Unparsed Date Columns', true, 'No unparsed date columns'
-    union all select 'Duplicate Key Candidates', true, 'No duplicate keys found'
-    union all select 'Encoding Issues', true, 'No encoding artifacts detected'
-    union all select 'Overall', false, 'ISSUES DETECTED'"""))
+NULL_ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "price_trace", "price_low", "status_mid", "price_high", "priority_drop"]
+EVENTS_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+def integrity_sql(source: str, columns: list[str], texts: list[str], keys: list[str]) -> str:
+    """Every check computed from the table: one row of counts, notes where a count is too high, and the overall row."""
+    listed = lambda parts: "list_filter([" + ", ".join(parts or ["null::varchar"]) + "], lambda x : x is not null)"
+    sparse = listed([f"case when n_{c} > 0.5e0 * n then '{c}' end" for c in columns])
+    dates = listed([f"'{c}'" for c in texts if "date" in c or "time" in c])
+    twice = listed([f"case when n - d_{k} > 0 then '{k}: ' || (n - d_{k}) || ' duplicates' end" for k in keys])
+    broken = listed([f"case when s_{c} > 0 then '{c}: ' || s_{c} || ' suspect values' end" for c in texts])
+    counts = ", ".join([f"count(*) filter (where {c} is null) as n_{c}" for c in columns] + [f"count(distinct {k}) + max(case when {k} is null then 1 else 0 end) as d_{k}" for k in keys]
+                       + [f"count(*) filter (where {SUSPECT.format(c=c)}) as s_{c}" for c in texts])
+    check = lambda name, notes, ok: f"""
+        select '{name}' as "check", len({notes}) = 0 as passed,
+               case when len({notes}) = 0 then '{ok}' else 'WARNING: ' || array_to_string({notes}, ', ') end as detail from c"""
+    return f"""
+        with c as (select count(*) as n, {counts} from {source}),
+        checks as (select 'Zero Rows' as "check", n > 0 as passed, case when n > 0 then n || ' rows found' else 'FATAL: DataFrame is empty' end as detail from c
+        union all {check('>50% Empty Columns', sparse, 'No columns >50% null')} union all {check('Unparsed Date Columns', dates, 'No unparsed date columns')}
+        union all {check('Duplicate Key Candidates', twice, 'No duplicate keys found')} union all {check('Encoding Issues', broken, 'No encoding artifacts detected')})
+        select * from checks union all
+        select 'Overall', bool_and(passed), case when bool_and(passed) then 'ALL CHECKS PASSED' else 'ISSUES DETECTED' end from checks"""
+
+
+@query("q7_integrity_report", with_tables(
+    integrity_sql("{null_orders}", NULL_ORDERS_COLUMNS, ["status_mid", "priority_drop"], []).replace("{00C0}", "{{00C0}}").replace("{024F}", "{{024F}}")))
 def q7(spark, sf):
     return quality.integrity_report(table(spark, sf, "null_orders"))
 
 
-@query("q7_integrity_events", """
-    select 'Zero Rows' as "check", true as passed, count(*) || ' rows found' as detail from events
-    union all select '>50% Empty Columns', true, 'No columns >50% null'
-    union all select 'Unparsed Date Columns', true, 'No unparsed date columns'
-    union all select 'Duplicate Key Candidates', false,
-        'WARNING: user_id: ' || (count(*) - count(distinct user_id)) || ' duplicates' from events
-    union all select 'Encoding Issues', true, 'No encoding artifacts detected'
-    union all select 'Overall', false, 'ISSUES DETECTED'""")
+@query("q7_integrity_events", integrity_sql("events", EVENTS_COLUMNS, ["event_type", "props"], ["event_id", "user_id"]))
 def q7_events(spark, sf):
     return quality.integrity_report(table(spark, sf, "events"))
 
@@ -267,9 +280,23 @@ def t11(spark, sf):
     return out.withColumn("us", F.unix_micros("event_time_s")).drop("event_time_s")
 
 
-@query("t11_type_audit", with_tables("""
-    select "column", reason from (select count(*) as n from {str_events}), (values ('num_s', 'string to bigint'), ('value_s', 'string to double'),
-      ('event_time_s', 'string to timestamp'), ('flag_s', 'string to boolean')) v("column", reason) where n > 0"""))
+NUMBER = "'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
+KIND = f"""case when count({{c}}) = 0 then null
+    when bool_and(lower(trim({{c}})) in ('yes', 'true', '1', 'y', 't', 'no', 'false', '0', 'n', 'f')) then 'boolean'
+    when {{dated}} and bool_and(try_cast(trim({{c}}) as timestamp) is not null) then 'timestamp'
+    when bool_and(regexp_matches(trim({{c}}), {NUMBER})) then case when bool_and(cast(trim({{c}}) as double) = floor(cast(trim({{c}}) as double))) then 'bigint' else 'double' end end"""
+
+
+def kind_sql(c: str) -> str:
+    # numbers are looked at where all are numbers, as text must not be cast
+    safe = KIND.replace("cast(trim({c}) as double)", "try_cast(trim({c}) as double)")
+    return safe.format(c=c, dated="true" if "time" in c else "false")
+
+
+@query("t11_type_audit", with_tables(
+    "with kinds as (" + " union all ".join(f"select '{c}' as \"column\", {kind_sql(c)} as kind from {{str_events}}"
+                                          for c in ("num_s", "value_s", "event_time_s", "flag_s", "mixed_s", "event_type"))
+    + ") select \"column\", 'string to ' || kind as reason from kinds where kind is not null"))
 def t11_audit(spark, sf):
     return clean.correct_types(table(spark, sf, "str_events"))[1].select("column", "reason")
 
