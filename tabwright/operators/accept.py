@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_double, col
-from .aggregates import quantile_values, share, to_rows, wide_agg
+from .aggregates import quantile_values, share, to_rows
 from .metrics import multiclass_metrics, roc_auc
 
 # fixed values: verdicts from worst to best

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..operators import accept, attribution, choose, metrics, models, selection
+from ..operators import accept, attribution, choose, cluster, metrics, models, selection, semi
 from ..operators.splits import split
 from ..session import cut_lineage, scratch_path
 from ..sources import sinks
@@ -225,3 +225,35 @@ def d1_bundle(spark, sf):
     sinks.save_bundle(sinks.Bundle(model, names, "v1", 0.5, 0.7, 0.4, fit_snapshot(ready, names), recipe, cleaner), path, spark)
     scored = sinks.score(raw, sinks.load_bundle(spark, path))
     return scored.select("c_custkey", "probability", "prediction", "risk_tier", F.col("top_reasons")[0]["feature"].alias("first_reason"), "model_version")
+
+
+# segments and few labels ----------------------------------------------------
+
+EMBEDDING_FEATURES = ["e0", "e1", "e2", "e3"]
+
+
+@query("x6_cluster_profile", " union all ".join(
+    f"""select label as segment, 'e{i}' as feature, count(*) as n, round(avg(embedding[{i + 1}]), 6) as mean, round(any_value(m), 6) as global_mean,
+        round(avg(embedding[{i + 1}]) - any_value(m), 6) as difference from embeddings, (select avg(embedding[{i + 1}]) as m from embeddings) group by label"""
+    for i in range(4)))
+def x6(spark, sf):
+    found = cluster.cluster_profile(vectors(spark, sf), "label", EMBEDDING_FEATURES)
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "global_mean", "difference")})
+
+
+@query("x7_segments")
+def x7(spark, sf):
+    df = table(spark, sf, "lineitem").select(*LINE_KEY, *LINE_FEATURES)
+    return cluster.append_segment(df, cluster.fit_segments(df, LINE_FEATURES, 4), LINE_FEATURES)
+
+
+@query("x12_most_uncertain", with_tables("""
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, p from {scored} order by abs(p - 0.5e0), l_orderkey, l_linenumber, l_partkey, l_suppkey limit 200"""))
+def x12(spark, sf):
+    return semi.most_uncertain(table(spark, sf, "scored"), "p", LINE_KEY, 200).select(*LINE_KEY, "p")
+
+
+@query("x13_blending")
+def x13(spark, sf):
+    df = docs(spark, sf)
+    return semi.blend(df, BASES, DOC_FEATURES, "toxic").transform(df).select("doc_id", "toxic", "split", "linear", "forest", "p")

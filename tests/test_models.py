@@ -200,3 +200,31 @@ def test_every_kind_of_problem_is_validated_and_searched(spark, planted):
     assert trials.filter("value < 0").count() == 2
     assert models.learning_curve(planted, "ridge", ["b", "c"], "a", "id", steps=2, k=2).filter("val_mean > 0").count() == 2
     assert all(a in models.SEARCH_SPACES for a in models.CLASSIFIERS | {"ridge", "huber", "random_forest_regressor", "boosted_regressor"})
+
+
+def test_segments_and_their_profile(spark):
+    from tabwright.operators import cluster
+    rng = np.random.RandomState(3)
+    rows = [(i, float(c * 10 + e), None if i % 50 == 0 else float(-c * 10 + e)) for i, (c, e) in enumerate(zip(rng.randint(0, 3, 300), rng.normal(0, 0.3, 300)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    costs = {r["k"]: (r["cost"], r["silhouette"]) for r in cluster.elbow(df.dropna(), ["a", "b"], [2, 3, 4]).collect()}
+    assert costs[2][0] > costs[3][0] and max(costs, key=lambda k: costs[k][1]) == 3
+    out = cluster.append_segment(df, cluster.fit_segments(df, ["a", "b"], 3), ["a", "b"])
+    assert out.columns == ["id", "a", "b", "segment"] and out.filter("b is null").count() == 6
+    profile = cluster.cluster_profile(out, "segment", ["a"]).collect()
+    assert sum(r["n"] for r in profile) == 300
+    assert sum(r["n"] * r["difference"] for r in profile) == pytest.approx(0, abs=1e-6)
+    parts = cluster.principal_components(df.dropna(), ["a", "b"]).collect()
+    assert parts[0]["explained"] > 0.9 and len(parts[0]["loadings"]) == 2
+
+
+def test_few_labels(planted):
+    from tabwright.operators import semi
+    few, rest = planted.filter("id < 150"), planted.filter("id >= 150")
+    model, known = semi.self_train(few, rest, "logistic", FEATURES, "y", confidence=0.9, rounds=2)
+    assert known.filter("round > 0").count() > 0 and known.filter("round = 0").count() == few.count()
+    assert auc(models.predict(model, rest, FEATURES)) > 0.85
+    blended = semi.blend(planted, {"linear": ("logistic", {}), "forest": ("random_forest", {"n_estimators": 5, "max_depth": 3})}, FEATURES, "y")
+    assert auc(blended.transform(planted.filter("split = 'test'"))) > 0.85
+    nearest = semi.most_uncertain(models.predict(model, rest, FEATURES), "p", ["id"], 10).collect()
+    assert len(nearest) == 10 and max(abs(r["p"] - 0.5) for r in nearest) < 0.2
