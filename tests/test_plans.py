@@ -28,8 +28,24 @@ def test_profile_is_one_aggregate(spark, sf):
     assert plan(quality.profile(table(spark, sf, "null_orders"))).count("FileScan") == 1
 
 
-def test_ranked_metrics_share_one_scan(spark, sf):
-    assert plan(metrics.ranking_metrics(table(spark, sf, "scored"))).count("FileScan") == 1
+def test_ranked_metrics_read_the_table_once(spark, sf):
+    # the table is read to write one row per distinct score; the plan reads those rows, for the totals and for the scan
+    text = plan(metrics.ranking_metrics(table(spark, sf, "scored")))
+    assert "lineitem" not in text and text.count("FileScan") == 2
+
+
+def test_texts_are_lowered_once(spark, sf):
+    from tabwright.functions.text import classify_goal, infer_domain
+    for rule in (classify_goal, infer_domain):
+        text = table(spark, sf, "documents").select("doc_id", rule("text").alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("lower(text") == 1
+
+
+def test_findings_read_the_table_for_classes_only(spark, sf):
+    # correlations and column shapes are written first, in one read each
+    from tabwright.operators import explore
+    found = explore.key_findings(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_quantity", "l_tax", "l_discount"], "l_linenumber")
+    assert plan(found).count("lineitem.parquet") <= 2
 
 
 def test_grouped_counts_combine_before_the_shuffle(spark, sf):
