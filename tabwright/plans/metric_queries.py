@@ -217,7 +217,7 @@ def me15_summary(spark, sf):
     return rounded(found.withColumn("trend_slope", F.col("trend_slope") * 1000), 6, "skew", "trend_slope")
 
 
-QQ = [(i + 0.5) / 50 for i in range(50)]
+QQ = [(i + 0.5) / 200 for i in range(200)]
 
 
 @query("me16_qq_points", with_tables(f"""
@@ -225,7 +225,7 @@ QQ = [(i + 0.5) / 50 for i in range(50)]
            round(unnest((select quantile_cont(y - pred, {QQ}) from {{line_pred}})), 4) as sample"""))
 def me16(spark, sf):
     df = table(spark, sf, "line_pred").withColumn("residual", F.col("y") - F.col("pred"))
-    return rounded(rounded(metrics.qq_points(df, "residual", 50), 6, "prob", "theoretical"), 4, "sample")
+    return rounded(rounded(metrics.qq_points(df, "residual"), 6, "prob", "theoretical"), 4, "sample")
 
 
 # attribution on a fixed linear model -----------------------------------------
