@@ -169,11 +169,12 @@ def quantiles(
 
     def table(fn):  # of ``df`` as it is when called
         one = df.groupBy(*by).agg(*[fn(values[c]).alias(f"q{i}") for i, c in enumerate(cols)])
-        records = [
-            {"column": F.lit(c), "prob": F.lit(p), "value": F.col(f"q{i}")[j]}
-            for i, c in enumerate(cols) for j, p in enumerate(probs)
-        ]
-        return to_rows(one, records, keep=by)
+        missing = F.lit([None] * len(probs)).cast("array<double>")  # a column without values has no array
+        each = F.array(*[F.struct(F.lit(c).alias("column"), F.arrays_zip(F.lit(probs).alias("prob"), F.coalesce(f"q{i}", missing).alias("value")).alias("all"))
+                         for i, c in enumerate(cols)])
+        keys = [col(b) for b in by]
+        columns = one.select(*keys, F.explode(each).alias("c"))
+        return columns.select(*keys, "c.column", F.explode("c.all").alias("r")).select(*keys, "column", "r.prob", "r.value")
 
     if not exact:
         return table(lambda x: F.percentile_approx(x, probs, accuracy))

@@ -222,10 +222,10 @@ QQ = [(i + 0.5) / 200 for i in range(200)]
 
 @query("me16_qq_points", with_tables(f"""
     select round(unnest({QQ}), 6) as prob, round(unnest({[NormalDist().inv_cdf(p) for p in QQ]}), 6) as theoretical,
-           round(unnest((select quantile_cont(y - pred, {QQ}) from {{line_pred}})), 4) as sample"""))
+           round(unnest((select quantile_cont(y - pred, {QQ}) from {{line_pred}})), 6) as sample"""))
 def me16(spark, sf):
     df = table(spark, sf, "line_pred").withColumn("residual", F.col("y") - F.col("pred"))
-    return rounded(rounded(metrics.qq_points(df, "residual"), 6, "prob", "theoretical"), 4, "sample")
+    return rounded(rounded(metrics.qq_points(df, "residual"), 6, "prob", "theoretical"), 6, "sample")
 
 
 # attribution on a fixed linear model -----------------------------------------
