@@ -29,7 +29,7 @@ from tabwright.llm.common import slices
 #: longest word in bytes whose ranks are scanned
 SHORT = 64
 #: pieces that a Python worker keeps encoded in each of two generations
-CACHED = 250_000
+CACHED = 300_000
 #: rows encoded together
 ROWS = 1_000
 
