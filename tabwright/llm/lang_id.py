@@ -22,8 +22,6 @@ from tabwright.llm.quality_trees import held_out
 
 #: of each language: labelled rows learned from, and characters of each
 ROWS, EXCERPT = 200, 150
-#: a language is learned if it labels at least this share of the rows, so there are 10,000 at most
-LEAST_SHARE = 1e-4
 #: characters of a text that are parsed in one go; a phrase ends where a segment does
 SEGMENT = 512
 UNKNOWN = "und"
@@ -151,14 +149,14 @@ def built(sample: tuple) -> Languages:
 
 
 def learn_languages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, excerpt: int = EXCERPT) -> tuple:
-    """Per language, excerpts of the ``rows`` labelled texts with the smallest hashes of their ids, of those whose remainder by 3 is not 1."""
+    """Per language, excerpts of the ``rows`` labelled texts with the smallest hashes of their ids, of those whose remainder by 3 is not 1.
+
+    Every language with such a text is learned, however rare, so the sample is bounded for each language.
+    """
     known = (df.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.substring(F.col(text).cast("string"), 1, excerpt).alias("text"))
              .where("id is not null and lang is not null and text is not null").where(held_out("id", 3) != 1))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    total = known.count()
-    names = [r.lang for r in sizes.where(F.col("n") >= max(1, total * LEAST_SHARE)).collect()]  # 1 / LEAST_SHARE at most
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    picked = known.where(F.col("lang").isin(names)).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
+    picked = known.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
     sample: dict[str, list[str]] = {}
     for r in picked.select("lang", "text").orderBy("lang", "rank").collect():
         sample.setdefault(r.lang, []).append(r.text)

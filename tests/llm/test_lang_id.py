@@ -74,3 +74,10 @@ def test_null_empty_and_clashing(spark):
     assert keep_known(df, sample).count() == 3 and keep_known(df, sample).columns == df.columns
     assert predict_language(df.limit(0), sample).count() == 0
     assert learn_languages(df.limit(0)) == () and predict_language(df, ()).where("lang_pred = 'und'").count() == 6
+
+
+def test_rare_languages_are_learned(spark):
+    rare = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == rare, "der die das").otherwise("the of and").alias("text"),
+                                    F.when(F.col("id") == rare, "de").otherwise("en").alias("lang"))
+    assert [name for name, _ in learn_languages(df)] == ["de", "en"]
