@@ -3,7 +3,8 @@
 A suffix automaton of a language's training text accepts exactly its substrings. A text is parsed from left to right into
 phrases, each the longest match with that text; where no match goes on, the next phrase begins. The count of phrases,
 times the bits of one phrase's place in the training text, per character, estimates the cross entropy, and the smallest
-wins. The automata are dense transition tables, and a batch's texts are cut into segments that are parsed side by side.
+wins. The automata's transitions lie in one array, the gaps of a state's row filled by other states, and a batch's texts
+are cut into segments that are parsed side by side.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import slices
 from tabwright.llm.quality_trees import held_out
 
-#: of each language: labelled rows learned from, and characters of each
-ROWS, EXCERPT = 200, 150
+#: of each language: distinct labelled texts learned from, and characters of each; a longer text gives stretches from all over it
+ROWS, EXCERPT = 200, 512
+#: stretches of a text longer than an excerpt: one at a hash-chosen place in each of as many equal parts
+STRETCHES = 4
 #: characters of a text that are parsed in one go; a phrase ends where a segment does
 SEGMENT = 512
 UNKNOWN = "und"
@@ -42,11 +45,56 @@ def points(text: str) -> np.ndarray:
     return p[(p != 0) | np.concatenate([[True], p[:-1] != 0])] if len(p) else p
 
 
-def automaton(texts: list[np.ndarray], alphabet: int) -> np.ndarray:
-    """Flat transitions of the suffix automaton of several texts of codes: [state * alphabet + code].
+class Transitions:
+    """Transitions of an automaton, each state's row shifted to where all its codes fall into gaps.
 
-    A missing transition holds ~s, where s is the state after the code alone, from which the next phrase goes on.
+    Indexed by state * alphabet + code. A missing transition gives ~s, where s is the state after the code alone, from
+    which the next phrase goes on.
     """
+
+    def __init__(self, step: list[dict[int, int]], alphabet: int):
+        self.alphabet, self.shift = alphabet, np.zeros(len(step), np.int64)
+        self.alone = np.zeros(alphabet, np.int32)
+        self.alone[list(step[0].keys())] = list(step[0].values())
+        self.alone = ~self.alone
+        slots = 2 * sum(map(len, step)) + alphabet
+        owner, target = [-1] * slots, [0] * slots
+        gap = 0  # no gap lies before it
+        for state in sorted(range(len(step)), key=lambda s: -len(step[s])):
+            codes = sorted(step[state])
+            if not codes:
+                break
+            while gap < len(owner) and owner[gap] >= 0:
+                gap += 1
+            at = gap
+            for _ in range(50):
+                if owner[at] < 0 and all(at + c - codes[0] < len(owner) and owner[at + c - codes[0]] < 0 for c in codes):
+                    break
+                at = at + 1 if at + 1 < len(owner) else gap
+            else:
+                at = len(owner)
+            more = at + codes[-1] - codes[0] + 1 - len(owner)
+            if more > 0:
+                owner.extend([-1] * more), target.extend([0] * more)
+            self.shift[state] = at - codes[0]
+            for c in codes:
+                owner[at + c - codes[0]], target[at + c - codes[0]] = state, step[state][c]
+        # any state and code have a slot
+        low, high = min(0, int(self.shift.min())), max(len(owner), int(self.shift.max()) + alphabet)
+        self.shift -= low
+        self.owner, self.target = np.full(high - low, -1, np.int32), np.zeros(high - low, np.int32)
+        self.owner[-low:len(owner) - low], self.target[-low:len(owner) - low] = owner, target
+
+    def go(self, state, code):
+        at = self.shift[state] + code
+        return np.where(self.owner[at] == state, self.target[at], self.alone[code])
+
+    def __getitem__(self, key):
+        return self.go(*divmod(key, self.alphabet))
+
+
+def automaton(texts: list[np.ndarray], alphabet: int) -> Transitions:
+    """The suffix automaton of several texts of codes."""
     step, link, length = [{}], [-1], [0]
     for text in texts:
         last = 0
@@ -79,13 +127,7 @@ def automaton(texts: list[np.ndarray], alphabet: int) -> np.ndarray:
                     while p >= 0 and step[p].get(c) == q:
                         step[p][c], p = clone, link[p]
             last = new
-    alone = np.zeros(alphabet, np.int32)
-    for c, s in step[0].items():
-        alone[c] = s
-    table = np.repeat(~alone[None, :], len(step), axis=0)
-    for s, own in enumerate(step):
-        table[s, list(own.keys())] = list(own.values())
-    return table.ravel().astype(np.int32)
+    return Transitions(step, alphabet)
 
 
 class Languages:
@@ -119,7 +161,7 @@ class Languages:
         for lang, table in enumerate(self.tables):
             state, count = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int64)
             for c, k in zip(codes, still):
-                s = table[state[:k] * self.alphabet + c]
+                s = table.go(state[:k], c)
                 failed = s < 0
                 count[:k] += failed | (state[:k] == 0)  # a phrase begins where a match ends, or nothing has matched yet
                 state[:k] = np.where(failed, ~s, s)
@@ -148,18 +190,31 @@ def built(sample: tuple) -> Languages:
     return Languages(sample)
 
 
+def stretches(text: str, key: str, excerpt: int):
+    """The whole text if it has at most ``excerpt`` characters, else one stretch at a place chosen by ``key`` from each part of it."""
+    size, length = F.length(text), max(1, excerpt // STRETCHES)
+    part = F.floor(size / STRETCHES)
+    places = [F.floor(F.lit(i) * part) + F.pmod(F.xxhash64(key, F.lit(i)), F.greatest(part - length + 1, F.lit(1))) + 1 for i in range(STRETCHES)]
+    cut = F.array(*[F.substring(F.col(text), p.cast("int"), F.lit(length)) for p in places])
+    return F.when(size <= excerpt, F.array(text)).otherwise(cut)
+
+
 def learn_languages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, excerpt: int = EXCERPT) -> tuple:
-    """Per language, excerpts of the ``rows`` labelled texts with the smallest hashes of their ids, of those whose remainder by 3 is not 1.
+    """Per language, excerpts of the ``rows`` distinct labelled texts with the smallest hashes, of those whose id's remainder by 3 is not 1.
 
-    Every language with such a text is learned, however rare, so the sample is bounded for each language.
+    Every language with such a text is learned, however rare, so the sample is bounded for each language. Equal
+    texts are one. A text of more than ``excerpt`` characters gives stretches from all over it.
     """
-    known = (df.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.substring(F.col(text).cast("string"), 1, excerpt).alias("text"))
-             .where("id is not null and lang is not null and text is not null").where(held_out("id", 3) != 1))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    picked = known.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
+    known = (df.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+             .where("id is not null and lang is not null and text is not null").where(held_out("id", 3) != 1)
+             .select("lang", F.xxhash64("text").alias("key"), "text"))
+    first = Window.partitionBy("lang").orderBy("key")
+    picked = known.select("lang", "key").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
+    picked = df.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "lang string, key long, rank int")  # a sample's size
+    texts = known.join(F.broadcast(picked), ["lang", "key"]).select("lang", "rank", stretches("text", "key", excerpt).alias("texts"))
     sample: dict[str, list[str]] = {}
-    for r in picked.select("lang", "text").orderBy("lang", "rank").collect():
-        sample.setdefault(r.lang, []).append(r.text)
+    for r in texts.groupBy("lang", "rank").agg(F.min("texts").alias("texts")).orderBy("lang", "rank").collect():
+        sample.setdefault(r.lang, []).extend(r.texts)
     return tuple((k, tuple(v)) for k, v in sorted(sample.items()))
 
 

@@ -81,3 +81,23 @@ def test_rare_languages_are_learned(spark):
     df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == rare, "der die das").otherwise("the of and").alias("text"),
                                     F.when(F.col("id") == rare, "de").otherwise("en").alias("lang"))
     assert [name for name, _ in learn_languages(df)] == ["de", "en"]
+
+
+def test_the_body_of_a_text_is_learned_and_copies_count_once(spark):
+    head = "shared header of every page in the archive. " * 10
+    body = {"de": "der die das und nicht ", "en": "the of and with from "}
+    rows = [(i, head + (w := body[lang]) * 200 + str(i) * (i % 2), lang) for lang in body for i in range(40)]
+    rows += [(100 + i, "copy copy", "en") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = learn_languages(df, rows=10)
+    parts = dict(sample)
+    assert all(any(body[lang][:-1] in t for t in parts[lang]) for lang in body)
+    assert sum(t.startswith("copy") for t in parts["en"]) <= 1
+    assert Languages(sample).predict(["und nicht der", "with from the"])[0] == ["de", "en"]
+
+
+def test_transitions_need_no_room_for_missing_codes():
+    texts = [np.arange(5_000), np.arange(5_000)[::-1]]
+    table = automaton(texts, 5_000)
+    assert len(table.owner) < 200_000
+    assert table[0 * 5_000 + 7] >= 0 and table[table[0 * 5_000 + 7] * 5_000 + 9] == ~table[0 * 5_000 + 9]
