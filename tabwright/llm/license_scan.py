@@ -3,12 +3,14 @@
 Every rolling pair of words is hashed and joined to the places of that pair in the templates. A place in the document
 minus the place in the template is a diagonal; a copy of the template puts all its pairs on one. Votes are counted per
 document, template and diagonal; neighbouring diagonals are merged, so an inserted or missing word does not split a
-passage; a merged span is verified by its share of the template and its length. The base phrases are templates too, and
+passage; a merged span is verified by its share of the template and its length, and one that is too long, as where
+notices follow each other, window by window of the length allowed. The base phrases are templates too, and
 count where a single diagonal has all their pairs. Pairs are compared as words after the hash, so hashes never decide.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -57,7 +59,8 @@ def scan(df: DataFrame, base=BASE, notices=NOTICES, doc_id: str = "doc_id", text
 
     A null or empty text has no words, no labels and score 0. The score is the largest share of a template found, 1 where
     a base phrase stands. Repeated rows are scanned each for itself; a null doc_id stays null. Other columns are not
-    read; an empty table gives an empty result. Templates have two words at least.
+    read; an empty table gives an empty result. Templates have two words at least. A notice is found where a window of
+    at most ``stretch`` times its words within a passage has ``cover`` of its pairs.
     """
     known = templates(base, notices)
     grams = gram_table(df.sparkSession, known)
@@ -80,17 +83,26 @@ def scan(df: DataFrame, base=BASE, notices=NOTICES, doc_id: str = "doc_id", text
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     merged = diagonals.withColumn("opens", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(0)))
     merged = merged.withColumn("passage", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.create_map(*[x for i, t in enumerate(known) for x in (F.lit(i), F.lit(len(t.words)))])[F.col("template")]
+    per_template = lambda f: F.create_map(*[x for i, t in enumerate(known) for x in (F.lit(i), F.lit(f(t)))])[F.col("template")]
+    size = per_template(lambda t: len(t.words))
     is_base = F.col("template") < len(base)
     exact = is_base & (F.col("votes") == size - 1)
     spans = merged.groupBy("row", "template", "passage").agg(
         F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.count(F.when(exact, 1)).alias("n_base"),
         F.min(F.when(exact, F.col("diagonal"))).alias("first_word"),
         F.max(F.when(exact, F.col("diagonal"))).alias("last_word"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), (F.max("high") - F.min("low") + 2).alias("length"))
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), (F.max("high") - F.min("low") + 2).alias("length"),
+        F.sort_array(F.flatten(F.collect_list(F.when(~is_base, F.transform("places", lambda p: F.struct((F.col("diagonal") + p).alias("at"), p.alias("place"))))))).alias("votes"))
+    # a window of the longest span allowed begins at each vote; it has a few votes for each of its pairs of words at most
+    reach = per_template(lambda t: int(len(t.words) * stretch) - 2)
+    most = per_template(lambda t: (int(len(t.words) * stretch) - 1) * max(Counter(zip(t.words, t.words[1:])).values()))
+    window = lambda vote, i: F.filter(F.slice("votes", i + 1, most), lambda v: v["at"] - vote["at"] <= reach)
+    in_windows = F.array_max(F.transform("votes", lambda vote, i: F.size(F.array_distinct(F.transform(window(vote, i), lambda v: v["place"])))))
+    long = ~is_base & (F.col("covered") / (size - 1) >= cover) & (F.col("length") > size * stretch)
+    spans = spans.withColumn("covered", F.when(long, in_windows).otherwise(F.col("covered")))
     share = F.col("covered") / (size - 1)
-    found = F.when(is_base, F.col("n_base") > 0).otherwise((share >= cover) & (F.col("length") <= size * stretch))
-    label = F.create_map(*[x for i, t in enumerate(known) for x in (F.lit(i), F.lit(t.label))])[F.col("template")]
+    found = F.when(is_base, F.col("n_base") > 0).otherwise(share >= cover)
+    label = per_template(lambda t: t.label)
     spans = spans.withColumn("label", F.when(found, label)).withColumn("share", F.when(found, F.when(is_base, F.lit(1.0)).otherwise(share)))
     out = spans.groupBy("row").agg(
         F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.sum("n_base").cast("long").alias("n_base"),

@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.llm.license_scan import BASE, scan
+from tabwright.llm.license_scan import BASE, COVER, GAP, NOTICES, STRETCH, scan
 
 
 def brute(text):
@@ -55,3 +55,37 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
 def test_only_spark_functions(spark, sf):
     plan = scan(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def brute_notices(text):
+    """Labels and best share of the notices: any stretch of allowed length within a run of near diagonals that has enough of the pairs."""
+    words, found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), {}
+    for notice, label in NOTICES:
+        n = notice.split()
+        votes = [(i, p) for i in range(len(words) - 1) for p in range(len(n) - 1) if words[i:i + 2] == n[p:p + 2]]
+        runs = []
+        for d in sorted({i - p for i, p in votes}):
+            if runs and d - runs[-1][-1] <= GAP:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            inside = [(i, p) for i, p in votes if i - p in run]
+            best = max(len({p for i, p in inside if low <= i and i + 2 - low <= len(n) * STRETCH}) for low, _ in inside) / (len(n) - 1)
+            if best >= COVER:
+                found[label] = max(best, found.get(label, 0))
+    return found
+
+
+def test_notices_that_follow_each_other(spark):
+    texts = ["released under the MIT license. The MIT license permits use", "All rights reserved. All rights reserved.", "all rights reserved " * 50,
+             "released under the the mit license the mit license", "released under the mit license " * 3, "released under the the mit the mit license",
+             "licensed under the apache license version licensed under the apache 2 0", "all rights all rights reserved rights reserved",
+             "released the mit license under the mit license license under the mit"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan(df).collect()}
+    for i, text in enumerate(texts):
+        want = brute_notices(text)
+        assert set(got[i].labels.split(",")) - {label for _, label in BASE} - {""} == set(want), text
+        assert got[i].score == (1 if got[i].n_base else max(want.values(), default=0)), text
+    assert "mit-notice" in got[0].labels and got[1].labels == "all-rights-reserved"
