@@ -74,7 +74,7 @@ def regression(spark, sf, algorithm, params=None):
 
 @query("m9_random_forest_regressor")
 def m9(spark, sf):
-    return regression(spark, sf, "random_forest_regressor", SMALL)
+    return regression(spark, sf, "random_forest_regressor")
 
 
 @query("m10_boosted_regressor")
@@ -220,8 +220,7 @@ def d1_bundle(spark, sf):
     cleaner = Preprocessor.fit(recipe.apply(raw), "churned", keys=["c_custkey"])
     ready = cut_lineage(cleaner.apply(recipe.apply(raw)), "cleaned")
     names = [c for c, t in ready.dtypes if t in ("double", "int", "bigint") and c not in ("c_custkey", "churned")]
-    # the classes are nearly separable, so the fit would use all its iterations; the query is about scoring
-    model = models.fit(ready, "logistic", names, "churned", {"max_iter": 100})
+    model = models.fit(ready, "logistic", names, "churned")
     path = scratch_path(spark, "bundle")
     sinks.save_bundle(sinks.Bundle(model, names, "v1", 0.5, 0.7, 0.4, fit_snapshot(ready, names), recipe, cleaner), path, spark)
     scored = sinks.score(raw, sinks.load_bundle(spark, path))

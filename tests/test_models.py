@@ -228,3 +228,20 @@ def test_few_labels(planted):
     assert auc(blended.transform(planted.filter("split = 'test'"))) > 0.85
     nearest = semi.most_uncertain(models.predict(model, rest, FEATURES), "p", ["id"], 10).collect()
     assert len(nearest) == 10 and max(abs(r["p"] - 0.5) for r in nearest) < 0.2
+
+
+def test_bundle_and_forest_regressor_fit_at_the_defaults(spark, sf, monkeypatch):
+    from tabwright.plans.registry import REGISTRY
+    import tabwright.plans.model_queries  # noqa: F401
+
+    class Seen(Exception):
+        pass
+
+    def seen(df, algorithm, features, label, params=None, *more, **options):
+        raise Seen(algorithm, params)
+
+    monkeypatch.setattr(models, "fit", seen)
+    for name, algorithm in (("d1_score_bundle", "logistic"), ("m9_random_forest_regressor", "random_forest_regressor")):
+        with pytest.raises(Seen) as found:
+            REGISTRY[name].run(spark, sf)
+        assert found.value.args == (algorithm, None)
