@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import bpe, exact_dedup, lang_id, license_scan, neighbours, ngram_join, packing, quality_trees, training_order, url_reputation
+from tabwright.llm import bpe, exact_dedup, fingerprints, lang_id, license_scan, neighbours, ngram_join, packing, quality_trees, training_order, url_reputation
 from tabwright.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -115,3 +115,8 @@ def op5_license_scan(spark, sf_dir):
 @register("op1_ngram_join")
 def op1_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op13_fingerprints", fingerprints.edited_sql())
+def op13_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
