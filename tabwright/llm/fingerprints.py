@@ -154,13 +154,14 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).select(
         "doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("a"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("t"))
     # a and t name a document; no key is null, and copies are one before anything is shuffled
-    keys = rows.select("doc_id", "a", "t", F.length("text").alias("n_chars")).distinct()
+    keys = rows.groupBy("doc_id", "a", "t", F.length("text").alias("n_chars")).agg(F.count("*").alias("copies"))
     ranked = written(row_numbers(keys, [F.col("doc_id").asc_nulls_first(), F.col("t").asc()], "rank"), "ranked")
     last = ranked.count()
     before = ranked.select(F.when(F.col("rank") == last, 1).otherwise(F.col("rank") + 1).alias("rank"), F.col("a").alias("pa"), F.col("t").alias("pt"),
                            F.floor(F.col("n_chars") / 2).cast("int").alias("taken"))
-    links = ranked.join(before, "rank").select("a", "t", "doc_id", "n_chars", "pa", "pt", "taken")
-    texts = rows.groupBy("a", "t").agg(F.first("text").alias("text"), F.count("*").alias("copies")).join(links, ["a", "t"])
+    links = ranked.join(before, "rank").select("a", "t", "doc_id", "copies", "n_chars", "pa", "pt", "taken")
+    # both uses of the texts ask for the same columns, so they are shuffled once
+    texts = rows.groupBy("a", "t").agg(F.first("text").alias("text")).join(links, ["a", "t"])
     heads = texts.select(F.col("pa").alias("a"), F.col("pt").alias("t"), F.expr("substring(text, 1, taken)").alias("head"))
     both = texts.join(heads, ["a", "t"])
     kept = F.expr("substring(text, 1, n_chars - cast(floor(n_chars / 2) as int))")
