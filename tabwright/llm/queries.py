@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.llm import bpe, exact_dedup, fingerprints, lang_id, license_scan, neighbours, ngram_join, packing, quality_trees, training_order, url_reputation
+from tabwright.llm import bpe, exact_dedup, fingerprints, lang_id, license_scan, merkle, neighbours, ngram_join, packing, quality_trees, training_order, url_reputation, whitening
 from tabwright.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -120,3 +120,13 @@ def op1_ngram_join(spark, sf_dir):
 @register("op13_fingerprints", fingerprints.edited_sql())
 def op13_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op11_merkle", merkle.manifest_sql())
+def op11_merkle(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@register("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
