@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import clean_double, col, skew_sample
+from ..session import cut_lineage
 
 EXPRESSIONS_PER_PASS = 100
 EXACT_ROWS = 50_000
@@ -30,8 +31,8 @@ def wide_agg(df: DataFrame, exprs: Mapping[str, Column]) -> dict:
 def to_rows(one_row: DataFrame, records: Sequence[Mapping[str, Column]], keep: Sequence[str] = ()) -> DataFrame:
     """Turn columns of an aggregate into one row per record, without leaving Spark."""
     structs = [F.struct(*[c.alias(n) for n, c in r.items()]) for r in records]
-    exploded = one_row.select(*[col(k) for k in keep], F.explode(F.array(*structs)).alias("r"))
-    return exploded.select(*[col(k) for k in keep], "r.*")
+    exploded = one_row.select(F.struct(*[col(k) for k in keep]).alias("_kept") if keep else F.lit(None).alias("_kept"), F.explode(F.array(*structs)).alias("_record"))
+    return exploded.select(*[col("_kept").getField(k).alias(k) for k in keep], "_record.*")
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
@@ -46,11 +47,6 @@ def string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
 
 # quantiles ------------------------------------------------------------------
 
-def _same_group(by: Sequence[str], values: Sequence) -> Column:
-    conditions = [col(b).eqNullSafe(F.lit(v)) for b, v in zip(by, values)]
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
 class _Slot:
     """One wanted quantile and the closed value interval known to hold it.
 
@@ -58,8 +54,8 @@ class _Slot:
     are not above it.
     """
 
-    def __init__(self, group, column, prob, n, x):
-        self.group, self.column, self.prob, self.n, self.x = group, column, prob, n, x
+    def __init__(self, column, prob, n, x):
+        self.column, self.prob, self.n, self.x = column, prob, n, x
         self.rank = (n - 1) * prob
         self.lo, self.below_lo, self.upto_lo = None, 0, 0
         self.hi, self.below_hi, self.upto_hi = None, n, n
@@ -159,63 +155,85 @@ def quantiles(
     """Linear-interpolation quantiles as rows (by..., column, prob, value).
 
     Up to ``exact_rows`` values per group the built-in ``percentile`` runs directly.
-    Beyond that its per-group value map would not fit one task, so the answer is
-    first enclosed by sketches and exact counts, and ``percentile`` sees only the
-    enclosed values. Either way the result is exact. ``exact=False`` uses the
-    sketch alone. Any number of groups will do.
+    Beyond that its per-group value map would not fit one task. Of whole columns the
+    answer is then first enclosed by sketches and exact counts, and ``percentile``
+    sees only the enclosed values; large groups, however many, are ranked together
+    in value ranges. Either way the result is exact. ``exact=False`` uses the sketch
+    alone. Grouping columns may have any name but column, prob and value.
     """
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
-    values = {c: clean_double(c) for c in cols}
+    keys, x = [f"_k{i}" for i in range(len(by))], [f"_x{i}" for i in range(len(cols))]
+    rows = df.select(*[col(b).alias(k) for b, k in zip(by, keys)], *[clean_double(c).alias(v) for c, v in zip(cols, x)])
+
+    def named(found: DataFrame) -> DataFrame:
+        return found.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "column", "prob", "value")
 
-    def table(fn):  # of ``df`` as it is when called
-        one = df.groupBy(*by).agg(*[fn(values[c]).alias(f"q{i}") for i, c in enumerate(cols)])
+    def table(some: DataFrame, fn) -> DataFrame:
+        one = some.groupBy(*keys).agg(*[fn(F.col(v)).alias(f"_q{i}") for i, v in enumerate(x)])
         missing = F.lit([None] * len(probs)).cast("array<double>")  # a column without values has no array
-        each = F.array(*[F.struct(F.lit(c).alias("column"), F.arrays_zip(F.lit(probs).alias("prob"), F.coalesce(f"q{i}", missing).alias("value")).alias("all"))
+        each = F.array(*[F.struct(F.lit(c).alias("column"), F.arrays_zip(F.lit(probs).alias("prob"), F.coalesce(f"_q{i}", missing).alias("value")).alias("_all"))
                          for i, c in enumerate(cols)])
-        keys = [col(b) for b in by]
-        columns = one.select(*keys, F.explode(each).alias("c"))
-        return columns.select(*keys, "c.column", F.explode("c.all").alias("r")).select(*keys, "column", "r.prob", "r.value")
+        columns = one.select(*keys, F.explode(each).alias("_c"))
+        return columns.select(*keys, "_c.column", F.explode("_c._all").alias("_r")).select(*keys, "column", "_r.prob", "_r.value")
 
     if not exact:
-        return table(lambda x: F.percentile_approx(x, probs, accuracy))
-    # groups that fit one task take the built-in; there are at most rows / exact_rows others
-    sizes = df.groupBy(*by).agg(*[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(cols)])
-    large = F.greatest(*[F.col(f"n{i}") for i in range(len(cols))], F.lit(0)) > exact_rows
-    heavy = [tuple(r[b] for b in by) for r in sizes.filter(large).collect()]
-    if not heavy:
-        return table(lambda x: F.percentile(x, probs))
-    whole, is_heavy = df, reduce(lambda a, b: a | b, [_same_group(by, g) for g in heavy])
-    df = whole.filter(is_heavy)
+        return named(table(rows, lambda v: F.percentile_approx(v, probs, accuracy)))
+    sizes = rows.groupBy(*keys).agg(*[F.count(v).alias(f"_n{i}") for i, v in enumerate(x)])
+    large = sizes.filter(F.greatest(*[F.col(f"_n{i}") for i in range(len(cols))], F.lit(0)) > exact_rows)
+    if not by:
+        one = sizes.first()
+        if max([*one, 0]) <= exact_rows:
+            return named(table(rows, lambda v: F.percentile(v, probs)))
+        return df.sparkSession.createDataFrame(_column_quantiles(rows, cols, x, list(one), probs, exact_rows, accuracy), "column string, prob double, value double")
+    large = cut_lineage(large, "large-groups")  # rows / exact_rows of them at most
+    if not large.limit(1).count():
+        return named(table(rows, lambda v: F.percentile(v, probs)))
+    marked = large.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
+    few = table(rows.join(marked, same, "left_anti"), lambda v: F.percentile(v, probs))
+    return named(few.unionByName(_ranked_quantiles(rows.join(marked, same, "left_semi"), large, keys, cols, x, probs)))
+
+
+def _column_quantiles(rows: DataFrame, cols: Sequence[str], x: Sequence[str], sizes: Sequence[int], probs: Sequence[float], exact_rows: int, accuracy: int) -> list[tuple]:
+    """(column, prob, value) of whole columns by enclosure; one slot per column and probability."""
     around = [min(max(p + side * 2.0 / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)]
-    first = df.groupBy(*by).agg(
-        *[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.percentile_approx(values[c], around, accuracy).alias(f"a{i}") for i, c in enumerate(cols)],
-    ).collect()
-
-    slots, ends = [], {}
-    for r in first:
-        group = tuple(r[b] for b in by)
-        for i, c in enumerate(cols):
-            x = F.when(_same_group(by, group), values[c]) if by else values[c]
-            for j, p in enumerate(probs):
-                slots.append(_Slot(group, c, p, r[f"n{i}"], x))
-                if r[f"n{i}"]:
-                    ends[id(slots[-1])] = r[f"a{i}"][2 * j:2 * j + 2]
-    known = [s for s in slots if s.n > 0]
-    _narrow(df, known, ends, exact_rows, accuracy)
-    for s, v in zip(known, _agg_slots(df, known, lambda s: {"v": F.percentile(s.within(), s.final_prob())})):
+    first = rows.agg(*[F.percentile_approx(v, around, accuracy).alias(f"_a{i}") for i, v in enumerate(x)]).first()
+    slots = [_Slot(c, p, n, F.col(v)) for c, v, n in zip(cols, x, sizes) for p in probs]
+    ends = {id(s): first[f"_a{i // len(probs)}"][2 * (i % len(probs)):][:2] for i, s in enumerate(slots) if s.n}
+    known = [s for s in slots if s.n]
+    _narrow(rows, known, ends, exact_rows, accuracy)
+    for s, v in zip(known, _agg_slots(rows, known, lambda s: {"v": F.percentile(s.within(), s.final_prob())})):
         s.value = v["v"]
-    schema = T.StructType(
-        [df.schema[b] for b in by]
-        + [T.StructField("column", T.StringType()), T.StructField("prob", T.DoubleType()),
-           T.StructField("value", T.DoubleType())]
-    )
-    rows = [(*s.group, s.column, s.prob, s.value) for s in slots]
-    found = df.sparkSession.createDataFrame(rows, schema)
-    if not by:
-        return found
-    df = whole.filter(~is_heavy)
-    return found.unionByName(table(lambda x: F.percentile(x, probs)))
+    return [(s.column, s.prob, s.value) for s in slots]
+
+
+def _ranked_quantiles(rows: DataFrame, sizes: DataFrame, keys: Sequence[str], cols: Sequence[str], x: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(keys..., column, prob, value) of groups of any size and number.
+
+    Equal values of a group are counted map-side and summed up along value ranges, so
+    a large group is shared by many tasks. Each value then looks up, in its group's
+    short table of wanted ranks, whether one falls on it.
+    """
+    from .prefix import prefix_scan
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(v).alias("value")) for c, v in zip(cols, x)])).alias("_c")
+    long = rows.select(*keys, each).select(*keys, "_c.column", "_c.value").filter(F.col("value").isNotNull())
+    scanned = prefix_scan(long, "value", {"_n": F.lit(1)}, by=[*keys, "column"])
+    of = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n")) for i, c in enumerate(cols)])).alias("_c")
+    at = [(F.col("_c.n") - 1) * F.lit(p) for p in probs]
+    wanted = F.array(*[F.struct(F.lit(p).alias("prob"), a.alias("at"), F.floor(a).alias("lo"), F.ceil(a).alias("hi")) for p, a in zip(probs, at)])
+    targets = sizes.select(*keys, of).select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], F.col("_c.column").alias("_column"), F.col("_c.n").alias("_size"), wanted.alias("_wanted"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)], F.col("column") == F.col("_column"))
+    on = lambda r: (r >= F.col("cum__n") - F.col("_n")) & (r < F.col("cum__n"))
+    hit = scanned.join(targets, same).select(*keys, "column", "value", "cum__n", "_n", F.explode(F.filter("_wanted", lambda w: on(w["lo"]) | on(w["hi"]))).alias("_w"))
+    ends = hit.groupBy(*keys, "column", F.col("_w.prob").alias("prob")).agg(
+        F.max(F.when(on(F.col("_w.lo")), F.col("value"))).alias("_lo"), F.max(F.when(on(F.col("_w.hi")), F.col("value"))).alias("_hi"), F.max("_w.at").alias("_at"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    value = F.when(low == high, F.col("_lo")).otherwise((high - F.col("_at")) * F.col("_lo") + (F.col("_at") - low) * F.col("_hi"))
+    found = ends.select(*keys, "column", "prob", value.alias("value"))
+    # a group's column without any value still has its rows
+    empty = targets.filter("_size = 0").select(*[F.col(f"_t{i}").alias(k) for i, k in enumerate(keys)], F.col("_column").alias("column"),
+                                               F.explode(F.lit(list(probs)).cast("array<double>")).alias("prob"), F.lit(None).cast("double").alias("value"))
+    return found.unionByName(empty)
 
 
 def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[str, list]:

@@ -232,3 +232,21 @@ def test_many_correlations_take_one_scan(spark):
         assert r == pytest.approx(np.corrcoef(np.array(both).T)[0, 1], abs=1e-9)
         assert (a, b) not in few or few[(a, b)] == pytest.approx(r, abs=1e-12)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+
+
+@pytest.mark.parametrize("name", ["c", "r", "all", "x", "_k0", "_x0", "_n0", "_h0", "_t0", "_q0", "_c", "_r", "_w", "_n", "n", "cum__n", "_lo", "_at", "_column", "_kept", "_record"])
+def test_group_columns_of_any_name(spark, name):
+    df = spark.createDataFrame([("a", float(i)) for i in range(9)] + [("b", float(i)) for i in range(3)] + [(None, 7.0)], ["g", "y"]).withColumnRenamed("g", name)
+    for limit in (100, 4):  # all by the built-in, and the largest group by ranks
+        got = {r[name]: r["value"] for r in agg.quantiles(df, ["y"], [0.5], by=[name], exact_rows=limit).collect()}
+        assert got == {"a": 4.0, "b": 1.0, None: 7.0}
+    one = df.groupBy(name).agg(F.count("*").alias("size"))
+    assert {r[name]: r["rows_of_it"] for r in agg.to_rows(one, [{"rows_of_it": F.col("size")}], keep=[name]).collect()} == {"a": 9, "b": 3, None: 1}
+
+
+def test_quantiles_of_many_large_groups(spark):
+    df = spark.range(1_001 * 12).select((F.col("id") % 1_001).alias("g"), F.pmod(F.xxhash64("id"), F.lit(50)).cast("double").alias("v"), F.lit(None).cast("double").alias("w"))
+    got = {(r["g"], r["column"], r["prob"]): r["value"] for r in agg.quantiles(df, ["v", "w"], [0.0, 0.3, 0.5, 1.0], by=["g"], exact_rows=10).collect()}
+    want = {(r["g"], "v", p): v for r in df.groupBy("g").agg(F.percentile("v", [0.0, 0.3, 0.5, 1.0]).alias("q")).collect() for p, v in zip([0.0, 0.3, 0.5, 1.0], r["q"])}
+    assert len(got) == 1_001 * 8 and all(got[g, "w", p] is None for g, _, p in want)
+    assert all(abs(got[k] - v) < 1e-12 for k, v in want.items())
