@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +32,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def let_go() -> None:
+    """Give memory that is no longer used back to the system: a Python worker outlives its task and waits for the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def kept_rows(df: DataFrame, text: str, keep: Callable[[list], np.ndarray], rows: int = 256) -> DataFrame:
+    """The rows of ``df``, as they are, whose texts ``keep`` marks; whole rows pass through in small Arrow slices."""
+    at = df.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, rows):
+            good = keep(b.column(at).cast(pa.string()).to_pylist())
+            if good.any():
+                yield b.filter(pa.array(good))
+        let_go()
+
+    return df.mapInArrow(work, df.schema)
+
+
 def buckets_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, least: int = 64) -> int:
     """How many hash buckets hold about ``rows_per_bucket`` rows each; follows the table without a limit."""
     return max(least, -(-rows // rows_per_bucket))

@@ -13,18 +13,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import slices
+from tabwright.llm.common import kept_rows, let_go, slices
 from tabwright.llm.quality_trees import held_out
 
-#: of each language: distinct labelled texts learned from, and characters of each; a longer text gives stretches from all over it
-ROWS, EXCERPT = 200, 512
-#: stretches of a text longer than an excerpt: one at a hash-chosen place in each of as many equal parts
-STRETCHES = 4
+#: distinct labelled texts that are learned of each language, whole; those of more characters than `USUAL` come last
+ROWS, USUAL = 40, 8_192
+#: parts of a language from which the texts are first picked
+SALTS = 256
 #: characters of a text that are parsed in one go; a phrase ends where a segment does
 SEGMENT = 512
 UNKNOWN = "und"
@@ -131,7 +130,7 @@ def automaton(texts: list[np.ndarray], alphabet: int) -> Transitions:
 
 
 class Languages:
-    """Automata of (language, excerpts), smaller names first."""
+    """Automata of (language, texts), smaller names first."""
 
     def __init__(self, sample: tuple[tuple[str, tuple[str, ...]], ...]):
         parts = {name: [points(t) for t in texts] for name, texts in sorted(sample)}
@@ -183,38 +182,39 @@ class Languages:
             score = lettered.astype(float)
         return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], score
 
+    def known(self, texts: list[str | None]) -> np.ndarray:
+        """Which texts have a language; without any learned, which have a letter."""
+        if not self.names:
+            return np.array([any(c.isalpha() for c in t or "") for t in texts], bool)
+        return np.array([n != UNKNOWN for n in self.predict(texts)[0]], bool)
+
 
 @lru_cache(maxsize=1)
 def built(sample: tuple) -> Languages:
     """The automata of a sample, built once in each Python worker."""
-    return Languages(sample)
-
+    model = Languages(sample)
+    let_go()  # what building took
+    return model
 
-def stretches(text: str, key: str, excerpt: int):
-    """The whole text if it has at most ``excerpt`` characters, else one stretch at a place chosen by ``key`` from each part of it."""
-    size, length = F.length(text), max(1, excerpt // STRETCHES)
-    part = F.floor(size / STRETCHES)
-    places = [F.floor(F.lit(i) * part) + F.pmod(F.xxhash64(key, F.lit(i)), F.greatest(part - length + 1, F.lit(1))) + 1 for i in range(STRETCHES)]
-    cut = F.array(*[F.substring(F.col(text), p.cast("int"), F.lit(length)) for p in places])
-    return F.when(size <= excerpt, F.array(text)).otherwise(cut)
 
+def learn_languages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS) -> tuple:
+    """Per language, ``rows`` distinct labelled texts, whole, of those whose id's remainder by 3 is not 1.
 
-def learn_languages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, excerpt: int = EXCERPT) -> tuple:
-    """Per language, excerpts of the ``rows`` distinct labelled texts with the smallest hashes, of those whose id's remainder by 3 is not 1.
-
-    Every language with such a text is learned, however rare, so the sample is bounded for each language. Equal
-    texts are one. A text of more than ``excerpt`` characters gives stretches from all over it.
+    Every language with such a text is learned, however rare, so the sample is bounded for each language. Equal texts are
+    one. Texts of at most `USUAL` characters come first, longer ones only where too few others are there; among them the
+    smallest hashes are taken, first of each of `SALTS` parts of a language and then of the language.
     """
     known = (df.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
              .where("id is not null and lang is not null and text is not null").where(held_out("id", 3) != 1)
-             .select("lang", F.xxhash64("text").alias("key"), "text"))
-    first = Window.partitionBy("lang").orderBy("key")
-    picked = known.select("lang", "key").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
-    picked = df.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "lang string, key long, rank int")  # a sample's size
-    texts = known.join(F.broadcast(picked), ["lang", "key"]).select("lang", "rank", stretches("text", "key", excerpt).alias("texts"))
+             .select("lang", (F.length("text") > USUAL).alias("long"), F.xxhash64("text").alias("key"), "text"))
+    picked = known.select("lang", "long", "key").distinct().withColumn("salt", F.pmod("key", F.lit(SALTS)))
+    for part in (["lang", "salt"], ["lang"]):
+        picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("long", "key"))).where(F.col("rank") <= rows)
+    picked = df.sparkSession.createDataFrame([tuple(r) for r in picked.select("lang", "key", "rank").collect()], "lang string, key long, rank int")  # a sample's size
+    texts = known.join(F.broadcast(picked), ["lang", "key"]).select("lang", "rank", "text")
     sample: dict[str, list[str]] = {}
-    for r in texts.groupBy("lang", "rank").agg(F.min("texts").alias("texts")).orderBy("lang", "rank").collect():
-        sample.setdefault(r.lang, []).extend(r.texts)
+    for r in texts.groupBy("lang", "rank").agg(F.min("text").alias("text")).orderBy("lang", "rank").collect():
+        sample.setdefault(r.lang, []).append(r.text)
     return tuple((k, tuple(v)) for k, v in sorted(sample.items()))
 
 
@@ -234,17 +234,11 @@ def predict_language(df: DataFrame, sample: tuple, doc_id: str = "doc_id", text:
             names, score = model.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64())],
                                              ["doc_id", "held_out", "lang_pred", "score"])
+        let_go()
 
     return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(df: DataFrame, sample: tuple, text: str = "text") -> DataFrame:
-    """The rows of ``df`` with all their columns whose text has a language."""
-    @F.pandas_udf("string")
-    def language(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = built(sample)
-        for t in texts:
-            values = [v if isinstance(v, str) else None for v in t.tolist()]
-            yield pd.Series([n for i in range(0, len(values), 1_000) for n in model.predict(values[i:i + 1_000])[0]], dtype=object)
-
-    return df.where(language(F.col(text).cast("string")) != UNKNOWN)
+    """The rows of ``df`` with all their columns whose text has a language, or a letter if no language could be learned."""
+    return kept_rows(df, text, lambda texts: built(sample).known(texts), 1_000)

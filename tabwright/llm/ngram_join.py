@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import slices, written
+from tabwright.llm.common import let_go, slices, written
 from tabwright.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -33,6 +33,10 @@ RECALL, SLACK = 0.999, 4.0
 BLOCK, EXACT_BLOCK = 1_024, 512
 #: rows up to which the texts to verify are found by a broadcast; beyond, by a shuffle
 SMALL = 100_000
+#: row numbers (8 bytes each) up to which those that stay are broadcast; beyond, they are shuffled
+KEPT = 1_000_000
+#: n-grams (8 bytes each) that a block of texts to verify holds at most, if no single text has more
+CELLS = 2_000_000
 BINS = 50
 SEED = 17
 
@@ -69,20 +73,24 @@ def permutations(count: int) -> np.ndarray:
     return np.random.default_rng(SEED).integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signed(df: DataFrame, doc_id: str, text: str, n: int, trees: int, depth: int) -> DataFrame:
-    """A written table: row (unique), doc_id, digest, number of n-grams, keys."""
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def keyed(df: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataFrame:
+    """A written table: row (unique), doc_id, text, and with ``carry`` the input row as ``record`` in place of the text."""
+    more = F.struct("*").alias("record") if carry else F.col(text).cast("string").alias("text")
+    return written(df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), more), "rows")
 
+
+def signed(rows: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
+    """A written table of (row, doc_id, text): row, doc_id, digest, number of n-grams, keys."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = permutations(trees * depth)
         for b in slices(batches):
-            own = [shingles(t, n) for t in b.column(1).to_pylist()]
+            own = [shingles(t, n) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([d for d, _ in own], pa.binary()), pa.array([len(h) for _, h in own], pa.int64()),
-                pa.array([signature(h, factors) if len(h) else b"" for _, h in own], pa.binary())], ["doc_id", "digest", "grams", "keys"])
+                b.column(0), b.column(1), pa.array([d for d, _ in own], pa.binary()), pa.array([len(h) for _, h in own], pa.int64()),
+                pa.array([signature(h, factors) if len(h) else b"" for _, h in own], pa.binary())], ["row", "doc_id", "digest", "grams", "keys"])
+        let_go()
 
-    done = rows.mapInArrow(work, "doc_id long, digest binary, grams long, keys binary")
-    return written(done.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    return written(rows.select("row", "doc_id", "text").mapInArrow(work, "row long, doc_id long, digest binary, grams long, keys binary"), "signatures")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.Table]:
@@ -207,40 +215,38 @@ def candidate_edges(reps: DataFrame, threshold: float, trees: int, depth: int, b
         before, k = k, k - 1
 
 
-def verified(df: DataFrame, clusters: DataFrame, doc_id: str, text: str, n: int, threshold: float, block: int) -> DataFrame:
+def verified(rows: DataFrame, clusters: DataFrame, n: int, threshold: float, block: int, cells: int = CELLS) -> DataFrame:
     """(rep, links, edge): per block pair, a text's number of documents linked to it and the smallest text of its part of the forest.
 
-    ``clusters`` has rep, doc_id, digest, copies and label.
+    ``rows`` has row and text, ``clusters`` has rep (a row), grams (how many), copies and label. A block holds at most
+    ``block`` texts, and fewer where a component's texts are long: about ``cells`` n-grams.
     """
     clusters = written(clusters, "clusters")
-    few = clusters.count() <= SMALL
-    side = F.broadcast(clusters) if few else clusters
-    texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    found = texts.join(side, F.col("id").eqNullSafe(F.col("doc_id"))).select("rep", "digest", "copies", "label", "text")
+    side = F.broadcast(clusters) if clusters.count() <= SMALL else clusters.hint("shuffle_hash")
+    found = rows.select("row", "text").join(side, F.col("row") == F.col("rep")).select("rep", "copies", "label", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            own = [(rep, copies, label, h.tobytes()) for rep, digest, copies, label, t in zip(*[c.to_pylist() for c in b.columns])
-                   for d, h in [shingles(t, n)] if d == digest]  # else another row with this doc_id
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own) if own else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                             ["rep", "copies", "label", "grams"])
+            grams = pa.array([shingles(t, n)[1].tobytes() for t in b.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), grams], ["rep", "copies", "label", "grams"])
+        let_go()
 
     made = found.mapInArrow(sets, "rep long, copies long, label long, grams binary")
-    size = clusters.groupBy("label").agg(F.count("*").alias("size"))
-    rows = (made.join(size, "label").withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+    size = clusters.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("grams") / cells)).cast("int").alias("blocks"))
+    rows = (made.join(size, "label")
             .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "copies", "grams")
             .repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "rep"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, 3, 64):
+        for t in runs(batches, 3, 1):
             starts = np.append(_starts(t, 3), t.num_rows)
             low, high, own, rep, copies = (t.column(c).to_numpy() for c in ("low", "high", "own", "rep", "copies"))
             grams = t.column("grams").to_pylist()
             reps, counts, edges = [], [], []
             for s, e in zip(starts[:-1], starts[1:]):
-                keep = s + np.unique(rep[s:e], return_index=True)[1]  # a row that repeats its doc_id and text comes twice
+                keep = np.arange(s, e)
                 first = keep[own[keep] == low[s]]
                 second = first if low[s] == high[s] else keep[own[keep] == high[s]]
                 if not len(first) or not len(second):
@@ -292,15 +298,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     texts, which are equal. A null doc_id comes after all others; a class with no other id has a null id. Other columns
     are not read; an empty table gives an empty result.
     """
-    rows = signed(df, doc_id, text, n, trees, depth)
+    return classes(keyed(df, doc_id, text), n, threshold, trees, depth, block, exact_block, recall, slack).drop("row")
+
+
+def classes(texts: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
+            block: int = BLOCK, exact_block: int = EXACT_BLOCK, recall: float = RECALL, slack: float = SLACK) -> DataFrame:
+    """`near_duplicates` of a written table (row, doc_id, text), with the row."""
+    rows = signed(texts, n, trees, depth)
     reps = written(rows.groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
                                               F.first("keys").alias("keys"), F.max("grams").alias("grams")), "texts")
     edges = candidate_edges(reps.where("grams > 0"), threshold, trees, depth, block, recall, slack)
-    clusters = components(edges).join(reps, F.col("node") == F.col("rep")).select("rep", "doc_id", "digest", "copies", "label")
-    found = verified(df, clusters, doc_id, text, n, threshold, exact_block)
+    clusters = components(edges).join(reps, F.col("node") == F.col("rep")).select("rep", "grams", "copies", "label")
+    found = verified(texts, clusters, n, threshold, exact_block)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("rep").alias("a"), F.col("edge").alias("b")))
-    texts = (reps.select("digest", "rep", "doc_id", "copies").join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    joined = components(found.select(F.col("rep").alias("a"), F.col("edge").alias("b")))
+    texts = (reps.select("digest", "rep", "doc_id", "copies").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
              .select("digest", "rep", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "rep").alias("label")))
     texts = written(texts, "classes")
     whole = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"),
@@ -309,11 +321,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     own = rows.select("digest", "row", "doc_id").join(info, "digest")
     first = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("f")).select("digest", F.col("f.row").alias("first_row"))
     return own.join(first, "digest").select(
-        "doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size", F.col("copies").alias("n_copies"),
+        "row", "doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size", F.col("copies").alias("n_copies"),
         (F.col("stays") & (F.col("row") == F.col("first_row"))).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns: one of each class. Rows that repeat a doc_id stay or go together."""
-    kept = near_duplicates(df, doc_id, text, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(kept, df[doc_id].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``df`` that stay, with all their columns: exactly those that `near_duplicates` marks as kept, one of each class.
+
+    Rows are told apart by a row number, whatever their ids. Texts are never sorted for it: the numbers that stay are
+    broadcast up to `KEPT` of them, and beyond that hashed beside the shuffled rows.
+    """
+    rows = keyed(df, doc_id, text, carry=True)
+    texts = rows.select("row", "doc_id", F.col("record").getField(text).cast("string").alias("text"))
+    kept = written(classes(texts, **options).where("kept").select("row"), "kept")
+    side = F.broadcast(kept) if kept.count() <= KEPT else kept.hint("shuffle_hash")
+    return rows.join(side, "row", "left_semi").select("record.*")

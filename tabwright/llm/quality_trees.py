@@ -11,12 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import slices
+from tabwright.llm.common import kept_rows, slices
 
 #: most labelled rows that the trees are grown on
 SAMPLE = 20_000
@@ -160,11 +159,4 @@ def score_quality(df: DataFrame, model: Trees, doc_id: str = "doc_id", text: str
 
 def keep_good(df: DataFrame, model: Trees, text: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of ``df`` with all their columns whose text scores at least ``cut``."""
-    @F.pandas_udf("boolean")
-    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
-            values = t.tolist()
-            parts = [model.score(statistics([v if isinstance(v, str) else None for v in values[i:i + 256]])) >= cut for i in range(0, len(values), 256)]
-            yield pd.Series(np.concatenate(parts) if parts else [], dtype=bool)
-
-    return df.where(good(F.col(text).cast("string")))
+    return kept_rows(df, text, lambda texts: model.score(statistics(texts)) >= cut)

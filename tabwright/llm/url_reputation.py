@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.llm.common import written
+
 #: (verdict, host, path); of those that fit, the longest wins
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -50,43 +52,47 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def _weights(children: DataFrame, parent: str, n: str, bad: str, prior: str) -> DataFrame:
-    """Prior weight per parent by the method of moments.
+def _weight(children: DataFrame, n: str, bad: str, prior: Column, by: list[str]) -> DataFrame:
+    """Prior weight per value of ``by``, or one for all, by the method of moments.
 
     With child rates r around the prior mean m, the spread is V = sum n (r - m)^2 / sum n. The beta-binomial expects
-    V = m (1 - m) (1/nbar + (1 - 1/nbar) / (w + 1)), which is solved for w. Parents without labelled children take none.
+    V = m (1 - m) (1/nbar + (1 - 1/nbar) / (w + 1)), which is solved for w. Where no child is labelled it is null.
     """
-    r, m = F.col(bad) / F.col(n), F.col(prior)
-    moments = children.where(F.col(n) > 0).groupBy(parent).agg(
-        F.sum(F.col(n) * (r - m) * (r - m)).alias("ss"), F.sum(n).alias("nn"), F.count("*").alias("kk"), F.max(prior).alias("mm"))
+    r = F.col(bad) / F.col(n)
+    moments = children.where(F.col(n) > 0).groupBy(*by).agg(
+        F.sum(F.col(n) * (r - prior) * (r - prior)).alias("ss"), F.sum(n).alias("nn"), F.count("*").alias("kk"), F.max(prior).alias("mm"))
     unit = F.greatest(F.col("mm") * (1 - F.col("mm")), F.lit(1e-9))
     spread, inv = F.col("ss") / F.col("nn") / unit, F.col("kk") / F.col("nn")
     over = (spread - inv) / F.greatest(1 - inv, F.lit(1e-9))
     w = F.when(over <= 0, F.lit(MOST_WEIGHT)).otherwise(1 / over - 1)
-    return moments.select(parent, F.least(F.greatest(w, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT)).alias("weight"))
+    return moments.select(*by, F.least(F.greatest(w, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT)).alias("weight"))
+
+
+def _shrunk(level: DataFrame, prior: Column, weight: Column, name: str) -> DataFrame:
+    """Add the posterior mean of the rate as ``name``; parents without labelled children take the weight of all pages."""
+    w = F.coalesce(weight, F.lit(BASE_WEIGHT))
+    return level.withColumn(name, (F.col("bad") + w * prior) / (F.col("n") + w)).withColumn("total", F.col("n") + w)
 
 
 def host_reputation(outcomes: DataFrame, z: float = Z, limit: float = LIMIT) -> DataFrame:
-    """From (host, n, bad): host, rate (posterior mean), bound (lower posterior bound) and blocked, one row per host."""
+    """From (host, n, bad), a written table: host, rate (posterior mean), bound (lower posterior bound) and blocked, one row per host.
+
+    Domains and suffixes are sums of the level below, written as they are made; the rate of all pages and the weight of
+    its prior are two numbers.
+    """
     hosts = outcomes.select("host", "n", "bad", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    everything = suffixes.agg(((F.sum("bad") + BASE_WEIGHT / 2) / (F.sum("n") + BASE_WEIGHT)).alias("base"))
-    # every suffix has the same key here, so this is a join of one broadcast row
-    suffixes = suffixes.withColumn("all", F.lit(1)).join(F.broadcast(everything.withColumn("all", F.lit(1))), "all")
-    top = _weights(suffixes, "all", "n", "bad", "base")
-    suffixes = (suffixes.join(F.broadcast(top), "all", "left").withColumn("w", F.coalesce("weight", F.lit(BASE_WEIGHT)))
-                .select("suffix", ((F.col("bad") + F.col("w") * F.col("base")) / (F.col("n") + F.col("w"))).alias("s_rate")))
-    domains = domains.join(suffixes, "suffix")
-    domains = (domains.join(_weights(domains, "suffix", "n", "bad", "s_rate"), "suffix", "left")
-               .withColumn("w", F.coalesce("weight", F.lit(BASE_WEIGHT)))
-               .select("domain", ((F.col("bad") + F.col("w") * F.col("s_rate")) / (F.col("n") + F.col("w"))).alias("d_rate")))
-    hosts = hosts.join(domains, "domain")
-    hosts = hosts.join(_weights(hosts, "domain", "n", "bad", "d_rate"), "domain", "left").withColumn("w", F.coalesce("weight", F.lit(BASE_WEIGHT)))
-    total = F.col("n") + F.col("w")
-    rate = (F.col("bad") + F.col("w") * F.col("d_rate")) / total
-    bound = rate - F.lit(z) * F.sqrt(rate * (1 - rate) / (total + 1))
-    return hosts.select("host", rate.alias("rate"), bound.alias("bound"), (bound > limit).alias("blocked"))
+    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
+    n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
+    base = F.lit(((bad or 0) + BASE_WEIGHT / 2) / ((n or 0) + BASE_WEIGHT))
+    top = F.lit(_weight(suffixes, "n", "bad", base, []).first().weight).cast("double")
+    suffixes = _shrunk(suffixes, base, top, "s_rate").select("suffix", "s_rate")
+    domains = written(domains.join(suffixes, "suffix"), "domain-priors")
+    domains = _shrunk(domains.join(_weight(domains, "n", "bad", F.col("s_rate"), ["suffix"]), "suffix", "left"), F.col("s_rate"), F.col("weight"), "d_rate")
+    hosts = written(hosts.join(domains.select("domain", "d_rate"), "domain"), "host-priors")
+    hosts = _shrunk(hosts.join(_weight(hosts, "n", "bad", F.col("d_rate"), ["domain"]), "domain", "left"), F.col("d_rate"), F.col("weight"), "rate")
+    bound = F.col("rate") - F.lit(z) * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("total") + 1))
+    return hosts.select("host", "rate", bound.alias("bound"), (bound > limit).alias("blocked"))
 
 
 def judge_urls(df: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, z: float = Z, limit: float = LIMIT) -> DataFrame:
@@ -100,7 +106,7 @@ def judge_urls(df: DataFrame, page_id: str = "page_id", url: str = "url", rules=
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     pages = pages.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     outcomes = pages.groupBy("host").agg(F.count("ruled").alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad"))
-    known = host_reputation(outcomes, z, limit)
+    known = host_reputation(written(outcomes, "outcomes"), z, limit)
     judged = pages.join(known, "host")
     own = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "rate", "bound")

@@ -101,3 +101,18 @@ def test_transitions_need_no_room_for_missing_codes():
     table = automaton(texts, 5_000)
     assert len(table.owner) < 200_000
     assert table[0 * 5_000 + 7] >= 0 and table[table[0 * 5_000 + 7] * 5_000 + 9] == ~table[0 * 5_000 + 9]
+
+
+def test_without_any_label_texts_with_a_letter_stay(spark):
+    df = spark.createDataFrame([(i, f"text {i}", None) for i in range(60)] + [(90, "12 !", None), (91, None, None)], "doc_id long, text string, lang string")
+    sample = learn_languages(df)
+    assert sample == () and {r.doc_id for r in keep_known(df, sample).collect()} == set(range(60))
+
+
+def test_texts_are_learned_whole_and_long_ones_last(spark):
+    rows = [(i, f"short number {'x' * i}", "en") for i in range(0, 300, 3)] + [(1_002, "long " * 5_000, "en"), (1_005, "lang " * 5_000, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("crc32(cast(doc_id as string)) % 3 != 1")
+    texts = {r.text for r in df.collect()}
+    sample = dict(learn_languages(df, rows=5))
+    assert len(sample["en"]) == 5 and all(t in texts and len(t) < 1_000 for t in sample["en"])
+    assert all(t in texts for t in sample.get("de", ()))
