@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..operators import accept, attribution, choose, cluster, metrics, models, selection, semi
+from ..operators import accept, attribution, choose, cluster, metrics, models, nearest, outliers, selection, semi
 from ..operators.splits import split
 from ..session import cut_lineage, scratch_path
 from ..sources import sinks
@@ -229,18 +229,80 @@ def d1_bundle(spark, sf):
 
 # segments and few labels ----------------------------------------------------
 
-EMBEDDING_FEATURES = ["e0", "e1", "e2", "e3"]
+EMBEDDING_FEATURES = [f"e{i}" for i in range(64)]
 
 
-@query("x6_cluster_profile", " union all ".join(
-    f"""select label as segment, 'e{i}' as feature, count(*) as n, round(avg(embedding[{i + 1}]), 6) as mean, round(any_value(m), 6) as global_mean,
-        round(avg(embedding[{i + 1}]) - any_value(m), 6) as difference from embeddings, (select avg(embedding[{i + 1}]) as m from embeddings) group by label"""
-    for i in range(4)))
+@query("x6_cluster_profile", """
+    with e as (select label, unnest(range(1, 65)) as i, unnest(embedding) as v from embeddings),
+    g as (select i, avg(v) as m from e group by i)
+    select label as segment, 'e' || (i - 1) as feature, count(*) as n, round(avg(v), 6) as mean, round(any_value(m), 6) as global_mean, round(avg(v) - any_value(m), 6) as difference
+    from e join g using (i) group by label, i""")
 def x6(spark, sf):
     found = cluster.cluster_profile(vectors(spark, sf), "label", EMBEDDING_FEATURES)
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "global_mean", "difference")})
 
 
+@query("x1_elbow")
+def x1(spark, sf):
+    return cluster.elbow(table(spark, sf, "lineitem").select(*LINE_FEATURES), LINE_FEATURES)
+
+
+@query("x4_principal_components", """
+    with c as (select var_samp(l_quantity) as a, var_samp(l_extendedprice) as b, covar_samp(l_quantity, l_extendedprice) as d from lineitem),
+    e as (select (a + b) / 2 as middle, sqrt((a - b) * (a - b) / 4 + d * d) as half from c)
+    select 1 as component, round((middle + half) / (2 * middle), 9) as explained from e union all select 2, round((middle - half) / (2 * middle), 9) from e""")
+def x4(spark, sf):
+    found = cluster.principal_components(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"])
+    return found.select("component", F.round("explained", 9).alias("explained"))
+
+
+@query("x10_self_training")
+def x10(spark, sf):
+    df = docs(spark, sf)
+    _, known = semi.self_train(df.filter("split = 'train'"), df.filter("split <> 'train'"), "logistic", DOC_FEATURES, "toxic", confidence=0.6)
+    return known.groupBy("round", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+NEIGHBOURS, VOTES = 10, 5
+
+
+def near_vectors(spark, sf):
+    return nearest.nearest_rows(table(spark, sf, "embeddings"), "vec_id", "embedding", 64, NEIGHBOURS)
+
+
+_NEAREST = nearest.nearest_sql("embeddings", "vec_id", "embedding", 64, NEIGHBOURS)
+
+
+@query("x3_local_outlier_factor", f"""
+    with {_NEAREST},
+    kd as (select id, sqrt(max(d2)) as k_distance from nearest group by id),
+    density as (select n.id, 1 / greatest(avg(greatest(k.k_distance, sqrt(n.d2))), 1e-9) as density from nearest n join kd k on k.id = n.other group by n.id)
+    select n.id as vec_id, round(any_value(k.k_distance), 4) as k_distance, round(avg(o.density) / any_value(d.density), 6) as lof
+    from nearest n join density d on d.id = n.id join density o on o.id = n.other join kd k on k.id = n.id group by n.id""")
+def x3_lof(spark, sf):
+    found = nearest.outlier_factors(near_vectors(spark, sf))
+    return found.select(F.col("id").alias("vec_id"), F.round("k_distance", 4).alias("k_distance"), F.round("lof", 6).alias("lof"))
+
+
+@query("x3_isolation_forest")
+def x3_forest(spark, sf):
+    names = [*LINE_FEATURES, "l_extendedprice"]
+    df = table(spark, sf, "lineitem").select(*LINE_KEY, *names)
+    return outliers.fit_isolation_forest(df, names, LINE_KEY).transform(df).select(*LINE_KEY, "outlier_score")
+
+
+_SEEDS = "select vec_id as id, case when vec_id % 10 = 0 then label end as label from embeddings"
+
+
+@query("x9_label_propagation", f"""
+    with {_NEAREST},
+    {nearest.propagate_sql(_SEEDS, VOTES, NEIGHBOURS)}
+    select id as vec_id, label, given, round from r{VOTES}""")
+def x9(spark, sf):
+    seeds = table(spark, sf, "embeddings").select("vec_id", F.when(F.col("vec_id") % 10 == 0, F.col("label")).alias("label"))
+    return nearest.propagate(near_vectors(spark, sf), seeds, "vec_id", "label", NEIGHBOURS, VOTES)
+
+
 @query("x7_segments")
 def x7(spark, sf):
     df = table(spark, sf, "lineitem").select(*LINE_KEY, *LINE_FEATURES)
