@@ -113,6 +113,7 @@ def _explainer(shared):
     def explain(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         trees = shared.value
         for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)  # one column comes alone
             parts, base = contributions(np.column_stack([c.to_numpy(dtype=float) for c in columns]), trees)
             yield pd.DataFrame({"base": base, "contributions": list(parts)})
     return explain

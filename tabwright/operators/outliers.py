@@ -88,6 +88,7 @@ class IsolationForest:
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             model = shared.value
             for columns in batches:
+                columns = columns if isinstance(columns, tuple) else (columns,)  # one column comes alone
                 x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
                 yield pd.Series(np.concatenate([model.scores(x[i:i + 1_000]) for i in range(0, len(x), 1_000)]) if len(x) else [], dtype=float)
 

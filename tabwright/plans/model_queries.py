@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..operators import accept, attribution, choose, cluster, metrics, models, nearest, outliers, selection, semi
+from ..operators import accept, attribution, choose, cluster, density, metrics, models, nearest, outliers, selection, semi
 from ..operators.splits import split
 from ..session import cut_lineage, scratch_path
 from ..sources import sinks
@@ -284,6 +284,17 @@ def x3_lof(spark, sf):
     return found.select(F.col("id").alias("vec_id"), F.round("k_distance", 4).alias("k_distance"), F.round("lof", 6).alias("lof"))
 
 
+_PLACES = "select c_acctbal::double as x0, c_nationkey * 400e0 as x1 from customer"
+
+
+@query("x2_density_clusters", f"""
+    with recursive {density.density_sql(_PLACES, 150.0, 5)}
+    select c_custkey, c.cluster from customer left join clustered c on c.x0 = c_acctbal::double and c.x1 = c_nationkey * 400e0""")
+def x2(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("balance"), (F.col("c_nationkey") * 400.0).alias("nation"))
+    return density.append_density_cluster(df, ["balance", "nation"], 150.0, 5).select("c_custkey", "cluster")
+
+
 @query("x3_isolation_forest")
 def x3_forest(spark, sf):
     names = [*LINE_FEATURES, "l_extendedprice"]

@@ -108,3 +108,49 @@ def test_forests_of_few_and_equal_rows(spark):
     assert {round(r.outlier_score, 9) for r in outliers.fit_isolation_forest(df, ["a"], ["id"]).transform(df).collect()} == {0.5}
     none = df.limit(0)
     assert outliers.fit_isolation_forest(none, ["a"], ["id"]).transform(df).select("outlier_score").distinct().count() == 1
+
+
+def clusters_by_brute_force(x, eps, least):
+    """{point: (core, cluster)} by comparing all rows."""
+    points = sorted(set(map(tuple, x)))
+    rows = np.array([tuple(r) for r in x])
+    p = np.array(points)
+    near = ((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2) <= eps * eps
+    core = np.array([(((rows - q) ** 2).sum(axis=1) <= eps * eps).sum() >= least for q in p])
+    label, found = {}, 0
+    for i in range(len(p)):
+        if core[i] and i not in label:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if j not in label:
+                    label[j] = found
+                    todo += [k for k in np.flatnonzero(near[j] & core) if k not in label]
+            found += 1
+    out = {}
+    for i, q in enumerate(points):
+        around = [label[k] for k in np.flatnonzero(near[i] & core)]
+        out[q] = (bool(core[i]), label[i] if core[i] else min(around, default=-1))
+    return out
+
+
+@pytest.mark.parametrize("dims, eps, least", [(1, 0.5, 3), (2, 0.6, 4), (2, 2.0, 10), (3, 1.0, 4)])
+def test_density_clusters_by_brute_force(spark, dims, eps, least):
+    from tabwright.operators.density import density_clusters
+    rng = np.random.default_rng(dims * 10 + least)
+    x = np.concatenate([rng.normal(size=(150, dims)), rng.normal(size=(100, dims)) / 3 + 6, rng.uniform(-8, 8, (60, dims)), np.zeros((40, dims)) - 7, rng.integers(-3, 3, (50, dims)) * eps])
+    names = [f"f{i}" for i in range(dims)]
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in x] + [(None,) * dims], ", ".join(f"{n} double" for n in names))
+    got = {tuple(r[f"x{i}"] for i in range(dims)): (r.core, r.cluster) for r in density_clusters(df, names, eps, least).collect()}
+    assert got == clusters_by_brute_force(x, eps, least)
+
+
+def test_dense_cells_meet_without_pairs_and_clashing_names(spark):
+    from tabwright.operators.density import append_density_cluster
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.uniform(0, 1, (3_000, 2)), rng.uniform(0, 1, (3_000, 2)) + [1.3, 0], rng.uniform(0, 1, (2_000, 2)) + [9, 9]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(9_000, None, 1.0)], "cluster long, x0 double, c0 double")
+    got = append_density_cluster(df, ["x0", "c0"], 1.0, 5, "found")
+    assert got.columns == ["cluster", "x0", "c0", "found"] and got.groupBy("found").count().count() == 3
+    assert {r.found for r in got.where("cluster < 6000").collect()} == {0} and got.where("cluster = 9000").first().found is None
+    assert append_density_cluster(df.limit(0), ["x0", "c0"], 1.0, 5).count() == 0
