@@ -128,9 +128,16 @@ def scan_sql(base=BASE, notices=NOTICES, gap: int = GAP, cover: float = COVER, s
     b as (select doc_id, count(*) as n_base, min(diagonal) as first_word, max(diagonal) as last_word,
                  string_agg(distinct label, ',' order by label) as base_labels
           from e join t using (template) where is_base and votes = size - 1 group by doc_id),
-    s as (select doc_id, template, count(distinct place) as covered, max(pos) - min(pos) + 2 as length from x group by doc_id, template, passage),
-    m as (select doc_id, label, cast(covered as double) / (size - 1) as share from s join t using (template)
-          where not is_base and cast(covered as double) / (size - 1) >= {cover} and length <= size * {stretch}
+    s as (select doc_id, template, passage, count(distinct place) as covered, max(pos) - min(pos) + 2 > any_value(size) * {stretch} as long
+          from x join t using (template) where not is_base group by doc_id, template, passage),
+    w as (select doc_id, template, passage, max(c) as covered from (
+        select a.doc_id, a.template, a.passage, a.pos, count(distinct b.place) as c
+        from (select x.*, floor(size * {stretch})::int - 2 as reach from x join s using (doc_id, template, passage) join t using (template) where long) a
+        join x b on b.doc_id = a.doc_id and b.template = a.template and b.passage = a.passage and b.pos between a.pos and a.pos + a.reach
+        group by a.doc_id, a.template, a.passage, a.pos) group by doc_id, template, passage),
+    m as (select doc_id, label, cast(coalesce(w.covered, s.covered) as double) / (size - 1) as share
+          from s left join w using (doc_id, template, passage) join t using (template)
+          where cast(coalesce(w.covered, s.covered) as double) / (size - 1) >= {cover}
           union all select doc_id, label, 1.0e0 from e join t using (template) where is_base and votes = size - 1),
     l as (select doc_id, string_agg(distinct label, ',' order by label) as labels, max(share) as score from m group by doc_id)
     select d.doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,

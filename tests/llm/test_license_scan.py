@@ -77,11 +77,14 @@ def brute_notices(text):
     return found
 
 
-def test_notices_that_follow_each_other(spark):
-    texts = ["released under the MIT license. The MIT license permits use", "All rights reserved. All rights reserved.", "all rights reserved " * 50,
+FOLLOWING = ["released under the MIT license. The MIT license permits use", "All rights reserved. All rights reserved.", "all rights reserved " * 50,
              "released under the the mit license the mit license", "released under the mit license " * 3, "released under the the mit the mit license",
              "licensed under the apache license version licensed under the apache 2 0", "all rights all rights reserved rights reserved",
              "released the mit license under the mit license license under the mit"]
+
+
+def test_notices_that_follow_each_other(spark):
+    texts = FOLLOWING
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in scan(df).collect()}
     for i, text in enumerate(texts):
@@ -89,3 +92,16 @@ def test_notices_that_follow_each_other(spark):
         assert set(got[i].labels.split(",")) - {label for _, label in BASE} - {""} == set(want), text
         assert got[i].score == (1 if got[i].n_base else max(want.values(), default=0)), text
     assert "mit-notice" in got[0].labels and got[1].labels == "all-rights-reserved"
+
+
+def test_sql_on_the_hard_texts(spark):
+    import duckdb
+
+    from tabwright.llm.license_scan import scan_sql
+    from tests.compare import difference
+    rows = list(enumerate([t for t, _ in CASES] + FOLLOWING + ["all rights reserved " * 50 + "y " * 9 + "released under the the mit license"]))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    clash = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("template", "votes", "label", "passage", "n_words")})
+    assert difference(scan(clash), con, scan_sql()) is None
