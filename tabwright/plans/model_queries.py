@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..operators import accept, attribution, choose, cluster, density, metrics, models, nearest, outliers, selection, semi
+from ..operators import accept, attribution, choose, cluster, density, metrics, models, nearest, outliers, selection, semi, topics
 from ..operators.splits import split
 from ..session import cut_lineage, scratch_path
 from ..sources import sinks
@@ -263,6 +263,25 @@ def x10(spark, sf):
     return known.groupBy("round", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("x11_co_training")
+def x11(spark, sf):
+    df = docs(spark, sf)
+    models_, _ = semi.co_train(df.filter("split = 'train'"), df.filter("split <> 'train'"), "logistic", (["n_chars", "n_lines"], ["n_spaces"]), "toxic", ["doc_id"],
+                               confidence=0.5, rounds=3)
+    return models_.transform(df).select("doc_id", "toxic", "split", "p_first", "p_second", "p", "pred")
+
+
+@query("x5_topic_words")
+def x5_words(spark, sf):
+    return topics.fit_topics(table(spark, sf, "documents"), "text").top_words()
+
+
+@query("x5_topic_shares")
+def x5_shares(spark, sf):
+    df = table(spark, sf, "documents")
+    return topics.fit_topics(df, "text").shares(df.select("doc_id", "text")).select("doc_id", F.posexplode("shares").alias("topic", "share"))
+
+
 NEIGHBOURS, VOTES = 10, 5
 
 
