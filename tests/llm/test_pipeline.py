@@ -73,3 +73,28 @@ def test_run_is_the_stages_one_after_the_other(spark, sf, stages):
     assert got.columns == want.columns
     assert got.groupBy("doc_id").agg(F.sum("length")).exceptAll(want.groupBy("doc_id").agg(F.sum("length"))).count() == 0
     assert got.select(key).agg(F.sum("length")).first() == want.select(key).agg(F.sum("length")).first()
+
+
+@pytest.mark.parametrize("kind", ["empty", "null ids and clashing columns"])
+def test_stages_on_hard_tables(spark, sf, kind):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    if kind == "empty":
+        docs = docs.limit(0)
+    else:
+        some = docs.orderBy("doc_id").limit(30)
+        null = F.lit(None)
+        hard = spark.createDataFrame([(None, None), (None, ""), (None, "clean words of a text without an id"), (None, "clean words of a text without an id"), (None, "7 8 9")], "doc_id long, text string")
+        hard = hard.select("doc_id", "text", null.cast("string").alias("lang"), null.cast("string").alias("source"), null.cast("int").alias("n_chars")).select(*docs.columns)
+        docs = some.unionByName(hard).unionByName(some.limit(3)).withColumns({c: F.lit(1) for c in ("row", "record", "_kept_id", "rep", "label", "keep_id", "sequence")})
+    columns, sizes = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns == columns
+        sizes.append(docs.count())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    if kind == "empty":
+        assert sizes == [0] * 5 and packed.count() == 0
+    else:
+        assert sizes == sorted(sizes, reverse=True) and docs.where("doc_id is null and text like 'clean words%'").count() <= 1
+        assert docs.where("doc_id is not null").count() == docs.select("doc_id").where("doc_id is not null").distinct().count()
+        assert packed.agg(F.sum("length")).first()[0] > 0
