@@ -15,8 +15,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import col
+from ..functions.scalar import clean_double, col
 from ..session import scratch_path
+from .boosting import Boosted
 from .models import fill_missing_features
 
 #: nodes of the trees that are sent to the tasks together
@@ -108,6 +109,19 @@ def tree_attribution(model: PipelineModel, df: DataFrame, features: Sequence[str
     return rows.select(*[col(k) for k in keys], base.alias("base"), parts.alias("contributions"))
 
 
+def boosted_attribution(model: Boosted, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows (keys, base, contributions) of a model for two classes or values, whose trees are at hand already."""
+    if len(model.base) > 1:
+        raise ValueError("one score per row only")
+    leaf = model.trees["feature"] < 0
+    arrays = {"roots": model.roots, "weights": np.ones(len(model.roots)), "leaf": leaf, "cut": model.trees["bin"],
+              **{k: model.trees[k] for k in ("value", "left", "right", "feature")}}
+    explain = _explainer(df.sparkSession.sparkContext.broadcast(arrays))
+    x = [F.coalesce(clean_double(f), F.lit(0.0)) if f in df.columns else F.lit(0.0) for f in model.features]
+    rows = df.select(*[col(k) for k in keys], explain(*x).alias("_e"))
+    return rows.select(*[col(k) for k in keys], (F.col("_e.base") + F.lit(float(model.base[0]))).alias("base"), F.col("_e.contributions").alias("contributions"))
+
+
 def _explainer(shared):
     @F.pandas_udf("base double, contributions array<double>")
     def explain(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
