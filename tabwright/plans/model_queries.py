@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..operators import accept, attribution, boosting, choose, cluster, density, metrics, models, nearest, outliers, selection, semi, topics
+from ..operators import accept, attribution, boosting, choose, cluster, density, hierarchy, metrics, models, nearest, outliers, selection, semi, topics
 from ..operators.splits import split
 from ..session import cut_lineage, scratch_path
 from ..sources import sinks
@@ -330,6 +330,20 @@ def x3_forest(spark, sf):
 _SEEDS = "select vec_id as id, case when vec_id % 10 = 0 then label end as label from embeddings"
 
 
+@query("x8_split_tree")
+def x8_tree(spark, sf):
+    """Nodes of the split tree over all vectors and dimensions, with sizes, costs, heights and the order of a cut."""
+    return hierarchy.fit_split_tree(vectors(spark, sf), EMBEDDING_FEATURES).nodes(spark)
+
+
+@query("x8_levels")
+def x8_levels(spark, sf):
+    """Every vector's node at each level, and its cluster in the cut at eight."""
+    df = vectors(spark, sf)
+    tree = hierarchy.fit_split_tree(df, EMBEDDING_FEATURES)
+    return tree.cut(tree.transform(df), 8).select("vec_id", "path", "cluster")
+
+
 @query("x9_label_propagation", f"""
     with {_NEAREST},
     {nearest.propagate_sql(_SEEDS, VOTES, NEIGHBOURS)}
