@@ -28,11 +28,11 @@ def s1(spark, sf):
 
 @query("s1_csv_quoted_text", "select doc_id, lang, text from documents")
 def s1_quoted(spark, sf):
-    # texts hold quotes, commas and line breaks
+    # texts hold quotes, commas and line breaks; large files or small, the records are cut in parallel
     path = scratch_path(spark, "documents-csv")
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
     docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    return read_source(spark, FileSpec(path, "csv", "doc_id bigint, lang string, text string"))
+    return read_source(spark, FileSpec(path, "csv", "doc_id bigint, lang string, text string", split_above=0))
 
 
 @query("s2_tsv_scan", "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import col
+from .records import read_records
 
 FORMAT_BY_EXTENSION = {
     ".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl",
@@ -18,14 +19,17 @@ FORMAT_BY_EXTENSION = {
 
 
 LATIN = "ISO-8859-1"
+#: options that the reader of records takes; others leave a file to one task
+CUT_OPTIONS = {"header", "sep", "quote", "nullValue", "emptyValue", "dateFormat", "timestampFormat"}
 
 
 @dataclass(frozen=True)
 class FileSpec:
     """A file, folder or glob. Give a schema to spare the inference pass over large text files.
 
-    CSV follows the usual rules: a quote inside quotes is doubled, and quoted text may hold line breaks. Such a file is
-    read by one task; where no text has a line break, the option ``multiLine=False`` lets large files be split. No row is
+    CSV follows the usual rules: a quote inside quotes is doubled, and quoted text may hold line breaks. A file is read by
+    one task, unless a file of UTF-8 is larger than ``split_above`` bytes: then all are split and cut into records in parallel, with
+    the same rows. The option ``multiLine=False`` says that no text has a line break, and splits files by lines. No row is
     dropped: what does not fit its column is missing, and with ``corrupt`` the whole record is kept in a column of that
     name. ``encoding`` is UTF-8 unless given; ``detect`` reads the files once more to find those that are not UTF-8,
     which are then taken for Latin-1, each file by itself.
@@ -37,6 +41,7 @@ class FileSpec:
     options: dict = field(default_factory=dict)
     encoding: str = "UTF-8"
     corrupt: str | None = None
+    split_above: int = 64 << 20
 
     def kind(self) -> str:
         if self.format:
@@ -63,8 +68,20 @@ def read_delimited(spark: SparkSession, spec: FileSpec, sep: str) -> DataFrame:
     """CSV or TSV rows, none dropped."""
     options = {"header": True, "sep": sep, "escape": '"', "multiLine": True, "mode": "PERMISSIVE", **spec.options}
 
+    def large(paths) -> bool:
+        sizes = spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()  # lists the files, reads none
+        return (sizes[0] or 0) > spec.split_above
+
     def read(paths, encoding: str, schema) -> DataFrame:
         found = {**options, "encoding": encoding}
+        if encoding == "UTF-8" and set(spec.options) <= CUT_OPTIONS and large(paths):
+            fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+            given = {k: v for k, v in options.items() if k != "multiLine"}
+            if spec.corrupt and fields is not None:
+                given["columnNameOfCorruptRecord"] = spec.corrupt
+                fields = T.StructType([f for f in fields if f.name != spec.corrupt] + [T.StructField(spec.corrupt, T.StringType())])
+            if fields is not None or not spec.corrupt:
+                return read_records(spark, paths, given, fields)
         if schema is None:
             schema = spark.read.options(**found, inferSchema=True).csv(paths).schema
         if spec.corrupt:
