@@ -7,12 +7,16 @@ projection has been verified, a point that beats the k-th best distance d was mi
 most. A query takes the leaves of the tree in order of projected distance, verifies their points with the original
 vectors, and stops when F reaches the wanted confidence.
 
-Vectors are dealt into shards of bounded size by the hash of their id, each with its own tree; queries come in blocks of
-bounded size, and each block meets each shard once.
+The upper levels of the tree are cut on a bounded sample of projections, and every vector is put into one of the resulting
+cells, whose exact bounds are then taken over all vectors. A query first searches the cell that is nearest in the projection;
+the k-th score found there tells which other cells the test leaves open, and only those it is sent to. A cell of many
+vectors is dealt into parts and its queries into blocks, both of bounded size; each part and block has a tree of its own.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 from math import exp
 
@@ -21,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices, written
+
 K, EVERY = 20, 20
-PROJECTIONS, CONFIDENCE, LEAF = 8, 0.8, 128
-#: vectors of a shard, and queries of a block
-SHARD, BLOCK, LEAST_SHARDS = 16_384, 4_096, 4
-SEED = 7
+PROJECTIONS, CONFIDENCE, LEAF = 8, 0.95, 128
+#: vectors of a part, and queries of a block
+PART, BLOCK = 16_384, 4_096
+#: cells, and the vectors (of the smallest hashes) whose projections they are cut on
+LEAST_CELLS, MOST_CELLS, SAMPLE = 32, 1_024, 32_768
+SEED, SLICE = 7, 1_000
 
 
 def chi_square(x: float, degrees: int) -> float:
@@ -65,36 +73,92 @@ class Tree:
         self.low = np.array([points[x].min(axis=0) for x in self.leaves])
         self.high = np.array([points[x].max(axis=0) for x in self.leaves])
 
-    def distances(self, q: np.ndarray) -> np.ndarray:
-        """(queries, leaves): smallest squared distance that a point of the leaf can have."""
-        out = np.zeros((len(q), len(self.leaves)))
-        for axis in range(q.shape[1]):
-            gap = np.maximum(np.maximum(self.low[:, axis] - q[:, axis, None], q[:, axis, None] - self.high[:, axis]), 0)
-            out += gap * gap
-        return out
 
+def distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(queries, boxes): smallest squared distance that a point of the box can have."""
+    out = np.zeros((len(q), len(low)))
+    for axis in range(q.shape[1]):
+        gap = np.maximum(np.maximum(low[:, axis] - q[:, axis, None], q[:, axis, None] - high[:, axis]), 0)
+        out += gap * gap
+    return out
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, projections: int = PROJECTIONS,
-           confidence: float = CONFIDENCE, leaf: int = LEAF, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(queries, k) ids and scores of the nearest found, by score and then smaller id; -inf where there are fewer."""
+
+class Cells:
+    """The upper levels of a kd-tree: the largest cell is halved until there are ``count``; equal points stay together."""
+
+    def __init__(self, points: np.ndarray, count: int):
+        self.axis, self.cut, self.left, self.right = [-1], [0.0], [0], [0]
+        heap = [(-len(points), 0, np.arange(len(points)))]
+        cells = 1
+        while heap and cells < count:
+            _, node, at = heapq.heappop(heap)
+            own = points[at]
+            axis = int(np.argmax(own.max(axis=0) - own.min(axis=0))) if len(at) > 1 else 0
+            values = np.sort(own[:, axis])
+            if len(at) < 2 or values[0] == values[-1]:
+                continue  # all of it equal: one cell, whose vectors are dealt into parts
+            half = values[(len(at) - 1) // 2]
+            cut = half if half < values[-1] else values[values < values[-1]][-1]
+            small = own[:, axis] <= cut
+            self.axis[node], self.cut[node] = axis, float(cut)
+            self.left[node], self.right[node] = len(self.axis), len(self.axis) + 1
+            for part in (at[small], at[~small]):
+                heapq.heappush(heap, (-len(part), len(self.axis), part))
+                for held, start in ((self.axis, -1), (self.cut, 0.0), (self.left, 0), (self.right, 0)):
+                    held.append(start)
+            cells += 1
+
+    def assign(self, points: np.ndarray) -> np.ndarray:
+        """The cell of every point, named by its node."""
+        axis, cut, left, right = map(np.array, (self.axis, self.cut, self.left, self.right))
+        node = np.zeros(len(points), int)
+        while True:
+            inner = axis[node] >= 0
+            if not inner.any():
+                return node
+            small = points[np.arange(len(points)), np.maximum(axis[node], 0)] <= cut[node]
+            node = np.where(inner, np.where(small, left[node], right[node]), node)
+
+
+def directions(dim: int, projections: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(dim + 1, projections))
+
+
+def project(vectors: np.ndarray, most: float, random: np.ndarray) -> np.ndarray:
+    """Projections of vectors lifted to the squared length ``most``."""
     norms = np.einsum("nd,nd->n", vectors, vectors)
-    most = norms.max(initial=0.0)
-    random = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, projections))
-    lift = np.sqrt(np.maximum(most - norms, 0))[:, None]
-    tree = Tree(vectors @ random[:-1] + lift * random[-1], leaf)
+    return vectors @ random[:-1] + np.sqrt(np.maximum(most - norms, 0))[:, None] * random[-1]
+
+
+def open_within(scores: np.ndarray, square: np.ndarray, most: float) -> np.ndarray:
+    """Squared distance of the k-th best score, a little enlarged so that rounding never hides an equal one; without any infinite."""
+    return np.where(np.isfinite(scores), square + most - 2 * scores, np.inf) + 1e-9 * (square + most)
+
+
+def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, projections: int = PROJECTIONS,
+           confidence: float = CONFIDENCE, leaf: int = LEAF, seed: int = SEED, most: float | None = None,
+           floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, k) ids and scores of the nearest found, by score and then smaller id; -inf where there are fewer.
+
+    ``floor`` is the k-th score that a query has found elsewhere (-inf: none); what scores less is not looked for.
+    """
+    if most is None:
+        most = np.einsum("nd,nd->n", vectors, vectors).max(initial=0.0)
+    floor = np.full(len(queries), -np.inf) if floor is None else floor
+    random = directions(vectors.shape[1], projections, seed)
+    tree = Tree(project(vectors, most, random), leaf)
     limit = chi_square_quantile(confidence, projections)
     own = [(ids[x], np.ascontiguousarray(vectors[x])) for x in tree.leaves]
     best = np.full((len(queries), k), -np.inf)
     found = np.full((len(queries), k), np.iinfo(np.int64).max)
-    bounds = tree.distances(queries @ random[:-1])
+    bounds = distances(queries @ random[:-1], tree.low, tree.high)
     order = np.argsort(bounds, axis=1, kind="stable")
     square = np.einsum("nd,nd->n", queries, queries)
     active = np.arange(len(queries))
     for step in range(len(tree.leaves)):
         there = order[active, step]
-        # squared distance of the k-th best, a little enlarged so that rounding never hides an equal one
-        kth = np.where(np.isfinite(best[active, -1]), square[active] + most - 2 * best[active, -1], np.inf) + 1e-9 * (square[active] + most)
-        going = bounds[active, there] <= limit * kth
+        kth = np.maximum(best[active, -1], floor[active])
+        going = bounds[active, there] <= limit * open_within(kth, square[active], most)
         active, there = active[going], there[going]
         if not len(active):
             break
@@ -105,7 +169,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             # einsum adds each pair's products in one order, whatever the shapes: equal vectors score equal
             score = np.einsum("qd,nd->qn", queries[q], leaf_vectors)
             score[query_ids[q][:, None] == leaf_ids] = -np.inf
-            better = (score >= best[q, -1:]).any(axis=1)
+            better = (score >= np.maximum(best[q, -1:], floor[q, None])).any(axis=1)
             if not better.any():
                 continue
             q = q[better]
@@ -125,42 +189,106 @@ def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("vector").alias("vector"))
 
 
+def matrix(t, dim: int) -> np.ndarray:
+    column = t.column("vector")
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(flat.reshape(-1, dim), dtype=np.float64)
+
+
 def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = EVERY, k: int = K, projections: int = PROJECTIONS,
-            confidence: float = CONFIDENCE, leaf: int = LEAF, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+            confidence: float = CONFIDENCE, leaf: int = LEAF, part: int = PART, block: int = BLOCK, cells: int = LEAST_CELLS, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the ``k`` nearest found, nearest first.
 
-    Vectors that are null, all zero, hold null or non-finite components or have another length than most take no part,
-    nor do rows without an id. Rows that repeat an id count once. Ties go to the smaller id. With fewer than ``k``
-    candidates all are returned. Other columns are not read; an empty table gives an empty result.
+    A vector nearer than the k-th found was missed with a probability below 1 - ``confidence``. Vectors that are null, all
+    zero, hold null or non-finite components or have another length than most take no part, nor do rows without an id. Rows
+    that repeat an id count once. Ties go to the smaller id. With fewer than ``k`` candidates all are returned. Other columns
+    are not read; an empty table gives an empty result. At the driver stand the sample's projections and the cells' bounds,
+    at most ``SAMPLE`` and ``MOST_CELLS`` rows.
     """
-    rows = usable(df, vec_id, embedding)
-    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q"))
-    first = sizes.orderBy(F.desc("n"), F.desc("size")).first()
-    schema = "query_id long, ids array<long>, scores array<double>"
-    if first is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("vector") == first["size"])
-    dim, shards, blocks = first["size"], max(LEAST_SHARDS, -(-first["n"] // shard)), max(1, -(-first["q"] // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(shards))
-    stored = rows.select("id", "vector", own.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = rows.where(F.col("id") % every == 0).select(
-        "id", "vector", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        flat = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return t.column("id").to_numpy(), np.ascontiguousarray(flat.reshape(-1, dim), dtype=np.float64)
+    spark = df.sparkSession
+    rows = written(usable(df, vec_id, embedding), "vectors")
+    square = F.aggregate(F.col("vector"), F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.max(square).alias("most"))
+    chosen = sizes.orderBy(F.desc("n"), F.desc("size")).first()
+    if chosen is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, most = chosen["size"], chosen["most"]
+    rows = rows.where(F.size("vector") == dim)
+    random, limit = directions(dim, projections, seed), chi_square_quantile(confidence, projections)
+    axes = [f"p{i}" for i in range(projections)]
+    kind = rows.schema["vector"].dataType.simpleString()
+    point = "id long, " + ", ".join(f"{a} double" for a in axes)
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, SLICE):
+            yield pa.RecordBatch.from_arrays([b.column("id"), *project(matrix(b, dim), most, random).T], ["id", *axes])
+
+    smallest = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).mapInArrow(projected, point).select(*axes).collect()
+    tree = Cells(np.array([tuple(r) for r in smallest], float), min(MOST_CELLS, max(cells, -(-chosen["n"] // part))))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, SLICE):
+            points = project(matrix(b, dim), most, random)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), tree.assign(points).astype(np.int32), *points.T], ["id", "vector", "cell", *axes])
+
+    stored = written(rows.select("id", "vector").mapInArrow(placed, f"id long, vector {kind}, cell int, " + ", ".join(f"{a} double" for a in axes)), "cells")
+    boxes = stored.groupBy("cell").agg(F.count("*").alias("n"), *[F.min(a).alias(f"low_{a}") for a in axes], *[F.max(a).alias(f"high_{a}") for a in axes]).orderBy("cell").collect()
+    names = np.array([r["cell"] for r in boxes], np.int32)
+    low, high = (np.array([[r[f"{side}_{a}"] for a in axes] for r in boxes]) for side in ("low", "high"))
+    parts = {r["cell"]: -(-r["n"] // part) for r in boxes}
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, SLICE):
+            near = distances(matrix(b, dim) @ random[:-1], low, high).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), pa.array(names[near])], ["id", "vector", "home"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, SLICE):
+            q, kth = matrix(b, dim), b.column("floor").to_numpy(zero_copy_only=False).astype(float)
+            kth = np.where(np.isnan(kth), -np.inf, kth)
+            left = limit * open_within(kth, np.einsum("nd,nd->n", q, q), most)
+            # the home cell stays in, for its other parts
+            row, cell = np.nonzero((distances(q @ random[:-1], low, high) <= left[:, None]) | (b.column("home").to_numpy()[:, None] == names))
+            for at in range(0, len(row), SLICE):
+                take = pa.array(row[at:at + SLICE])
+                yield pa.RecordBatch.from_arrays([*(b.column(n).take(take) for n in ("id", "vector", "home", "floor")), pa.array(names[cell[at:at + SLICE]])],
+                                                 ["id", "vector", "home", "floor", "cell"])
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "scores": pa.array([], pa.list_(pa.float64()))})
-        ids, vectors = matrix(left)
-        query_ids, queries = matrix(right)
-        found, best = search(ids, vectors, query_ids, queries, k, projections, confidence, leaf)
+        floor = right.column("floor").to_numpy().astype(float)
+        query_ids = right.column("id").to_numpy()
+        found, best = search(left.column("id").to_numpy(), matrix(left, dim), query_ids, matrix(right, dim), k, projections, confidence, leaf, seed, most,
+                             np.where(np.isnan(floor), -np.inf, floor))
         ok = np.isfinite(best)
         return pa.table({"query_id": pa.array(query_ids, pa.int64()), "ids": pa.array([f[o] for f, o in zip(found, ok)], pa.list_(pa.int64())),
                          "scores": pa.array([b[o] for b, o in zip(best, ok)], pa.list_(pa.float64()))})
 
-    local = stored.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(work, schema)
-    each = local.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("query_id", F.col("c.ids").alias("vec_id"), F.col("c.scores").alias("score"))
+    def searched(pairs: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of queries sent to (cell, part): a part meets its queries block by block."""
+        counts = pairs.groupBy("cell", "part").agg(F.count("*").alias("q")).groupBy("cell").agg(F.max("q").alias("q")).collect()
+        about = F.broadcast(spark.createDataFrame([(r["cell"], parts[r["cell"]], -(-r["q"] // block)) for r in counts], "cell int, parts int, blocks int"))  # one row a cell
+        held = stored.select("id", "vector", "cell").join(about, "cell").select(
+            "id", "vector", "cell", part_of(F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        asked = pairs.join(about, "cell").select("id", "vector", "floor", "cell", "part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
+        local = held.groupBy("cell", "part", "block").cogroup(asked.groupBy("cell", "part", "block")).applyInArrow(work, "query_id long, ids array<long>, scores array<double>")
+        return local.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("query_id", F.col("c.ids").alias("vec_id"), F.col("c.scores").alias("score"))
+
+    def part_of(count):
+        return F.pmod(F.xxhash64("id"), count).cast("int")
+
+    sized = F.broadcast(spark.createDataFrame(sorted(parts.items()), "cell int, parts int"))  # one row a cell
+    queries = rows.where(F.col("id") % every == 0).select("id", "vector").mapInArrow(homes, f"id long, vector {kind}, home int")
+    queries = queries.join(sized.withColumnRenamed("cell", "home"), "home").select("id", "vector", "home", part_of(F.col("parts")).alias("home_part"))
+    queries = written(queries, "queries")
+    at_home = written(searched(queries.select("id", "vector", F.lit(None).cast("double").alias("floor"), F.col("home").alias("cell"), F.col("home_part").alias("part"))), "at-home")
+    kth = at_home.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    sent = queries.join(kth, F.col("id") == F.col("_q"), "left").select("id", "vector", "home", "floor").mapInArrow(others, f"id long, vector {kind}, home int, floor double, cell int")
+    sent = sent.join(sized, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    here = queries.select(F.col("id").alias("_q"), F.col("home").alias("_cell"), F.col("home_part").alias("_part"))
+    sent = sent.join(here, (F.col("id") == F.col("_q")) & (F.col("cell") == F.col("_cell")) & (F.col("part") == F.col("_part")), "left_anti")
+    away = searched(written(sent.select("id", "vector", "floor", "cell", "part"), "sent"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = at_home.unionByName(away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")
