@@ -41,7 +41,7 @@ class FileSpec:
     options: dict = field(default_factory=dict)
     encoding: str = "UTF-8"
     corrupt: str | None = None
-    split_above: int = 64 << 20
+    split_above: int = 1 << 30
 
     def kind(self) -> str:
         if self.format:

@@ -8,7 +8,9 @@ records on its own, and only what crosses a border is put together from its piec
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,30 +23,23 @@ from ..session import cut_lineage
 WHOLE, OPEN, PIECE = 0, 1, 2
 
 
+@lru_cache(maxsize=16)
+def closed(sep: str, quote: str) -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of lines that end outside quotes, for lines that begin outside and inside; no pattern steps back."""
+    s, q = re.escape(sep), re.escape(quote)
+    rest = f"[^{s}]*+" if len(sep) == 1 else f"(?:(?!{s}).)*+"
+    closing = f"[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}{rest}"
+    more = f"(?:{s}(?:{q}{closing}|(?!{q}){rest}))*+"
+    return re.compile(f"(?:{q}{closing}|(?!{q}){rest}){more}", re.DOTALL), re.compile(closing + more, re.DOTALL)
+
+
 def ends_inside(line: str, inside: bool, sep: str = ",", quote: str = '"') -> bool:
     """Whether a line that begins inside or outside a quoted field ends inside one.
 
     A quote opens a field only at its beginning, and a doubled one does not close it. What follows the closing quote up to
     the separator is plain text.
     """
-    if quote not in line:
-        return inside
-    at = 0
-    while True:
-        if inside:
-            at = line.find(quote, at)
-            while at >= 0 and line.startswith(quote, at + 1):
-                at = line.find(quote, at + 2)
-            if at < 0:
-                return True
-            inside = False
-        elif line.startswith(quote, at):
-            inside, at = True, at + 1
-            continue
-        at = line.find(sep, at)
-        if at < 0:
-            return False
-        at += len(sep)
+    return closed(sep, quote)[inside].fullmatch(line) is None if quote in line else inside
 
 
 def lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
