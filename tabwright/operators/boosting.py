@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_double
@@ -31,29 +31,32 @@ L2, LEAST = 1.0, 1.0
 SLACK = 1e-9
 
 
+KINDS = {"feature": np.int32, "bin": np.float64, "left": np.int32, "right": np.int32, "value": np.float64, "gain": np.float64}
+
+
 @dataclass
 class Nodes:
-    """Trees as flat arrays; a leaf has feature -1. ``value`` is the score of any node, were it a leaf."""
+    """Trees as flat arrays; a leaf has feature -1. ``value`` is the score of any node, were it a leaf, ``gain`` what its split gains."""
 
     feature: list = field(default_factory=list)
     bin: list = field(default_factory=list)
     left: list = field(default_factory=list)
     right: list = field(default_factory=list)
     value: list = field(default_factory=list)
+    gain: list = field(default_factory=list)
 
     def add(self, value: float) -> int:
-        for part, start in ((self.feature, -1), (self.bin, 0), (self.left, 0), (self.right, 0), (self.value, value)):
+        for part, start in ((self.feature, -1), (self.bin, 0), (self.left, 0), (self.right, 0), (self.value, value), (self.gain, 0.0)):
             part.append(start)
         return len(self.feature) - 1
 
-    def split(self, node: int, feature: int, at: int, left: float, right: float) -> tuple[int, int]:
-        self.feature[node], self.bin[node] = feature, at
+    def split(self, node: int, feature: int, at: int, left: float, right: float, gain: float) -> tuple[int, int]:
+        self.feature[node], self.bin[node], self.gain[node] = feature, at, gain
         self.left[node], self.right[node] = self.add(left), self.add(right)
         return self.left[node], self.right[node]
 
     def arrays(self) -> dict[str, np.ndarray]:
-        kinds = {"feature": np.int32, "bin": np.float64, "left": np.int32, "right": np.int32, "value": np.float64}
-        return {k: np.array(getattr(self, k), t) for k, t in kinds.items()}
+        return {k: np.array(getattr(self, k), t) for k, t in KINDS.items()}
 
 
 def leaves(x: np.ndarray, trees: dict[str, np.ndarray], roots: np.ndarray) -> np.ndarray:
@@ -193,6 +196,29 @@ class Boosted:
         return parts.groupBy("round").agg((F.sum("lost") / F.sum("weight")).alias("loss"))
 
 
+    def importances(self) -> dict[str, float]:
+        """Share of each feature in the gain of all splits, in feature order; all 0 for a model without splits."""
+        inner = self.trees["feature"] >= 0
+        gained = np.bincount(self.trees["feature"][inner], self.trees["gain"][inner], len(self.features))
+        return dict(zip(self.features, map(float, gained / (gained.sum() or 1.0))))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the model as one row of arrays, in place of what ``path`` held; `load_boosted` reads it again."""
+        row = (self.kind, list(self.features), [float(c) for c in self.classes], self.base.tolist(), self.roots.tolist(), *[self.trees[k].tolist() for k in KINDS])
+        spark.createDataFrame([row], SAVED).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+SAVED = ("kind string, features array<string>, classes array<double>, base array<double>, roots array<int>, "
+         "feature array<int>, bin array<double>, left array<int>, right array<int>, value array<double>, gain array<double>")
+
+
+def load_boosted(spark: SparkSession, path: str) -> Boosted:
+    """The model that `Boosted.save` wrote; it scores as before, to the last bit."""
+    r = spark.read.schema(SAVED).parquet(path).first()
+    trees = {k: np.array(r[k], t) for k, t in KINDS.items()}
+    return Boosted(r["kind"], list(r["features"]), list(r["classes"]), np.array(r["base"], float), trees, np.array(r["roots"], np.int32))
+
+
 def learnable(df: DataFrame, features: Sequence[str], label: str, kind: str) -> DataFrame:
     """Labelled rows as (x0, x1, ..., label, weight): missing and absent features are 0, classes weigh alike, values weigh 1."""
     x = [F.coalesce(clean_double(f), F.lit(0.0)) if f in df.columns else F.lit(0.0) for f in features]
@@ -360,7 +386,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, kind: str =
                     if level == 0:
                         grown.value[node] = -rate * (gl + gr) / (hl + hr + l2)
                     if at >= 0:
-                        fresh[t] += grown.split(node, feature, at, -rate * gl / (hl + l2), -rate * gr / (hr + l2))
+                        fresh[t] += grown.split(node, feature, at, -rate * gl / (hl + l2), -rate * gr / (hr + l2), gain)
                 frontier = fresh
                 if not any(frontier):
                     break
@@ -369,6 +395,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, kind: str =
                 held.feature += grown.feature
                 held.bin += grown.bin
                 held.value += grown.value
+                held.gain += grown.gain
                 held.left += [v + shift for v in grown.left]
                 held.right += [v + shift for v in grown.right]
                 its_roots += [s + shift for s in starts]

@@ -59,3 +59,15 @@ def missing_columns(df: DataFrame, required: DataFrame) -> DataFrame:
     """Required feature names (column ``feature``) absent from the input's schema."""
     return required.filter(~F.col("feature").isin(df.columns)).select("feature")
 
+
+def column_sets(df: DataFrame, required: DataFrame) -> DataFrame:
+    """Rows (feature, place) for the columns of ``df`` and the names in ``required`` (column ``feature``).
+
+    ``place`` is "missing" for a required name that is no column, "extra" for a column that nobody requires and "both"
+    otherwise. Names count once and are told apart by case; a null name is none.
+    """
+    own = F.array(*[F.lit(c) for c in df.columns]).cast("array<string>")
+    given = required.sparkSession.range(1).select(F.explode(own).alias("feature"), F.lit(1).alias("_own"), F.lit(0).alias("_wanted"))
+    wanted = required.filter("feature is not null").select("feature", F.lit(0).alias("_own"), F.lit(1).alias("_wanted"))
+    sides = given.unionByName(wanted).groupBy("feature").agg(F.max("_own").alias("_own"), F.max("_wanted").alias("_wanted"))
+    return sides.select("feature", F.when(F.col("_own") == 0, "missing").when(F.col("_wanted") == 0, "extra").otherwise("both").alias("place"))

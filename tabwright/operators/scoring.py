@@ -95,10 +95,10 @@ def attribution_global(df: DataFrame, coefficients: Mapping[str, float], k: int
     return rows.orderBy(F.desc("mean_abs_contribution"), "feature").limit(k)
 
 
-def attribution_rows(df: DataFrame, coefficients: Mapping[str, float], k: int = 3) -> DataFrame:
-    """Add ``reasons``: per row the k largest contributions with their sign kept."""
+def attribution_rows(df: DataFrame, coefficients: Mapping[str, float], k: int = 3, background: DataFrame | None = None) -> DataFrame:
+    """Add ``reasons``: per row the k largest contributions with their sign kept, against the means of ``background`` (``df`` itself if none)."""
     from .aggregates import wide_agg
-    means = wide_agg(df, {f: F.avg(clean_double(f)) for f in coefficients})
+    means = wide_agg(df if background is None else background, {f: F.avg(clean_double(f)) for f in coefficients})
     parts = linear_contributions(coefficients, means)
     entries = F.array(*[
         F.struct(F.coalesce(-F.abs(c), F.lit(0.0)).alias("o"), F.lit(f).alias("feature"), clean_double(f).alias("value"), c.alias("contribution"))
@@ -108,6 +108,12 @@ def attribution_rows(df: DataFrame, coefficients: Mapping[str, float], k: int =
     return df.withColumn("reasons", F.transform(best, lambda e: F.struct(e["feature"], e["value"], e["contribution"])))
 
 
+def explain_sample(df: DataFrame, coefficients: Mapping[str, float], keys: Sequence[str], n: int = 500, k: int = 3, seed: int = 42, portable: bool = False) -> DataFrame:
+    """``reasons`` of n hash-chosen rows (all, if fewer), against the means of all rows of ``df``."""
+    from .explore import hash_sample
+    return attribution_rows(hash_sample(df, keys, n, seed, portable), coefficients, k, background=df)
+
+
 def explain_top_row(df: DataFrame, coefficients: Mapping[str, float], p: str, keys: Sequence[str], k: int = 15) -> DataFrame:
     """Reasons of the single highest-scored row, one row per feature."""
     reasons = attribution_rows(df, coefficients, k)

@@ -419,6 +419,17 @@ def j8(spark, sf):
     return joins.missing_columns(df, named)
 
 
+@query("x4_column_sets", """
+    with wanted as (select distinct 'c_' || lower(c_mktsegment) as feature from customer union select 'c_acctbal' union select 'c_custkey'),
+    own as (select unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) as feature)
+    select coalesce(w.feature, o.feature) as feature, case when o.feature is null then 'missing' when w.feature is null then 'extra' else 'both' end as place
+    from wanted w full join own o on w.feature = o.feature""")
+def x4_sets(spark, sf):
+    df = table(spark, sf, "customer")
+    named = df.select(F.explode(F.array(F.concat(F.lit("c_"), F.lower("c_mktsegment")), F.lit("c_acctbal"), F.lit("c_custkey"))).alias("feature"))
+    return joins.column_sets(df, named)
+
+
 # sorting, limits, sets ------------------------------------------------------
 
 @query("o1_sorted_ranked", "select s_suppkey, s_acctbal, row_number() over (order by s_acctbal desc, s_suppkey) as rank from supplier")

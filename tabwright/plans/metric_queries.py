@@ -253,6 +253,16 @@ def me18(spark, sf):
     return out.select(*LINE_KEY, *cols)
 
 
+@query("o6_explanation_sample", f"""
+    select {LINE}, r[1].feature as f1, round(r[1].c, 6) as c1, r[2].feature as f2, round(r[2].c, 6) as c2
+    from (select *, list_sort({pieces(lambda f, w: f"({w}) * (cast({f} as double) - {MEANS[f]})").replace("'value': l_linenumber", "'value': cast(l_linenumber as double)")}) as r
+      from (select * from lineitem order by ((l_orderkey % 2147483648 + 42) * 2654435761) % 4294967296, {LINE} limit 500))""")
+def o6(spark, sf):
+    out = scoring.explain_sample(table(spark, sf, "lineitem"), WEIGHTS, LINE_KEY, portable=True)
+    cols = [c for i in range(2) for c in (F.col("reasons")[i]["feature"].alias(f"f{i+1}"), F.round(F.col("reasons")[i]["contribution"], 6).alias(f"c{i+1}"))]
+    return out.select(*LINE_KEY, *cols)
+
+
 @query("me18_top_reasons", f"""
     select {LINE}, r[1].feature as f1, round(r[1].value, 4) as v1, r[2].feature as f2, r[3].feature as f3
     from (select *, list_sort([{', '.join(f"{{'o': -abs({abs(w)} * {f}), 'feature': '{f}', 'value': cast({f} as double)}}" for f, w in WEIGHTS.items())}]) as r from lineitem)""")

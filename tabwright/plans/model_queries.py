@@ -217,8 +217,18 @@ def u9(spark, sf):
         models.predict(model, df, DOC_FEATURES), models.predict(again, df, DOC_FEATURES), ["doc_id"])
 
 
-@query("d1_score_bundle")
-def d1_bundle(spark, sf):
+@query("k6_boosted_reload", with_tables("""
+    select count(*) as rows, cast(0 as double) as max_difference, cast(0 as bigint) as unmatched, 'PASS' as verdict from {doc_ft}"""))
+def k6_boosted(spark, sf):
+    df = docs(spark, sf)
+    model = boosting.fit_boosted(df.filter("split = 'train'"), DOC_FEATURES, "toxic", rounds=10, depth=4)
+    path = scratch_path(spark, "boosted")
+    model.save(spark, path)
+    return accept.max_score_difference(model.transform(df), boosting.load_boosted(spark, path).transform(df), ["doc_id"])
+
+
+def bundled(spark, sf, fit):
+    """Customers scored by a bundle that was saved and loaded again; ``fit`` makes its model from cleaned rows and feature names."""
     from ..operators.drift import fit_snapshot
     from ..operators.preprocess import Preprocessor
     raw = cut_lineage(table(spark, sf, "cust_ft"), "customers")
@@ -226,13 +236,22 @@ def d1_bundle(spark, sf):
     cleaner = Preprocessor.fit(recipe.apply(raw), "churned", keys=["c_custkey"])
     ready = cut_lineage(cleaner.apply(recipe.apply(raw)), "cleaned")
     names = [c for c, t in ready.dtypes if t in ("double", "int", "bigint") and c not in ("c_custkey", "churned")]
-    model = models.fit(ready, "logistic", names, "churned")
     path = scratch_path(spark, "bundle")
-    sinks.save_bundle(sinks.Bundle(model, names, "v1", 0.5, 0.7, 0.4, fit_snapshot(ready, names), recipe, cleaner), path, spark)
+    sinks.save_bundle(sinks.Bundle(fit(ready, names), names, "v1", 0.5, 0.7, 0.4, fit_snapshot(ready, names), recipe, cleaner), path, spark)
     scored = sinks.score(raw, sinks.load_bundle(spark, path))
     return scored.select("c_custkey", "probability", "prediction", "risk_tier", F.col("top_reasons")[0]["feature"].alias("first_reason"), "model_version")
 
 
+@query("d1_score_bundle")
+def d1_bundle(spark, sf):
+    return bundled(spark, sf, lambda df, names: models.fit(df, "logistic", names, "churned"))
+
+
+@query("d1_score_boosted_bundle")
+def d1_boosted_bundle(spark, sf):
+    return bundled(spark, sf, lambda df, names: boosting.fit_boosted(df, names, "churned", rounds=FEW_ROUNDS))
+
+
 # segments and few labels ----------------------------------------------------
 
 EMBEDDING_FEATURES = [f"e{i}" for i in range(64)]

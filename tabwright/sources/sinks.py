@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col
+from ..operators.boosting import Boosted, load_boosted
 from ..operators.features import engineer
 from ..operators.models import predict
 from ..operators.preprocess import Preprocessor
-from ..operators.scoring import score_table
+from ..operators.scoring import fill_missing_features, score_table
 
 
 def save_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -57,10 +58,11 @@ class Recipe:
 class Bundle:
     """All that scoring needs: model, features, version, decision threshold, tier limits, snapshot.
 
-    With the recipe and the fitted cleaner it scores raw rows; without them, rows that are cleaned already.
+    With the recipe and the fitted cleaner it scores raw rows; without them, rows that are cleaned already. The model is
+    a pipeline, or boosted trees for two classes.
     """
 
-    model: PipelineModel
+    model: PipelineModel | Boosted
     features: list[str]
     version: str
     threshold: float
@@ -72,10 +74,16 @@ class Bundle:
 
 
 def save_bundle(bundle: Bundle, path: str, spark: SparkSession) -> None:
-    save_model(bundle.model, f"{path}/model")
+    boosted = isinstance(bundle.model, Boosted)
+    if boosted and bundle.model.kind != "binary":
+        raise ValueError("a bundle scores by the probability of one of two classes")
+    if boosted:
+        bundle.model.save(spark, f"{path}/model")
+    else:
+        save_model(bundle.model, f"{path}/model")
     recipe = json.dumps(asdict(bundle.recipe)) if bundle.recipe else None
-    row = (list(bundle.features), bundle.version, float(bundle.threshold), float(bundle.high), float(bundle.medium), recipe, bundle.cleaner is not None)
-    schema = "features array<string>, version string, threshold double, high double, medium double, recipe string, cleaned boolean"
+    row = (list(bundle.features), bundle.version, float(bundle.threshold), float(bundle.high), float(bundle.medium), recipe, bundle.cleaner is not None, boosted)
+    schema = "features array<string>, version string, threshold double, high double, medium double, recipe string, cleaned boolean, boosted boolean"
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     bundle.snapshot.coalesce(1).write.mode("overwrite").parquet(f"{path}/snapshot")
     if bundle.cleaner is not None:
@@ -85,14 +93,16 @@ def save_bundle(bundle: Bundle, path: str, spark: SparkSession) -> None:
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     about: Mapping = spark.read.parquet(f"{path}/about").first().asDict()
     return Bundle(
-        model=PipelineModel.load(f"{path}/model"), features=list(about["features"]), version=about["version"],
+        model=load_boosted(spark, f"{path}/model") if about.get("boosted") else PipelineModel.load(f"{path}/model"), features=list(about["features"]), version=about["version"],
         threshold=about["threshold"], high=about["high"], medium=about["medium"],
         snapshot=spark.read.parquet(f"{path}/snapshot"), recipe=Recipe(**json.loads(about["recipe"])) if about["recipe"] else None,
         cleaner=Preprocessor.load(spark, f"{path}/cleaner") if about["cleaned"] else None)
 
 
-def reason_weights(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:
+def reason_weights(model: PipelineModel | Boosted, features: Sequence[str]) -> dict[str, float]:
     """Coefficients of a linear model, importances of a tree model."""
+    if isinstance(model, Boosted):
+        return {f: model.importances()[f] for f in features}
     last = model.stages[-1]
     values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
     return {f: float(w) for f, w in zip(features, values.toArray())}
@@ -108,6 +118,10 @@ def score(df: DataFrame, bundle: Bundle) -> DataFrame:
     rows = bundle.recipe.apply(rows) if bundle.recipe else rows
     rows = bundle.cleaner.apply(rows) if bundle.cleaner is not None else rows
     # filled again here, as the reasons need the values that the model saw
-    scored = predict(bundle.model, rows.select("_raw", *[col(f) for f in bundle.features if f in rows.columns]), bundle.features)
+    rows = rows.select("_raw", *[col(f) for f in bundle.features if f in rows.columns])
+    if isinstance(bundle.model, Boosted):
+        scored = bundle.model.transform(fill_missing_features(rows, bundle.features))
+    else:
+        scored = predict(bundle.model, rows, bundle.features)
     made = score_table(scored, F.col("p"), reason_weights(bundle.model, bundle.features), bundle.threshold, bundle.version, bundle.high, bundle.medium)
     return made.select("_raw.*", "probability", "prediction", "risk_tier", "top_reasons", "model_version", "scored_at")

@@ -125,3 +125,32 @@ def test_nothing_to_learn(spark, rows):
     np.testing.assert_array_equal(clash.trees["feature"], plain.trees["feature"])
     with pytest.raises(ValueError):
         boosting.fit_boosted(rows, FEATURES, "three")
+
+
+@pytest.mark.parametrize("kind,label", [("binary", "two"), ("multiclass", "three"), ("regression", "value")])
+def test_a_saved_model_scores_as_before(spark, rows, tmp_path, kind, label):
+    model = boosting.fit_boosted(rows, FEATURES, label, kind, rounds=3, depth=3, rate=0.3)
+    path = str(tmp_path / "model")
+    boosting.fit_boosted(rows.limit(0), FEATURES, label, kind, rounds=1).save(spark, path)
+    empty = boosting.load_boosted(spark, path)
+    assert len(empty.roots) == 0 and set(empty.importances().values()) == {0.0} and empty.transform(rows).count() == 403
+    model.save(spark, path)  # in place of the other
+    again = boosting.load_boosted(spark, path)
+    assert (again.kind, again.features, again.classes) == (model.kind, model.features, model.classes)
+    for name, values in model.trees.items():
+        np.testing.assert_array_equal(again.trees[name], values)
+        assert again.trees[name].dtype == values.dtype
+    x = np.random.RandomState(1).normal(size=(50, 3)) * 5
+    np.testing.assert_array_equal(again.margins(x), model.margins(x))
+
+
+def test_importance_is_the_share_of_the_gain(rows):
+    more = rows.withColumn("noise", F.lit(1.0))
+    model = boosting.fit_boosted(more, [*FEATURES, "noise", "absent"], "two", rounds=4, depth=3, rate=0.3)
+    shares = model.importances()
+    inner = model.trees["feature"] >= 0
+    assert (model.trees["gain"][inner] > 0).all() and not model.trees["gain"][~inner].any()
+    assert sum(shares.values()) == pytest.approx(1.0) and shares["noise"] == shares["absent"] == 0.0
+    assert min(shares["a"], shares["b"]) > shares["c"]  # the label is made of a and b
+    want = model.trees["gain"][model.trees["feature"] == 1].sum() / model.trees["gain"].sum()
+    assert shares["b"] == pytest.approx(want)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabwright.operators import attribution, choose, metrics, models
+from tabwright.operators import attribution, boosting, choose, metrics, models
 from tabwright.operators.drift import fit_snapshot
 from tabwright.operators.splits import folds, split
 from tabwright.plans import workflow
@@ -165,6 +165,15 @@ def test_a_bundle_makes_and_cleans_its_features(spark, tmp_path):
         got = sinks.score(raw, sinks.load_bundle(spark, path)).select("id", "probability", "top_reasons")
         own = models.predict(model, ready, names).select("id", F.round("p", 4).alias("p"))
         assert got.join(own, "id").filter("probability = p and size(top_reasons) = 3").count() == 400
+    model = boosting.fit_boosted(ready, names, "y", rounds=3, depth=3)
+    path = str(tmp_path / "boosted")
+    sinks.save_bundle(sinks.Bundle(model, names, "v2", 0.5, 0.7, 0.4, fit_snapshot(ready, names), recipe, cleaner), path, spark)
+    got = sinks.score(raw, sinks.load_bundle(spark, path)).select("id", "probability", "top_reasons")
+    own = model.transform(ready).select("id", F.round("p", 4).alias("p"))
+    assert got.join(own, "id").filter("probability = p and size(top_reasons) = 3").count() == 400
+    with pytest.raises(ValueError):
+        values = boosting.fit_boosted(ready, names[1:], names[0], "regression", rounds=1, depth=1)
+        sinks.save_bundle(sinks.Bundle(values, names[1:], "v2", 0.5, 0.7, 0.4, fit_snapshot(ready, names)), path, spark)
 
 
 def test_run_stops_when_cleaning_eats_the_rows(spark):

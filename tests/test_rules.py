@@ -198,3 +198,23 @@ def test_empty_table(spark):
     assert one(quality.check_nonempty(df))["passed"] is False
     assert quality.profile(df).count() == 2
     assert quality.integrity_report(df).filter("check = 'Overall'").first()["passed"] is False
+
+
+def test_column_sets_of_repeated_null_and_no_names(spark):
+    from tabwright.operators import joins
+    df = spark.createDataFrame([(1, 2, 3)], "a int, B int, `x.y` int")
+    wanted = spark.createDataFrame([("a",), ("a",), ("b",), ("x.y",), (None,)], "feature string")
+    got = {tuple(r) for r in joins.column_sets(df, wanted).collect()}
+    assert got == {("a", "both"), ("B", "extra"), ("b", "missing"), ("x.y", "both")} and joins.column_sets(df, wanted).count() == 4
+    assert {r["place"] for r in joins.column_sets(df, wanted.limit(0)).collect()} == {"extra"}
+    assert {tuple(r) for r in joins.column_sets(df.select(), wanted.filter("feature = 'b'")).collect()} == {("b", "missing")}
+
+
+def test_explained_sample_measures_against_all_rows(spark):
+    from tabwright.operators import scoring
+    df = spark.range(1000).select("id", (F.col("id") * 1.0).alias("v"), F.lit(2.0).alias("w"))
+    got = scoring.explain_sample(df, {"v": 2.0, "w": 5.0}, ["id"], n=7)
+    rows = got.collect()
+    assert len(rows) == 7 and {r["id"] for r in rows} == {r["id"] for r in scoring.explain_sample(df.repartition(5), {"v": 2.0, "w": 5.0}, ["id"], n=7).collect()}
+    assert all(r["reasons"][0]["feature"] == "v" and abs(r["reasons"][0]["contribution"] - 2.0 * (r["id"] - 499.5)) < 1e-9 for r in rows)
+    assert scoring.explain_sample(df, {"v": 2.0}, ["id"], n=5000).count() == 1000
