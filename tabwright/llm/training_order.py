@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import ROWS, load
-from tabwright.llm.common import slices, written
+from tabwright.llm.common import let_go, slices, written
 from tabwright.llm.packing import END, id_type
 from tabwright.session import scratch_path
 
@@ -181,6 +181,8 @@ def write_in_order(df: DataFrame, path: str, tokenizer: str, key: int = 1, lengt
         return pd.Series(slot_of(number.to_numpy(), order.sequences, key))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load.cache_clear()  # this worker may have encoded before; records need no vocabulary
+        let_go()
         for b in slices(batches, ROWS):
             records = []
             for number, doc, start, n, packed in zip(*[c.to_pylist() for c in b.columns[2:]]):
@@ -188,6 +190,7 @@ def write_in_order(df: DataFrame, path: str, tokenizer: str, key: int = 1, lengt
                 head = struct.pack(HEADER, number, NO_DOC if doc is None else doc, start, n, zlib.crc32(own.astype("<u4").tobytes()))
                 records.append((head + own.tobytes()).ljust(order.stride - 1, b"\0"))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(records, pa.binary())], ["shard", "slot", "record"])
+        let_go()
 
     if order.sequences:
         shards = -(-order.sequences // per_shard)
@@ -233,6 +236,7 @@ def read_in_order(spark: SparkSession, path: str, start: int = 0, end: int | Non
                 kinds = [pa.int64()] * 7 + [pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, kinds)],
                                                  ["slot", "shard", "byte", "sequence_id", "doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+        let_go()
 
     return files.mapInArrow(work, schema)
 
