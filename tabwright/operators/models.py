@@ -20,6 +20,7 @@ from ..functions.scalar import HASH_SPACE, col
 from ..session import cut_lineage
 from .aggregates import modes
 from .choose import cv_summary
+from .forest import Cells, collapse, fit_forest
 from .metrics import multiclass_metrics, ranking_metrics, regression_errors, roc_auc
 from .scoring import fill_missing_features
 from .splits import folds, key_hash, nested_subset, with_weights
@@ -29,6 +30,7 @@ ROWS_PER_PARTITION = 1_000_000
 WORTH_A_TASK = 2_000
 CLASSIFIERS = {"logistic", "random_forest", "boosted_trees", "linear_svc", "boosted_multiclass", "multinomial"}
 MULTICLASS = {"boosted_multiclass", "multinomial"}
+FORESTS = {"random_forest", "random_forest_regressor"}
 
 
 @dataclass
@@ -134,8 +136,15 @@ def ready(df: DataFrame, algorithm: str, features: Sequence[str], label: str, ke
     return spread(rows.select("features", "label", *(["weight"] if weighted else []), *[c for c in keep if c not in ("features", "label", "weight")]))
 
 
-def fit_ready(rows: DataFrame, algorithm: str, params: Mapping | None = None):
+def forest_cells(rows: DataFrame, algorithm: str, params: Mapping | None = None) -> Cells | None:
+    """Cells that forests on the same `ready` rows can share; none for other algorithms."""
+    return collapse(rows, is_classifier(algorithm), int((params or {}).get("maxBins", 32))) if algorithm in FORESTS else None
+
+
+def fit_ready(rows: DataFrame, algorithm: str, params: Mapping | None = None, cells: Cells | None = None):
     """Fit on rows that are `ready` and kept; balanced weights add up to about the row count."""
+    if algorithm in FORESTS:
+        return fit_forest(make_estimator(algorithm, 0, params), cells or forest_cells(rows, algorithm, params), rows)
     n, spread_y = rows.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
     return make_estimator(algorithm, n, params, spread_y or 1.0).fit(rows)
 
@@ -255,10 +264,11 @@ def random_search(df: DataFrame, algorithm: str, features: Sequence[str], label:
     rows = ready(df, algorithm, features, label, ["split"]).persist()
     try:
         train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
+        cells = None if "maxBins" in space else forest_cells(train, algorithm)
         results, best = [], None
         for i in range(trials):
             params = {k: r.draw(rng) for k, r in space.items()}
-            model = fit_ready(train, algorithm, params)
+            model = fit_ready(train, algorithm, params, cells)
             value = float(judge(model.transform(val), algorithm))
             results.append((i, value, str(sorted(params.items()))))
             if best is None or value > best[0]:
@@ -372,11 +382,16 @@ def score_stability(df: DataFrame, algorithm: str, features: Sequence[str], labe
 
 
 def importance_runs(df: DataFrame, features: Sequence[str], label: str, runs: int = 10, trees: int = 100, depth: int = 8) -> DataFrame:
-    """Rows (run, feature, importance) of forests that differ only in their seed."""
-    tables = [
-        rf_importance(df, features, label, trees, depth, seed=1000 + r).withColumn("run", F.lit(r)).select("run", "feature", "importance")
-        for r in range(runs)]
-    return reduce(DataFrame.unionByName, tables)
+    """Rows (run, feature, importance) of forests that differ only in their seed, on rows prepared once."""
+    rows = ready(df, "random_forest", features, label).persist()
+    try:
+        cells, found = forest_cells(rows, "random_forest"), []
+        for r in range(runs):
+            model = fit_ready(rows, "random_forest", {"n_estimators": trees, "max_depth": depth, "seed": 1000 + r}, cells)
+            found += [(r, f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame(found, "run int, feature string, importance double")
 
 
 def boosting_curve(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
