@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,7 @@ from ..session import cut_lineage
 EXPRESSIONS_PER_PASS = 100
 EXACT_ROWS = 50_000
 SKETCH_ACCURACY = 10_000
+FINEST_SKETCH = 200_000
 
 
 def wide_agg(df: DataFrame, exprs: Mapping[str, Column]) -> dict:
@@ -54,8 +57,8 @@ class _Slot:
     are not above it.
     """
 
-    def __init__(self, column, prob, n, x):
-        self.column, self.prob, self.n, self.x = column, prob, n, x
+    def __init__(self, column, prob, n, name):
+        self.column, self.prob, self.n, self.name, self.x = column, prob, n, name, F.col(name)
         self.rank = (n - 1) * prob
         self.lo, self.below_lo, self.upto_lo = None, 0, 0
         self.hi, self.below_hi, self.upto_hi = None, n, n
@@ -66,27 +69,15 @@ class _Slot:
     def between(self) -> int:
         return self.below_hi - self.upto_lo
 
-    @property
-    def inside(self) -> int:
-        return self.upto_hi - self.below_lo
-
     def strictly_inside(self) -> Column:
         above = F.lit(True) if self.lo is None else self.x > F.lit(self.lo)
         under = F.lit(True) if self.hi is None else self.x < F.lit(self.hi)
         return F.when(above & under, self.x)
 
-    def within(self) -> Column:
-        above = F.lit(True) if self.lo is None else self.x >= F.lit(self.lo)
-        under = F.lit(True) if self.hi is None else self.x <= F.lit(self.hi)
-        return F.when(above & under, self.x)
-
     def sketch_probs(self) -> list[float]:
         at = (self.rank - self.upto_lo) / max(self.between - 1, 1)
         return [min(max(at - self.margin, 0.0), 1.0), min(max(at + self.margin, 0.0), 1.0)]
 
-    def final_prob(self) -> float:
-        return min(max((self.rank - self.below_lo) / max(self.inside - 1, 1), 0.0), 1.0)
-
     def take(self, a: float, b: float, c: dict) -> None:
         """Move the ends to a and b where the exact ranks show that nothing wanted is cut off."""
         moved = False
@@ -115,6 +106,67 @@ def _agg_slots(df, slots, make) -> list[dict]:
     return out
 
 
+def _ranks(df: DataFrame, slots: Sequence[_Slot], ends: dict) -> list[dict]:
+    """How many values lie below and up to the proposed ends of each slot: one scan, each value sought among all ends."""
+    points: dict[str, np.ndarray] = {}
+    for s in slots:
+        points[s.name] = np.union1d(points.get(s.name, []), np.array(ends[id(s)], float))
+    names = list(points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((2, len(points[n]) + 1), np.int64) for n in names]
+        for b in batches:
+            for i, n in enumerate(names):
+                v = b.column(i).drop_null().to_numpy(zero_copy_only=False)
+                for row, side in enumerate(("right", "left")):
+                    total[i][row] += np.bincount(np.searchsorted(points[n], v, side), minlength=len(points[n]) + 1)
+        for i, n in enumerate(names):
+            below, upto = total[i].cumsum(axis=1)[:, :-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(below), i, np.int32)), pa.array(np.arange(len(below), dtype=np.int32)), pa.array(below), pa.array(upto)],
+                                             ["column", "place", "below", "upto"])
+
+    parts = df.select(*names).mapInArrow(run, "column int, place int, below long, upto long")
+    found = {(r["column"], r["place"]): (r["below"], r["upto"]) for r in parts.groupBy("column", "place").agg(F.sum("below").alias("below"), F.sum("upto").alias("upto")).collect()}
+
+    def at(s: _Slot, value: float) -> tuple[int, int]:
+        return found[names.index(s.name), int(np.searchsorted(points[s.name], value))]
+
+    out = []
+    for s in slots:
+        (below_a, upto_a), (below_b, upto_b) = [at(s, v) for v in ends[id(s)]]
+        out.append({"below_a": below_a, "upto_a": upto_a, "below_b": below_b, "upto_b": upto_b})
+    return out
+
+
+def _picked(df: DataFrame, slots: Sequence[_Slot]) -> list[float]:
+    """The quantile of each slot from the values within its ends, ranked in one scan and one short window per slot."""
+    names = sorted({s.name for s in slots})
+    wanted = [(names.index(s.name), -np.inf if s.lo is None else s.lo, np.inf if s.hi is None else s.hi) for s in slots]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.unique(b.column(i).drop_null().to_numpy(zero_copy_only=False), return_counts=True) for i in range(len(names))]
+            cut = [(np.searchsorted(each[i][0], lo, "left"), np.searchsorted(each[i][0], hi, "right")) for i, lo, hi in wanted]
+            sizes = [max(int(z - a), 0) for a, z in cut]
+            if any(sizes):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.arange(len(wanted), dtype=np.int32), sizes)), *[
+                        pa.array(np.concatenate([each[i][k][a:z] for (i, _, _), (a, z) in zip(wanted, cut) if z > a])) for k in (0, 1)]],
+                    ["slot", "value", "n"])
+
+    counts = df.select(*names).mapInArrow(run, "slot int, value double, n long").groupBy("slot", "value").agg(F.sum("n").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("slot").orderBy("value")))
+    ranks = df.sparkSession.createDataFrame([(i, math.floor(s.rank) - s.below_lo, math.ceil(s.rank) - s.below_lo) for i, s in enumerate(slots)], "slot int, low long, high long")
+    on = lambda r: (F.col(r) >= F.col("upto") - F.col("n")) & (F.col(r) < F.col("upto"))
+    hit = upto.join(F.broadcast(ranks), "slot").groupBy("slot").agg(F.max(F.when(on("low"), F.col("value"))).alias("low"), F.max(F.when(on("high"), F.col("value"))).alias("high"))
+    found = {r["slot"]: (r["low"], r["high"]) for r in hit.collect()}
+    out = []
+    for i, s in enumerate(slots):
+        low, high = found[i]
+        out.append(low if low == high else (math.ceil(s.rank) - s.rank) * low + (s.rank - math.floor(s.rank)) * high)
+    return out
+
+
 def _narrow(df: DataFrame, slots: list[_Slot], ends: dict, exact_rows: int, accuracy: int) -> None:
     """Shrink each slot's interval until few values lie strictly inside it.
 
@@ -133,12 +185,7 @@ def _narrow(df: DataFrame, slots: list[_Slot], ends: dict, exact_rows: int, accu
             })
             ends = {id(s): p["q"] for s, p in zip(wide, proposals)}
 
-        def ranks(s: _Slot) -> dict:
-            a, b = (F.lit(v) for v in ends[id(s)])
-            count = lambda test: F.count(F.when(test, 1))
-            return {"below_a": count(s.x < a), "upto_a": count(s.x <= a), "below_b": count(s.x < b), "upto_b": count(s.x <= b)}
-
-        for s, c in zip(wide, _agg_slots(df, wide, ranks)):
+        for s, c in zip(wide, _ranks(df, wide, ends)):
             s.take(*ends[id(s)], c)
         ends = {}
 
@@ -196,14 +243,16 @@ def quantiles(
 
 def _column_quantiles(rows: DataFrame, cols: Sequence[str], x: Sequence[str], sizes: Sequence[int], probs: Sequence[float], exact_rows: int, accuracy: int) -> list[tuple]:
     """(column, prob, value) of whole columns by enclosure; one slot per column and probability."""
+    # a finer sketch of more rows, so that its proposals mostly hold few enough values at once
+    accuracy = max(accuracy, min(8 * max(sizes) // exact_rows, FINEST_SKETCH))
     around = [min(max(p + side * 2.0 / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)]
     first = rows.agg(*[F.percentile_approx(v, around, accuracy).alias(f"_a{i}") for i, v in enumerate(x)]).first()
-    slots = [_Slot(c, p, n, F.col(v)) for c, v, n in zip(cols, x, sizes) for p in probs]
+    slots = [_Slot(c, p, n, v) for c, v, n in zip(cols, x, sizes) for p in probs]
     ends = {id(s): first[f"_a{i // len(probs)}"][2 * (i % len(probs)):][:2] for i, s in enumerate(slots) if s.n}
     known = [s for s in slots if s.n]
     _narrow(rows, known, ends, exact_rows, accuracy)
-    for s, v in zip(known, _agg_slots(rows, known, lambda s: {"v": F.percentile(s.within(), s.final_prob())})):
-        s.value = v["v"]
+    for s, v in zip(known, _picked(rows, known) if known else []):
+        s.value = v
     return [(s.column, s.prob, s.value) for s in slots]
 
 

@@ -31,6 +31,15 @@ def test_narrowed_quantiles_equal_numpy(spark, hot_values):
     np.testing.assert_allclose(found, np.quantile(hot_values, probs), rtol=1e-9)
 
 
+def test_many_quantiles_take_no_aggregate_each(spark, hot_values, monkeypatch):
+    monkeypatch.setattr(agg, "_agg_slots", None)  # per row and quantile several conditions
+    probs = [(i + 0.5) / 200 for i in range(200)]
+    df = frame(spark, hot_values).withColumn("y", -F.col("x")).union(spark.createDataFrame([(None, float("nan"))], "x double, y double"))
+    found = agg.quantile_values(df, ["x", "y"], probs, exact_rows=200, accuracy=5000)
+    for name, values in (("x", hot_values), ("y", -hot_values)):
+        np.testing.assert_allclose(found[name], np.quantile(values, probs), rtol=1e-9)
+
+
 def test_narrowed_quantiles_by_group(spark, hot_values):
     rows = [(i % 3 if i % 3 else None, float(v)) for i, v in enumerate(hot_values)]
     df = spark.createDataFrame(rows, "g int, x double")
