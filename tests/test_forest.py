@@ -93,3 +93,16 @@ def test_runs_share_cells(spark, monkeypatch):
     df = rows(spark).select(F.col("weight").alias("a"), (F.col("weight") * F.rand(1)).alias("b"), F.col("label").cast("int").alias("y"))
     found = models.importance_runs(df, ["a", "b"], "y", runs=3, trees=8, depth=3)
     assert found.count() == 6 and len(made) == 1 and found.groupBy("run").agg(F.sum("importance").alias("s")).filter("abs(s - 1) > 1e-9").count() == 0
+
+
+def test_trials_share_cells(spark, monkeypatch):
+    made = []
+    real = forest.collapse
+    monkeypatch.setattr(models, "collapse", lambda *a: made.append(1) or real(*a))
+    df = rows(spark).select(F.rand(1).alias("a"), (F.col("label") + F.rand(2)).alias("b"), F.col("label").cast("int").alias("y"))
+    df = df.withColumn("split", F.when(F.col("a") < 0.7, "train").otherwise("val")).persist()
+    space = {"n_estimators": models.Range(3, 9, "int"), "max_depth": models.Range(2, 6, "int"), "minInstancesPerNode": models.Range(2, 9, "int")}
+    best, params, trials = models.random_search(df, "random_forest", ["a", "b"], "y", trials=3, space=space)
+    assert trials.count() == 3 and len(made) == 1
+    assert best.stages[-1].getNumTrees == params["n_estimators"] and trials.agg(F.max("value")).first()[0] > 0.9
+    df.unpersist()
