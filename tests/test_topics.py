@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import LDA
 from pyspark.sql import functions as F
 
 from tabwright.operators import semi, topics
@@ -65,3 +66,49 @@ def test_nothing_sure_ends_it(spark):
     df = views(spark, 60)
     _, handed = semi.co_train(df.filter("id < 12"), df.filter("id >= 12").drop("y"), "logistic", (["a"], ["b"]), "y", ["id"], confidence=1.1)
     assert handed.count() == 0 and handed.columns == ["id", "y", "view", "round"]
+
+
+def test_inference_and_fit_follow_sparks(spark):
+    """The same draws weigh the same; shares of one model differ by no more than where an inference may stop."""
+    rows, _ = texts()
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    model = topics.fit_topics(df, "text", k=3, rounds=5)
+    counts = model.counts(df.select("text")).select(F.col("_counts").alias("features"))
+    plain = LDA(k=3, maxIter=5, seed=topics.SEED, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, optimizeDocConcentration=False)
+    theirs = plain.fit(counts)
+    assert model.log_likelihood(df) == pytest.approx(float(theirs.logLikelihood(counts)), rel=0.1) and model.model.getMaxIter() == 5
+    assert model.model.topicsMatrix().toArray().sum() == pytest.approx(theirs.topicsMatrix().toArray().sum(), rel=0.01)
+    by_ours = np.array([r[0] for r in model.shares(df).orderBy("id").select("shares").collect()])
+    scored = model.model.transform(model.counts(df).withColumnRenamed("_counts", "features"))
+    by_theirs = np.array([r[0].toArray() for r in scored.orderBy("id").select("topicDistribution").collect()])
+    by_theirs[by_theirs.sum(axis=1) == 0] = 1 / 3
+    assert np.abs(by_ours - by_theirs).max() < 1e-3
+
+
+def test_inference_ends_where_a_step_changes_nothing():
+    rng = np.random.default_rng(3)
+    beta = np.vstack([topics.expected(rng.gamma(1.0, 1.0, (4, 60))).T, np.zeros(4)])
+    prior, lengths = np.full(4, 0.25), rng.integers(0, 50, 500)
+    lengths[0] = 0
+    words = np.concatenate([rng.choice(60, n, replace=False) for n in lengths]).astype(np.int32)
+    counts, starts = rng.integers(1, 9, len(words)).astype(float), np.cumsum(lengths) - lengths
+    met = []
+    for found, w, weights, ratio in topics.inferred(words, counts, lengths, beta, prior, rng):
+        met += found.tolist()
+        for i, own, last, own_ratio in zip(found, weights, w, ratio):
+            at = slice(starts[i], starts[i] + lengths[i])
+            theta = topics.expected(own)
+            share = counts[at] / (beta[words[at]] @ theta)
+            assert np.abs(own_ratio[:lengths[i]] - share).max() < 1e-9 * share.max() and not own_ratio[lengths[i]:].any() and (last[lengths[i]:] == 60).all()
+            assert np.abs(prior + theta * (beta[words[at]].T @ share) - own).mean() < 2e-3
+    assert sorted(met) == np.flatnonzero(lengths).tolist()
+
+
+def test_drawn_twice_counts_twice(spark):
+    df = spark.createDataFrame([("a b a",), ("b c",), ("",)], "text string")
+    known = topics.Topics(["a", "b", "c"], None, "text").counts(df).select(F.monotonically_increasing_id().alias("id"), F.col("_counts").alias("features"))
+    beta, prior = topics.padded(np.array([[9.0, 1.0, 1.0], [1.0, 1.0, 9.0]])), np.full(2, 0.5)
+    once = topics.gathered(known, beta, prior, 1)
+    twice = topics.gathered(known.withColumn("id", F.explode(F.array("id", "id"))), beta, prior, 1)
+    assert np.allclose(twice, 2 * once, rtol=1e-2) and np.isclose((once * beta[:-1]).sum(), 5.0, rtol=1e-6)
+    assert topics.gathered(known.filter("false"), beta, prior, 1) is None
