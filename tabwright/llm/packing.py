@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.bpe import ROWS, load
+from tabwright.llm.bpe import ROWS, load, portions
 from tabwright.llm.common import buckets_for, running_start, slices, written
 
 WINDOW = 2048
@@ -41,7 +41,7 @@ def tokenized(df: DataFrame, path: str, end: int | None = END, doc_id: str = "do
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         kind, tail = id_type(bpe.size), b"" if end is None else np.array([end], "<u4").tobytes()
-        for b in slices(batches, ROWS):
+        for b in portions(batches):
             ids = [x + tail for x in bpe.encode_batch(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),

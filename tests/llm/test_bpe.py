@@ -1,18 +1,21 @@
 import hashlib
+import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabwright.llm.bpe import Bpe, encode_decode
+from tabwright.llm.bpe import Bpe, encode_decode, portions
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 OWN = Bpe(PATH, cached=500)
+OWN_LARGE = Bpe(PATH)
 HARD = ["", " ", "it's we'll 'S", "á é É", "ΑΣ ΣΑΣ σ", "İstanbul ǅ ß ẞ", "x\x1cy\x1f z\x85w\xa0v", "１２ ½ ² Ⅷ ٣", "日本語テキスト 😀👍🏽", "a" * 3000,
         "ab" * 40 + "cd" * 900, "<|endoftext|>x <|startoftext|> y<|endoftext|><|end|>", "​‍﻿", "é" * 50, "!!!???...---", "̀ x", "!" * 500]
 
@@ -56,3 +59,32 @@ def test_query_rows(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert all(r.ids_sha256 == r.decoded_sha256 == empty for r in got if r.doc_id == 1)
     assert encode_decode(df.limit(0), PATH).count() == 0
+
+
+def test_many_words_take_few_steps():
+    words = sorted({f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}the" for i in range(17_000)})
+    text, calls = " ".join(words), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        got = OWN_LARGE.encode_batch([text])
+    finally:
+        sys.setprofile(None)
+    assert ids(got[0]) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(calls) < len(words) / 2  # words go through in arrays, not one by one
+
+
+def test_columns_are_the_long_words():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoinhrsé߀�"), n)) for n in rng.integers(1, 20, 500).tolist()]
+    got = OWN.encode_words(list(dict.fromkeys(words)))
+    assert all(got[w] == OWN.merge_long(w.encode()).astype("<u4").tobytes() for w in words)
+
+
+def test_portions_and_groups_of_texts():
+    texts = ["a b", None, "", "<|endoftext|>", "c " * 400, "d<|endoftext|><|endoftext|>e f", " ", "g h " * 300, "i"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    cut = list(portions([batch, batch.slice(0, 0)], most=500))
+    assert pa.Table.from_batches(cut).column(1).to_pylist() == texts and len(cut) > 3
+    for held in (1, 5, 500, 10_000):
+        assert [ids(x) for x in Bpe(PATH, cached=held).encode_batch(texts)] == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert OWN.encode_batch([]) == []
