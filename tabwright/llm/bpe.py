@@ -25,13 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.llm.common import let_go
 
 #: longest word in bytes whose ranks are scanned
 SHORT = 64
 #: pieces of texts whose words a Python worker keeps encoded at a time
-CACHED = 1_000_000
+CACHED = 500_000
 #: bytes of text that a Python worker encodes together, so that what it holds stays small whatever the texts are
-PORTION = 4_000_000
+PORTION = 2_000_000
 #: rows of ids handled together
 ROWS = 1_000
 #: words merged together, whose matrices stay in the processor's cache
@@ -57,7 +58,9 @@ def byte_symbols() -> list[str]:
 def runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers first, first + 1, ... of each run, one run after the other."""
     ends = np.cumsum(count)
-    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat(first - ends + count, count)
+    out += np.arange(len(out))
+    return out
 
 
 def portions(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = PORTION) -> Iterator[pa.RecordBatch]:
@@ -314,7 +317,9 @@ class Bpe:
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
     """The vocabulary of a file, read once in each Python worker."""
-    return Bpe(path)
+    bpe = Bpe(path)
+    let_go()  # what building took
+    return bpe
 
 
 def encode_decode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.bpe import ROWS, load
+from tabwright.llm.bpe import load, portions
 from tabwright.llm.common import let_go, slices, written
 from tabwright.llm.packing import END, id_type
 from tabwright.session import scratch_path
@@ -35,6 +35,8 @@ PER_SHARD = 2_048
 #: texts, and characters of each, that tell which ids are common
 SAMPLE, EXCERPT = 300, 2_000
 ROUNDS = 6
+#: records handled together, which keeps batches on both sides of a task's pipe small
+RECORDS = 100
 #: sequence number, first document (NO_DOC for null), its first token here, tokens, CRC-32 of the ids as 32-bit integers
 HEADER = "<qqqII"
 NO_DOC = -(1 << 63)
@@ -149,12 +151,13 @@ def sequences(df: DataFrame, path: str, order: np.ndarray, length: int = LENGTH,
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
                                               ["part", "place", "doc_id", "start", "n", "ids"])
 
-        for b in slices(batches, ROWS):
+        for b in portions(batches):
             for doc, ids in zip(b.column(0).to_pylist(), bpe.encode_batch(b.column(1).to_pylist())):
                 begins.append((doc, base + len(held)))
                 held += np.frombuffer(ids + tail, "<u4").astype(kind).tobytes()
             yield cut(False)
         yield cut(True)
+        let_go()
 
     return written(rows.mapInArrow(work, "part int, place long, doc_id long, start long, n int, ids binary"), "sequences", "none")
 
@@ -183,7 +186,7 @@ def write_in_order(df: DataFrame, path: str, tokenizer: str, key: int = 1, lengt
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load.cache_clear()  # this worker may have encoded before; records need no vocabulary
         let_go()
-        for b in slices(batches, ROWS):
+        for b in slices(batches, RECORDS):
             records = []
             for number, doc, start, n, packed in zip(*[c.to_pylist() for c in b.columns[2:]]):
                 own = restored(packed, n, ids)
@@ -223,9 +226,9 @@ def read_in_order(spark: SparkSession, path: str, start: int = 0, end: int | Non
         for b in slices(batches, 1):
             shard, content = b.column(0)[0].as_py(), memoryview(b.column(1)[0].as_buffer())
             first = shard * order.per_shard
-            for low in range(0, len(content) // order.stride, ROWS):
+            for low in range(0, len(content) // order.stride, RECORDS):
                 out = []
-                for k in range(low, min(low + ROWS, len(content) // order.stride)):
+                for k in range(low, min(low + RECORDS, len(content) // order.stride)):
                     if start <= first + k < end:
                         at = k * order.stride
                         number, doc, begin, n, crc = struct.unpack_from(HEADER, content, at)
