@@ -115,8 +115,7 @@ def m14(spark, sf):
 @query("m15_refit_best")
 def m15(spark, sf):
     df = docs(spark, sf)
-    # four of the thirty trials, drawn from the whole space
-    best, _, _ = models.random_search(df, "random_forest", DOC_FEATURES, "toxic", trials=4)
+    best, _, _ = models.random_search(df, "random_forest", DOC_FEATURES, "toxic")
     return models.predict(best, df, DOC_FEATURES).select("doc_id", "toxic", "split", "p", "pred")
 
 

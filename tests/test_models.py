@@ -254,3 +254,16 @@ def test_bundle_and_forest_regressor_fit_at_the_defaults(spark, sf, monkeypatch)
         with pytest.raises(Seen) as found:
             REGISTRY[name].run(spark, sf)
         assert found.value.args == (algorithm, None)
+
+
+def test_refit_best_makes_all_trials(spark, monkeypatch):
+    from tabwright.plans import model_queries
+    rows = [(i, i % 7, i % 5, i % 3, i % 2, ("train", "val", "test")[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, n_chars long, n_spaces long, n_lines long, toxic int, split string")
+    drawn, model = [], models.fit(df, "logistic", model_queries.DOC_FEATURES, "toxic").stages[-1]
+    monkeypatch.setattr(model_queries, "docs", lambda *a: df)
+    monkeypatch.setattr(models, "forest_cells", lambda *a: None)
+    monkeypatch.setattr(models, "judge", lambda *a: 0.5)
+    monkeypatch.setattr(models, "fit_ready", lambda rows, algorithm, params, cells: drawn.append(params) or model)
+    assert model_queries.m15(spark, None).count() == 60
+    assert len(drawn) == models.TRIALS["random_forest"] and all(set(p) == set(models.SEARCH_SPACES["random_forest"]) for p in drawn)
