@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import let_go, slices, written
+from tabwright.llm.common import by_rows, let_go, slices, written
 from tabwright.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -143,11 +143,11 @@ def likely_pairs(reps: DataFrame, depth: int, before: int | None, threshold: flo
         "rep", "tree", F.xxhash64("tree", F.expr(f"substring(keys, tree * {full} + 1, {depth})")).alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    members = (dealt.join(shared, "bucket").withColumn("blocks", blocks)
+    members = (dealt.join(by_rows(shared), "bucket").withColumn("blocks", blocks)
                .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
                .select("rep", "tree", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
                .select("rep", "tree", "bucket", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
-    rows = (members.join(reps.select("rep", "keys"), "rep").select("bucket", "low", "high", "tree", "own", "rep", "keys")
+    rows = (members.join(by_rows(reps.select("rep", "keys")), "rep").select("bucket", "low", "high", "tree", "own", "rep", "keys")
             .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,19 +221,19 @@ def verified(rows: DataFrame, clusters: DataFrame, n: int, threshold: float, blo
     ``rows`` has row and text, ``clusters`` has rep (a row), grams (how many), copies and label. A block holds at most
     ``block`` texts, and fewer where a component's texts are long: about ``cells`` n-grams.
     """
-    clusters = written(clusters, "clusters")
+    size = clusters.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("grams") / cells)).cast("int").alias("blocks"))
+    clusters = written(clusters.join(by_rows(size), "label").select("rep", "copies", "label", "blocks"), "clusters")
     side = F.broadcast(clusters) if clusters.count() <= SMALL else clusters.hint("shuffle_hash")
-    found = rows.select("row", "text").join(side, F.col("row") == F.col("rep")).select("rep", "copies", "label", "text")
+    found = rows.select("row", "text").join(side, F.col("row") == F.col("rep")).select("rep", "copies", "label", "blocks", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            grams = pa.array([shingles(t, n)[1].tobytes() for t in b.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), grams], ["rep", "copies", "label", "grams"])
+            grams = pa.array([shingles(t, n)[1].tobytes() for t in b.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], grams], ["rep", "copies", "label", "blocks", "grams"])
         let_go()
 
-    made = found.mapInArrow(sets, "rep long, copies long, label long, grams binary")
-    size = clusters.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("grams") / cells)).cast("int").alias("blocks"))
-    rows = (made.join(size, "label")
+    made = found.mapInArrow(sets, "rep long, copies long, label long, blocks int, grams binary")
+    rows = (made
             .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "copies", "grams")
@@ -308,19 +308,19 @@ def classes(texts: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, tree
     reps = written(rows.groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
                                               F.first("keys").alias("keys"), F.max("grams").alias("grams")), "texts")
     edges = candidate_edges(reps.where("grams > 0"), threshold, trees, depth, block, recall, slack)
-    clusters = components(edges).join(reps, F.col("node") == F.col("rep")).select("rep", "grams", "copies", "label")
+    clusters = components(edges).join(by_rows(reps), F.col("node") == F.col("rep")).select("rep", "grams", "copies", "label")
     found = verified(texts, clusters, n, threshold, exact_block)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("edge").alias("b")))
-    texts = (reps.select("digest", "rep", "doc_id", "copies").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    texts = (reps.select("digest", "rep", "doc_id", "copies").join(by_rows(links), "rep", "left").join(by_rows(joined.withColumnRenamed("node", "rep")), "rep", "left")
              .select("digest", "rep", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "rep").alias("label")))
     texts = written(texts, "classes")
     whole = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"),
                                        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rep"))).alias("least"))
-    info = texts.join(whole, "label").select("digest", "copies", "links", "class_id", "class_size", (F.col("rep") == F.col("least.rep")).alias("stays"))
-    own = rows.select("digest", "row", "doc_id").join(info, "digest")
+    info = texts.join(by_rows(whole), "label").select("digest", "copies", "links", "class_id", "class_size", (F.col("rep") == F.col("least.rep")).alias("stays"))
+    own = rows.select("digest", "row", "doc_id").join(by_rows(info), "digest")
     first = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("f")).select("digest", F.col("f.row").alias("first_row"))
-    return own.join(first, "digest").select(
+    return own.join(by_rows(first), "digest").select(
         "row", "doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size", F.col("copies").alias("n_copies"),
         (F.col("stays") & (F.col("row") == F.col("first_row"))).alias("kept"))
 

@@ -158,3 +158,25 @@ def test_blocks_of_long_texts_hold_few(spark):
     finally:
         ngram_join.verified = plain
     assert {(r.class_id, r.n_links, r.class_size) for r in got} == {(0, 29, 30)}
+
+
+def test_nothing_that_grows_with_the_rows_is_broadcast(spark, monkeypatch):
+    """Spark's own limit is far above these tables, so any side left to its guess would be broadcast."""
+    from tabwright.llm import components as parts
+    from tabwright.llm import ngram_join
+    plans, plain = [], ngram_join.written
+
+    def seen(df, *a):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *a)
+
+    monkeypatch.setattr(ngram_join, "written", seen)
+    monkeypatch.setattr(parts, "written", seen)
+    monkeypatch.setattr(ngram_join, "SMALL", 0)
+    monkeypatch.setattr(ngram_join, "KEPT", 0)
+    rows = list(enumerate(near_copies(7, 20) + near_copies(8, 5)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = drop_near_duplicates(df)
+    plans += [d._jdf.queryExecution().executedPlan().toString() for d in (kept, near_duplicates(df))]
+    assert kept.count() == sum(doc == least for doc, least, _ in brute(rows))
+    assert sum("Join" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
