@@ -25,9 +25,13 @@ from .models import SEED
 #: most words of the vocabulary; share of the rows that a word may stand in; rows that it must stand in
 WORDS, MOST_SHARE, LEAST_ROWS = 5_000, 0.5, 2
 #: words of texts, with padding, that go through the inference as one array
-HELD = 1 << 16
+HELD = 1 << 15
 #: shape of the first guesses, and the mean change of a text's topics that ends its inference, as in Spark's fit
 SHAPE, CHANGE = 100.0, 1e-3
+#: reach of a leap where the steps still grow
+GROWS = 8.0
+#: words of a text up to which, and the least prior from which, single precision tells a step's change
+SINGLE_COUNT, SINGLE_PRIOR = 10_000, 0.05
 
 
 def words_of(text: str) -> Column:
@@ -51,6 +55,14 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return np.log(y) - 0.5 / y - series - (2.0 * x + 5.0) * (1.0 / u + 1.0 / (u + 4.0) + 1.0 / (u + 6.0))
 
 
+def grown(x: np.ndarray) -> np.ndarray:
+    """exp(digamma) of positive numbers, to about eight digits: as `digamma`, with its six steps as one fraction and a shorter series."""
+    u, y = x * (x + 5.0), x + 6.0
+    z = 1.0 / (y * y)
+    steps = (2.0 * x + 5.0) * ((3.0 * u + 20.0) * u + 24.0) / (u * (u + 4.0) * (u + 6.0))
+    return y * np.exp(z * (z * (1 / 120 - z * (1 / 252)) - 1 / 12) - 0.5 / y - steps)
+
+
 def expected(weights: np.ndarray) -> np.ndarray:
     """exp(E[log p]) of Dirichlet weights along the last axis."""
     return np.exp(digamma(weights) - digamma(weights.sum(axis=-1, keepdims=True)))
@@ -67,72 +79,90 @@ def inferred(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray, beta: n
     """(texts, their words, topic weights, counts over expected counts) of all texts with words, each until a step changes no more.
 
     ``beta`` has a row per word, and one of zeros for padding. Texts of like length go together. Those that take longer than
-    most beside them are put off and go together later, so that few never keep an array busy.
+    most beside them are put off and go together later, so that few never keep an array busy. Steps are made in single
+    precision where the counts and the prior allow it, with the rows of ``beta`` scaled, which changes no step; the expected
+    counts of the weights found are made in double precision.
     """
     starts, none = np.cumsum(lengths) - lengths, len(beta) - 1
     weights = rng.gamma(SHAPE, 1.0 / SHAPE, (len(lengths), len(prior)))
-    todo = np.argsort(lengths, kind="stable")
-    todo = todo[lengths[todo] > 0]
-    while len(todo):
-        at, late = 0, []
-        while at < len(todo):
-            most = lengths[todo[at:]]
-            n = max(1, int(np.searchsorted(most * np.arange(1, len(most) + 1), HELD, "right")))
-            texts = todo[at:at + n]
-            column = np.arange(lengths[texts[-1]])
-            inside = column < lengths[texts, None]
-            place = np.where(inside, starts[texts, None] + column, 0)
-            w, c = np.where(inside, words[place], none), np.where(inside, counts[place], 0.0)
-            ended, weights[texts], ratio = settled(beta[w], c, weights[texts], prior, 0 if n == len(todo) else n // 4)
-            yield texts[ended], w[ended], weights[texts[ended]], ratio[ended]
-            late.append(texts[~ended])
-            at += n
-        todo = np.concatenate(late)
-
-
-def settled(given: np.ndarray, counts: np.ndarray, weights: np.ndarray, prior: np.ndarray, leave: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ended, weights, ratio) of texts once at most ``leave`` of them still change.
+    most = beta.max(axis=1, keepdims=True)
+    scaled = beta / np.where(most > 0.0, most, 1.0)
+    single = scaled.astype(np.float32)
+    total = np.add.reduceat(np.append(counts, 0.0), starts) if len(lengths) else counts  # of a text without words the next one's
+    exact = (total > SINGLE_COUNT) | (prior.min() < SINGLE_PRIOR)
+    kinds = [np.flatnonzero((lengths > 0) & (exact if double else ~exact)) for double in (False, True)]
+    for table, todo in zip((single, scaled), kinds):
+        todo = todo[np.argsort(lengths[todo], kind="stable")]
+        while len(todo):
+            at, late = 0, []
+            while at < len(todo):
+                sizes = lengths[todo[at:]]
+                n = max(1, int(np.searchsorted(sizes * np.arange(1, len(sizes) + 1), HELD, "right")))
+                texts = todo[at:at + n]
+                column = np.arange(lengths[texts[-1]])
+                inside = column < lengths[texts, None]
+                place = np.where(inside, starts[texts, None] + column, 0)
+                w, c = np.where(inside, words[place], none), np.where(inside, counts[place], 0.0)
+                given = np.ascontiguousarray(table[w].transpose(0, 2, 1))
+                ended, found = settled(given, c.astype(table.dtype), weights[texts].astype(table.dtype), prior.astype(table.dtype), 0 if n == len(todo) else n // 4)
+                weights[texts] = found
+                texts, w, c = texts[ended], w[ended], c[ended]
+                yield texts, w, weights[texts], c / (np.matmul(beta[w], expected(weights[texts])[:, :, None])[:, :, 0] + 1e-100)
+                late.append(todo[at:at + n][~ended])
+                at += n
+            todo = np.concatenate(late)
+
+
+def settled(given: np.ndarray, counts: np.ndarray, weights: np.ndarray, prior: np.ndarray, leave: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ended, weights) of texts once at most ``leave`` of them still change; ``given`` has a row per topic and text.
 
     The plain step creeps towards its end along few directions, so after every two steps a text goes on from where they lead
     (Varadhan and Roland's squared extrapolation). There it must change less than in the step before, else it goes back.
+    Where steps still grow, as on the way from topics that are all alike, it goes on by `GROWS` at most and may change more.
     What ends a text is always a plain step.
     """
     n, limit = len(given), CHANGE * len(prior)
-    out, ratio, ended = weights.copy(), np.empty(counts.shape), np.zeros(n, bool)
+    out, ended = weights.copy(), np.zeros(n, bool)
+    most = counts.sum(axis=1, keepdims=True) + prior.sum()  # what the weights of a text add up to after a step
 
     def step(at):
-        theta = expected(at)
-        return prior + theta * np.matmul((counts / (np.matmul(given, theta[:, :, None])[:, :, 0] + 1e-100))[:, None, :], given)[:, 0]
+        theta = grown(at)  # a factor common to all topics of a text makes no difference
+        theta /= theta.max(axis=1, keepdims=True)
+        share = np.matmul(theta[:, None, :], given)
+        share += 1e-30
+        np.divide(counts[:, None, :], share, out=share)
+        return prior + theta * np.matmul(given, share.transpose(0, 2, 1))[:, :, 0]
 
     own, going, safe, least = np.arange(n), np.ones(n, bool), weights, np.full(n, np.inf)
     while True:
         one = step(weights)
         first = one - weights
         change = np.abs(first).sum(axis=1)
-        back = going & (change > least)
+        back = going & ~(change <= least)
         if back.any():
             one[back] = safe[back]
         ends = going & ~back & (change <= limit)
         if ends.any():
             out[own[ends]], ended[own[ends]] = one[ends], True
-            ratio[own[ends]] = counts[ends] / (np.matmul(given[ends], expected(one[ends])[:, :, None])[:, :, 0] + 1e-100)
             going &= ~ends
             left = np.count_nonzero(going)
             if left <= leave:
                 out[own[going]] = one[going]
-                return ended, out, ratio
+                return ended, out
             if left <= 0.8 * len(own):  # those that ended wait until there are enough of them
-                given, counts, own, one, first, back = (a[going] for a in (given, counts, own, one, first, back))
+                given, counts, most, own, one, first, back = (a[going] for a in (given, counts, most, own, one, first, back))
                 going = np.ones(left, bool)
         two = step(one)
         second = two - one
         bend = second - first
-        reach = np.sqrt((first * first).sum(axis=1) / np.maximum((bend * bend).sum(axis=1), 1e-300))
-        reach = np.maximum(reach, 1.0)[:, None]
+        far, near = (first * first).sum(axis=1), (second * second).sum(axis=1)
+        grows = near > far
+        reach = np.clip(np.sqrt(far / np.maximum((bend * bend).sum(axis=1), 1e-30)), 1.0, 1e6)
+        reach = np.where(grows, np.minimum(reach, GROWS), reach)[:, None]
         ahead = (one - first) + 2.0 * reach * first + reach * reach * bend
-        leaps = ~back & (ahead > 0.0).all(axis=1)
+        leaps = ~back & ((ahead > 0.0) & (ahead <= most)).all(axis=1)
         weights, safe = np.where(leaps[:, None], ahead, two), two
-        least = np.where(leaps, np.abs(second).sum(axis=1), np.inf)
+        least = np.where(leaps & ~grows, np.abs(second).sum(axis=1), np.inf)
 
 
 def padded(weights: np.ndarray) -> np.ndarray:
@@ -205,7 +235,8 @@ class Topics:
             return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * len(prior)), pa.array(out.ravel()))
 
         packed = self.counts(df.select(F.struct("*").alias("_row"), col(self.text)))
-        return packed.select("_row.*", shares_of("_counts").alias(name))
+        # as not deterministic, or a query that explodes the shares would infer them twice, once for a filter on their number
+        return packed.select("_row.*", shares_of.asNondeterministic()("_counts").alias(name))
 
     def log_likelihood(self, df: DataFrame) -> float:
         return float(self.model.logLikelihood(self.counts(df).select(F.col("_counts").alias("features"))))

@@ -112,3 +112,29 @@ def test_drawn_twice_counts_twice(spark):
     twice = topics.gathered(known.withColumn("id", F.explode(F.array("id", "id"))), beta, prior, 1)
     assert np.allclose(twice, 2 * once, rtol=1e-2) and np.isclose((once * beta[:-1]).sum(), 5.0, rtol=1e-6)
     assert topics.gathered(known.filter("false"), beta, prior, 1) is None
+
+
+def test_exploded_shares_are_inferred_once(spark):
+    rows, _ = texts()
+    df = spark.createDataFrame(rows, "id long, text string")
+    found = topics.fit_topics(df, "text", k=3, rounds=1).shares(df).select("id", F.posexplode("shares").alias("topic", "share"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert found.count() == 3 * len(rows)
+
+
+def test_single_precision_ends_where_double_does(monkeypatch):
+    rng = np.random.default_rng(4)
+    beta = np.vstack([topics.expected(rng.gamma(0.1, 1.0, (10, 400)) + 0.01).T, np.zeros(10)])
+    lengths = np.array([200, 90, 1, 40, 0])
+    words = np.concatenate([rng.choice(400, n, replace=False) for n in lengths]).astype(np.int32)
+    counts = rng.integers(1, 9, len(words)).astype(float)
+    counts[200:290] *= 1e6  # too many words for single precision
+    ends = []
+    for most in (topics.SINGLE_COUNT, 0):
+        monkeypatch.setattr(topics, "SINGLE_COUNT", most)
+        found = {i: own for t, _, w, _ in topics.inferred(words, counts, lengths, beta, np.full(10, 0.1), np.random.default_rng(1)) for i, own in zip(t.tolist(), w)}
+        assert set(found) == {0, 1, 2, 3}
+        ends.append(found)
+    for i, own in ends[0].items():
+        total = counts[lengths[:i].sum():lengths[:i + 1].sum()].sum()
+        assert own.sum() == pytest.approx(total + 1.0, rel=1e-6) and np.abs(own - ends[1][i]).max() < 0.05 * max(1.0, total / 1e3)
